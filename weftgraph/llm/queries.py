@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import op1_sentencepiece, op2_token_counts, op3_quality, op5_token_files, op8_secrets, op9_tiff
+from weftgraph.llm import op1_sentencepiece, op2_token_counts, op3_quality, op4_mixing, op5_token_files, op8_secrets, op9_tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece.query,
     "op2_token_counts": op2_token_counts.query,
     "op3_quality": op3_quality.query,
+    "op4_mixing": op4_mixing.query,
     "op5_token_files": op5_token_files.query,
     "op8_secrets": op8_secrets.query,
     "op9_tiff": op9_tiff.query,
