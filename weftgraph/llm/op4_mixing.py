@@ -46,10 +46,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
             "all_words": F.sum("source_size").over(every) * share,
         }
     )
-    # the level if just this source and later ones were open; it is right from the first that it doesn't fill
+    # the level if just this source and later ones were open: it rises while they fill and falls after that
     level = (F.col("all_words") - F.col("filled")) / F.col("open")
-    ranked = ranked.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(every))
-    target = F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most")))
+    ranked = ranked.withColumn("level", level).withColumn("level", F.max("level").over(every))
+    target = F.least(F.col("most"), F.col("level") * F.col("weight"))
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
@@ -111,7 +111,7 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """The flight of one block; the last block of a source lands."""
     rows = rows.sort_values(["h", "doc_id", "size"], kind="stable")
     seed = int(np.bitwise_xor.reduce(rows["h"].to_numpy().astype(np.int64).view(np.uint64), initial=np.uint64(len(rows))))
