@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import op10_jaccard, op1_sentencepiece, op2_token_counts, op3_quality, op4_mixing, op5_token_files, op7_neighbours, op8_secrets, op9_tiff
+from weftgraph.llm import op10_jaccard, op1_sentencepiece, op2_token_counts, op3_quality, op4_mixing, op5_token_files, op6_substrings, op7_neighbours, op8_secrets, op9_tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality.query,
     "op4_mixing": op4_mixing.query,
     "op5_token_files": op5_token_files.query,
+    "op6_substrings": op6_substrings.query,
     "op7_neighbours": op7_neighbours.query,
     "op8_secrets": op8_secrets.query,
     "op9_tiff": op9_tiff.query,
