@@ -164,13 +164,15 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: documents left out are gone, those taken twice come twice. All columns stay."""
-    plan = mixed(docs).where("times > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("times").alias("__times"))
-    # rows alike in id and text are interchangeable: number them on both sides
-    order = W.partitionBy("__id", "__h").orderBy(F.desc("__times"))
-    plan = plan.withColumn("__nth", F.row_number().over(order))
+    plan = stored(mixed(docs), "mix-plan").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("times").alias("__times"))
     own = docs.withColumn("__h2", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(4)))
-    own = own.withColumn("__nth2", F.row_number().over(W.partitionBy("doc_id", "__h2").orderBy(F.lit(0))))
-    both = own.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")) & (F.col("__nth2") == F.col("__nth")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h"))
+    # rows alike in id and text are interchangeable: numbered on both sides, where there are any
+    if not plan.groupBy("__id", "__h").count().where("count > 1").isEmpty():
+        plan = plan.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__h").orderBy(F.desc("__times"))))
+        own = own.withColumn("__nth2", F.row_number().over(W.partitionBy("doc_id", "__h2").orderBy(F.xxhash64(*docs.columns))))
+        same = same & (F.col("__nth2") == F.col("__nth"))
+    both = own.join(plan.where("__times > 0"), same)
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
