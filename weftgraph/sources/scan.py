@@ -40,7 +40,7 @@ def header_tokens(lines: DataFrame) -> DataFrame:
 
 def headers(lines: DataFrame) -> DataFrame:
     """(file, module, imports): the first module named, and the sorted set of imports; files without a module header have none."""
-    base = F.regexp_extract("file", r"([^/]*?)\.[^/]*$", 1)
+    base = F.regexp_extract("file", r"([^/]*)\.[^/.]*$", 1)
     found = header_tokens(lines).groupBy("file").agg(
         F.min_by("name", F.when(F.col("kind") == "module", F.col("line_no"))).alias("module"),
         F.max(F.when(F.col("kind") == "module", 1)).alias("has"),
