@@ -36,9 +36,19 @@ def csr_offsets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(idx, offset): where each node's targets begin; one row more than nodes, the last with their total. Repeated edges count once."""
     degree = edges.select("src", "dst").distinct().groupBy(F.col("src").alias("idx")).agg(F.count("*").alias("n"))
     every = nodes.select("idx").join(degree, "idx", "left").select("idx", F.coalesce("n", F.lit(0)).alias("n"))
-    total = every.agg((F.coalesce(F.max("idx"), F.lit(-1)) + 1).alias("idx"), F.lit(0).cast("long").alias("n"))
-    ends = F.sum("n").over(W.orderBy("idx").rowsBetween(W.unboundedPreceding, -1))
-    return every.unionByName(total).select("idx", F.coalesce(ends, F.lit(0)).cast("long").alias("offset"))
+    last = every.agg((F.coalesce(F.max("idx"), F.lit(-1)) + 1).alias("idx"), F.lit(0).cast("long").alias("n"))
+    return running_total(every.unionByName(last), "idx", "n").select("idx", F.col("before").alias("offset"))
+
+
+def running_total(df: DataFrame, place: str, n: str, block: int = 1 << 16) -> DataFrame:
+    """df with before: the sum of n over smaller places. Blocks of places are summed apart; only their totals meet in one task."""
+    cut = df.withColumn("__block", F.floor(F.col(place) / block))
+    within = F.sum(n).over(W.partitionBy("__block").orderBy(place).rowsBetween(W.unboundedPreceding, -1))
+    totals = cut.groupBy("__block").agg(F.sum(n).alias("__sum"))
+    ahead = F.sum("__sum").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
+    starts = totals.select("__block", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    total = (F.col("__ahead") + F.coalesce(F.col("__within"), F.lit(0))).cast("long")
+    return cut.withColumn("__within", within).join(starts, "__block").withColumn("before", total).drop("__block", "__within", "__ahead")
 
 
 def csr_targets(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators.indexes import indexed
+
 # Sizes of pods and grids.
 POD_W, POD_H, GAP_X, GAP_Y = 200, 52, 30, 80
 TILE, CELL = 1000, 40
@@ -25,7 +27,7 @@ def grid_layout(nodes: DataFrame) -> DataFrame:
     """nodes (key, module, ord) -> key, x, y: modules as tiles in order of first appearance, members within, last first."""
     first = nodes.groupBy("module").agg(F.min("ord").alias("first"), F.count("*").alias("k"))
     n = first.agg(F.count("*").alias("n"))  # one row
-    tiles = first.withColumn("t", F.row_number().over(W.orderBy("first", "module")) - 1).crossJoin(F.broadcast(n)).withColumn("cols", F.ceil(F.sqrt("n")))
+    tiles = indexed(first, ["first", "module"], "t").crossJoin(F.broadcast(n)).withColumn("cols", F.ceil(F.sqrt("n")))
     tiles = tiles.select("module", "k", (F.col("t") % F.col("cols") * TILE).alias("tx"), (F.floor(F.col("t") / F.col("cols")) * TILE).alias("ty"))
     own = nodes.withColumn("i", F.row_number().over(W.partitionBy("module").orderBy(F.desc("ord"), "key")) - 1).join(tiles, "module")
     side = F.ceil(F.sqrt("k"))

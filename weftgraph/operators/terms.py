@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.operators.fixpoint import settled, union_all
+from weftgraph.operators.indexes import indexed
 
 ATOMS = ("var", "lit", "level", "sort-inf", "unsupported")
 LEVEL_KEYS = ["tree", "node"]
@@ -52,7 +53,7 @@ def hash_consed(nodes: DataFrame, first_seen: list[str]) -> DataFrame:
     """(id, hash, uses): one id per distinct subtree, numbered by first appearance in the order of first_seen."""
     prints = fingerprints(nodes).join(nodes.select("tree", "node", *[c for c in first_seen if c not in LEVEL_KEYS]), LEVEL_KEYS)
     once = prints.groupBy("hash").agg(F.min(F.struct(*first_seen)).alias("first"), F.count("*").alias("uses"))
-    return once.select((F.row_number().over(W.orderBy("first")) - 1).alias("id"), "hash", "uses")
+    return indexed(once, ["first"], "id").select("id", "hash", "uses")
 
 
 def references(nodes: DataFrame, roots: DataFrame) -> DataFrame:
