@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,23 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, as Spark's own file server does it; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parents[1]
+    d = tempfile.mkdtemp()  # the driver serves the file from there to executors while the application runs
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/weftgraph-{app}", "zip", root.parent, root.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

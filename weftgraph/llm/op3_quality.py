@@ -157,7 +157,7 @@ def _train_step(net, adam, ids, windows, lengths, labels, weight) -> None:
     count = np.array([len(w) for w in own])
     doc = np.repeat(np.arange(len(own)), count)
     top = features[:, :FILTERS][doc]
-    d_best = d[doc, FILTERS : 2 * FILTERS] / count[doc][:, None] + np.where(best == top, d[doc, :FILTERS], 0)
+    d_best = d[doc, FILTERS : 2 * FILTERS] / count[doc][:, None] + np.where(best.astype(np.float32) == top, d[doc, :FILTERS], 0)
     net.filters_back(np.concatenate(own), x, place, np.where(best > 0, d_best, 0).astype(np.float32), grads)
     adam.step(grads)
 
