@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions.names import bigrams, levenshtein_budget, prefixes
+from weftgraph.operators.fixpoint import settled
 from weftgraph.schema import PROV_CODES, code
 
 
@@ -16,7 +17,7 @@ def indexed(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     Rows are dealt into ranges and numbered within; a range begins after the rows of those before,
     so no task sorts the whole table.
     """
-    dealt = df.withColumn("__part", F.lit(0)) if df.isEmpty() else _with_range(df, order)
+    dealt = _with_range(df, order)
     within = F.row_number().over(W.partitionBy("__part").orderBy(*order))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -53,7 +54,7 @@ def running_total(df: DataFrame, place: str, n: str, block: int = 1 << 16) -> Da
 
 def csr_targets(edges: DataFrame) -> DataFrame:
     """(place, src, dst, prov): targets in the order of sources, then targets, with the code of each edge's provenance."""
-    once = edges.groupBy("src", "dst").agg(F.min("prov").alias("prov"))
+    once = settled(edges.groupBy("src", "dst").agg(F.min("prov").alias("prov")))  # numbering reads it twice
     return indexed(once, ["src", "dst"], "place").select("place", "src", "dst", code(F.col("prov"), PROV_CODES, PROV_CODES["unknown"]).alias("prov"))
 
 
