@@ -14,8 +14,8 @@ import re
 MARK = "▁"
 #: Ids from here on stand for single characters that are not in the vocabulary.
 FOREIGN = 1 << 21
-CACHE_WORDS = 600_000
-CACHE_PAIRS = 2_000_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 800_000
 
 
 class PieceModel:
