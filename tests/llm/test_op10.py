@@ -98,3 +98,29 @@ def test_components(spark):
             best[max(root(a), root(b))] = min(root(a), root(b))
     got = {n.node: n.component for n in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: root(x) for x in best}
+
+
+@pytest.mark.parametrize("seed,small,block,edits", [(4, 2, 512, 3), (5, 12, 16, 6), (6, 3, 8, 16)])
+def test_numbers_of_links(spark, monkeypatch, seed, small, block, edits):
+    """Near copies of one text, more than a small group holds, meet all their partners, in whatever blocks."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(160)]
+    rows = corpus(seed)
+    for d in range(10000, 10120):
+        w = list(base)
+        for _ in range(r.randint(0, edits)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows += [(d, " ".join(w[: len(w) - r.randint(0, 20)]))] * r.choice([1, 1, 2])
+    sets = {d: frozenset(shingles(t)) for d, t in rows}
+    want = {x: sum(x != y and bool(x & y) and 100 * len(x & y) >= 75 * len(x | y) for y in set(sets.values())) for x in set(sets.values())}
+    got = {g.doc_id: g.n_links for g in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: want[x] if x else 0 for d, x in sets.items()}
+
+
+def test_shared_counts():
+    r = np.random.default_rng(7)
+    sides = [[np.unique(r.integers(0, 500, int(r.integers(1, 200)))).astype(np.uint64) for _ in range(n)] for n in (9, 14)]
+    got = jaccard.shared_counts([np.array([len(x) for x in s]) for s in sides], [np.concatenate(s) for s in sides])
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sides[1]] for x in sides[0]]

@@ -15,6 +15,10 @@ get finer signatures, where a passage weighs less, and what then is still open i
 one text: they are compared with a leader of each group, some turns, and then with each other across
 the components that this has left.
 Sizes and bitmaps of parities rule out most pairs by an exact bound; the rest are checked on their sets.
+
+Components need no link within what is joined already, but numbers of links do. Every similar pair that
+no small group has met is of two sets left open, and of one component: so a component's open sets are
+compared with each other, blocks of them at once by products of matrices, and only counts come out.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ LEADERS, TURNS = 32, 2
 #: Bytes of text whose sets are made at once, and whose signatures are packed together.
 AT_ONCE = 1 << 20
 PACK = 2 << 20
+#: Sets of a block of open sets, and their shingles, on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 17
 
 
 def band_edges(top: int, num: int = NUM, den: int = DEN) -> np.ndarray:
@@ -263,6 +269,13 @@ def _marked(df: DataFrame, ids: DataFrame, bits: int = 1 << 20) -> DataFrame:
     return found.where("getbit(m, cast(p % 64 as int)) = 1").drop("p", "w", "m")
 
 
+def _sets_of(stands: DataFrame, data: DataFrame, words: int) -> DataFrame:
+    """(node, hashes) of stands (node, doc_id), made again from the texts."""
+    right = stands.withColumnRenamed("doc_id", "id")
+    texts = _marked(data, stands).join(right, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "data")
+    return texts.mapInArrow(partial(_set_batches, words=words), "node long, hashes binary").dropDuplicates(["node"])
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, data: DataFrame, words: int) -> DataFrame:
     """The pairs whose sets are similar enough.
 
@@ -273,10 +286,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, data: DataFrame, words: int) -
     near = stored(near.mapInArrow(partial(_near_batches, num=NUM, den=DEN), "a long, b long"), "jaccard-near")
     asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stands = stored(nodes.join(asked, "node", "left_semi").select("node", "doc_id"), "jaccard-stands")
-    right = stands.withColumnRenamed("doc_id", "id")
-    texts = _marked(data, stands).join(right, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "data")
-    sets = texts.mapInArrow(partial(_set_batches, words=words), "node long, hashes binary").dropDuplicates(["node"])
-    both = _on_both(near, stored(sets, "jaccard-sets"), {"hashes": ("x", "y")})
+    both = _on_both(near, stored(_sets_of(stands, data, words), "jaccard-sets"), {"hashes": ("x", "y")})
     return both.mapInArrow(partial(_verify_batches, num=NUM, den=DEN), "a long, b long")
 
 
@@ -314,6 +324,80 @@ def _compare_groups(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
 
+def shared_counts(sizes: list[np.ndarray], hashes: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of one block shares with each of another; sizes and hashes of both blocks' sets."""
+    own = [np.unique(h) for h in hashes]
+    common = np.intersect1d(*own, assume_unique=True)
+    m, n = map(len, sizes)
+    out = np.zeros((m, n), np.float64)
+    sides = []
+    for size, h in zip(sizes, hashes):
+        at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+        kept = np.flatnonzero(common[at] == h) if len(common) else np.zeros(0, np.int64)
+        owner, column = np.repeat(np.arange(len(size)), size)[kept], at[kept]
+        order = np.argsort(column, kind="stable")
+        sides.append((owner[order], column[order]))
+    step = max(1, (1 << 21) // max(1, m + n))
+    for k in range(0, len(common), step):
+        dense = []
+        for rows, (owner, column) in zip((m, n), sides):
+            a, b = np.searchsorted(column, (k, k + step))
+            x = np.zeros((rows, min(step, len(common) - k)), np.float32)  # a sum of step ones is exact
+            x[owner[a:b], column[a:b] - k] = 1
+            dense.append(x)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _pack_sets(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(list(batches))
+    hashes = rows.column("hashes").to_pylist()
+    values = [*(k.as_py() for k in key), rows.column("node").to_numpy().astype("<i8").tobytes(), np.array([len(h) // 8 for h in hashes], "<i8").tobytes(), b"".join(hashes)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["component", "band", "block", "nodes", "sizes", "hashes"])
+
+
+def _count_blocks(batches, num: int, den: int):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            nodes = [np.frombuffer(row[c], "<i8") for c in ("nodes", "o_nodes")]
+            sizes = [np.frombuffer(row[c], "<i8") for c in ("sizes", "o_sizes")]
+            shared = shared_counts(sizes, [np.frombuffer(row[c], np.uint64) for c in ("hashes", "o_hashes")])
+            similar = den * shared >= num * (sizes[0][:, None] + sizes[1][None, :] - shared)
+            if row["same"]:
+                np.fill_diagonal(similar, False)
+                node, n = nodes[0], similar.sum(axis=1)
+            else:
+                node, n = np.concatenate(nodes), np.concatenate([similar.sum(axis=1), similar.sum(axis=0)])
+            yield pa.RecordBatch.from_arrays([pa.array(node[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["node", "n_links"])
+
+
+def links_within(open_: DataFrame, joined: DataFrame, nodes: DataFrame, data: DataFrame, words: int) -> DataFrame:
+    """(node, n_links), rows to be added up: how many other open nodes (node) of its component each is similar to.
+
+    joined (node, component) are the components; nodes has node, doc_id and n_shingles. Blocks hold sets of
+    a component and a band of sizes, and meet their own band and the next: similar sets' sizes are no further apart.
+    """
+    placed = open_.join(joined, "node").join(nodes.select("node", "doc_id", "n_shingles"), "node")
+    placed = placed.withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(np.log(1.05 * DEN / NUM)))).cast("int"))
+    placed = stored(placed, "jaccard-placed")
+    groups = placed.groupBy("component", "band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    several = placed.groupBy("component").count().where("count > 1").select("component")
+    groups = groups.join(several, "component").select("component", "band", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = stored(placed.join(groups, ["component", "band"]).select("node", "doc_id", "component", "band", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")), "jaccard-dealt")
+    sets = _sets_of(dealt.select("node", "doc_id"), data, words).join(dealt.drop("doc_id"), "node").select("node", "component", "band", "block", "hashes")
+    schema = "component long, band int, block long, nodes binary, sizes binary, hashes binary"
+    packed = stored(sets.groupBy("component", "band", "block").applyInArrow(_pack_sets, schema), "jaccard-blocks", "lz4")
+    one = packed.select("component", "band", "block", F.explode(F.array("band", F.col("band") + 1)).alias("o_band"))
+    other = packed.select("component", F.col("band").alias("o_band"), F.col("block").alias("o_block"))
+    met = stored(one.join(other, ["component", "o_band"]).where("band < o_band or block <= o_block"), "jaccard-met")
+    right = packed.select("component", *[F.col(c).alias(f"o_{c}") for c in packed.columns if c != "component"])
+    both = met.join(packed, ["component", "band", "block"]).join(right, ["component", "o_band", "o_block"])
+    both = both.select("nodes", "sizes", "hashes", "o_nodes", "o_sizes", "o_hashes", F.expr("band = o_band and block = o_block").alias("same"))
+    return stored(both.mapInArrow(partial(_count_blocks, num=NUM, den=DEN), "node long, n_links long"), "jaccard-within")
+
+
 def _candidates(data: DataFrame, words: int, level: int) -> DataFrame:
     """data (doc_id, data) -> (kind, a, b): pairs of nodes (0), or signatures of large groups and their nodes (1)."""
     buckets = 2 * int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -340,10 +424,10 @@ def _still_open(found: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
     return few.join(few.groupBy("sig").count().where("count > 1").select("sig"), "sig")
 
 
-def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(documents with doc_id, n_shingles, node; links a, b between different nodes of similar sets).
+def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(documents with doc_id, n_shingles, node; links a, b between different nodes of similar sets; nodes left open or None).
 
-    Every link that the components need is there. Sets that large groups leave open get finer signatures
+    Every link that the components need is there, and every link but those between two nodes left open. Sets that large groups leave open get finer signatures
     of their own; those that even these leave in large groups (most of such a set is common to many) are
     compared with leaders first, and then, across the components that this makes, with each other.
     """
@@ -383,20 +467,30 @@ def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
         more = stored(met.distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
         good = stored(good.unionByName(_verified(more, nodes, data, words)), "jaccard-links")
         pairs = pairs.unionByName(more)
-    return named.select("doc_id", "n_shingles", "node"), good
+    return named.select("doc_id", "n_shingles", "node"), good, open_.select("node").distinct() if again else None
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach) and n_links of its set.
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach) and n_links (the different sets similar to its own).
 
     Null, empty and wordless texts have empty sets and link with nothing. Equal sets link. Rows of one
     doc_id are told apart by their sets; null ids come last as representatives.
     """
-    named, good = links(docs, words)
+    named, good, open_ = links(docs, words)
     joined = components(good)
-    degree = good.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     own = named.where("n_shingles > 0")
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"))
+    within = None
+    if open_ is not None:
+        # links between two open nodes are counted by components, all others one by one
+        open_ = stored(open_, "jaccard-open")
+        joined = stored(joined, "jaccard-joined")
+        within = links_within(open_, joined, nodes.withColumnRenamed("least", "doc_id"), docs.select("doc_id", utf8("text").alias("data")), words)
+        left, right = open_.select(F.col("node").alias("a"), F.lit(True).alias("open_a")), open_.select(F.col("node").alias("b"), F.lit(True).alias("open_b"))
+        good = good.join(left, "a", "left").join(right, "b", "left").where("open_a is null or open_b is null").select("a", "b")
+    degree = good.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    if within is not None:
+        degree = degree.unionByName(within).groupBy("node").agg(F.sum("n_links").alias("n_links"))
     nodes = nodes.join(joined, "node", "left").join(degree, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(ids, "component").select("node", "component_id", "n_links")
@@ -418,7 +512,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     Columns stay. Of rows alike in id and words one stays; null ids come after others.
     """
-    named, good = links(docs, words)
+    named, good, _ = links(docs, words)
     joined = components(good)
     own = named.where("n_shingles > 0").join(joined, "node", "left")
     first = own.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("one"))
