@@ -53,3 +53,24 @@ def test_codes():
     tables = model.tables(x[:3])
     codes = model.encode(x)
     assert np.allclose(sum(tables[1][m][codes[:, m]] for m in range(4)), model.decode(codes) @ x[1].astype(np.float32), atol=1e-3)
+
+
+def test_repeated_rows(spark):
+    """Rows alike, and one id with many vectors, take no places from others."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((60, 8)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 30
+    rows += [(7, (x[0] * 9 + 0.1 * r.standard_normal(8)).tolist()) for _ in range(900)] + [(20, (x[20] * 5 + 0.1 * r.standard_normal(8)).tolist()) for _ in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = {}
+    for i, v in rows:
+        own.setdefault(i, []).append(v)
+    got = {}
+    for g in near.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(g.query_id, []).append((g["rank"], g.vec_id, g.score))
+    assert got.keys() == {0, 20, 40}
+    for q, found in got.items():
+        score = {i: (np.array(own[q]) @ np.array(v).T).max() for i, v in own.items() if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [(k, i) for k, i, _ in sorted(found)] == list(enumerate(want, 1))
+        assert np.allclose([s for _, _, s in sorted(found)], [score[i] for i in want])

@@ -4,7 +4,8 @@ A vector's direction is a sum of one codeword from each of several full-dimensio
 found by beam search over residuals; its norm is stored beside the codes. Inner products are
 looked up: one table of the query with every codeword, summed by code and scaled by the norm. The
 best of each block are scored again exactly, in double precision, on the original vectors that
-the block carries, so no second join fetches them.
+the block carries, so no second join fetches them. Bests are of distinct vec_ids: rows alike are
+indexed once, and an id with several vectors in a block takes one place there, by its best score.
 
 The codebooks are fitted on the driver on a bounded sample; every row is indexed. The query set
 meets the index in blocks: a query block is dealt to each shard of index blocks.
@@ -140,17 +141,25 @@ def _index_blocks(batches, model: Codebooks, rows: int, with_codes: bool):
         yield packed()
 
 
-def shortlist(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray, size: int) -> np.ndarray:
-    """Rows with the best looked-up scores, best first, of equals the earlier; ties at the end are resolved so too."""
+def shortlist(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray, starts: np.ndarray, own: int, size: int) -> np.ndarray:
+    """Ids with the best looked-up scores, best first, of equals the earlier; ties at the end are resolved so too.
+
+    starts are the first rows of the ids, which come in order; own is left out (-1: none). Ids are told by their places in starts.
+    """
     score = tables[0][codes[0]]
     for t, c in zip(tables[1:], codes[1:]):
         score = score + t[c]
     score *= norms
+    if len(starts) < len(score):
+        score = np.maximum.reduceat(score, starts)
+    if own >= 0:
+        score[own] = -np.inf
     if len(score) > size:
         edge = np.partition(score, len(score) - size)[len(score) - size]
         found = np.flatnonzero(score >= edge)
     else:
         found = np.arange(len(score))
+    found = found[found != own]
     return found[np.argsort(-score[found], kind="stable")][:size]
 
 
@@ -162,13 +171,21 @@ def _search(batches, model: Codebooks, nearest: int, short: int):
             q = np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), -1)
             codes = np.ascontiguousarray(np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1).T)
             norms, tables = np.frombuffer(row["norms"], "<f4"), model.tables(q)
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            names, count = ids[starts], np.diff(np.append(starts, len(ids)))
+            places = np.searchsorted(names, q_ids)
+            own = np.where(names[np.minimum(places, len(names) - 1)] == q_ids, places, -1)
             out = []
             for k, q_id in enumerate(q_ids.tolist()):
-                near = shortlist(tables[k], codes, norms, short)
-                near = near[ids[near] != q_id]
-                exact = (x[near] * q[k]).sum(axis=1)
-                best = np.lexsort((ids[near], -exact))[:nearest]
-                out.append((np.full(len(best), q_id), ids[near][best], exact[best]))
+                near = shortlist(tables[k], codes, norms, starts, int(own[k]), short)
+                if not len(near):
+                    continue
+                # all rows of the ids in the list, id by id
+                first = np.cumsum(count[near]) - count[near]
+                rows = np.repeat(starts[near] - first, count[near]) + np.arange(count[near].sum())
+                exact = np.maximum.reduceat((x[rows] * q[k]).sum(axis=1), first)
+                best = np.lexsort((names[near], -exact))[:nearest]
+                out.append((np.full(len(best), q_id), names[near][best], exact[best]))
             if out:
                 a, b, s = map(np.concatenate, zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
@@ -197,6 +214,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, short: int
     if not length:
         return spark.createDataFrame([], schema)
     vectors, queries = (df.where(F.size("embedding") == length[0].d) for df in (vectors, queries))
+    # sorted, so that blocks are the same each time
+    vectors = stored(vectors.dropDuplicates(["vec_id", "embedding"]).sortWithinPartitions("vec_id", "embedding"), "neighbours-vectors")
+    queries = queries.dropDuplicates(["vec_id", "embedding"])
     model = train(vectors)
     block = "ids binary, vectors binary, codes binary, norms binary"
     index = stored(vectors.mapInArrow(partial(_index_blocks, model=model, rows=BLOCK, with_codes=True), block), "neighbours-index")
