@@ -73,6 +73,25 @@ def test_counts_of_every_prefix(library):
             assert len(library.encode(t[:n])) <= budget and (n == len(t) or got[n:].min() >= 0)
 
 
+def test_counts_at_the_border_of_a_byte(library):
+    """Unspaced words of 250 to 260 tokens, of which some have a prefix of more tokens than a byte holds and the whole has not."""
+    r, cache, longer = random.Random(8), op2.counter(op1.default_model()), 0
+    pieces = ["there", "ation", "ness", "ing", "aZ9", "q0/", "Straße", "日本", "_x", "00"]
+    for last in ("international", "ation", "there", "strings"):
+        text = ""
+        while len(library.encode(text)) < 250:
+            text += r.choice(pieces)
+        base = text
+        while len(library.encode(text)) < 261:
+            for t in (text, text + last):
+                want = [len(library.encode(t[:k])) for k in range(len(t) + 1)]
+                longer += want[-1] < 256 <= max(want)
+                assert op2.prefix_counts(t, cache).tolist() == want
+            text += r.choice("qZ9x")
+        assert text != base
+    assert longer
+
+
 def test_queries(spark, library, docs_with_odd_rows):
     import hashlib
     import zlib

@@ -21,10 +21,11 @@ from weftgraph.llm.piece_lattice import MARK, PieceModel, WordCache, marked_word
 LIMIT = 4096
 
 
-def _prefix_counts(made: list[int]) -> tuple[int, bytes]:
-    """The word's count, and that of each prefix from one character on."""
-    n = made[-1]
-    return n, bytes(made[1:]) if n < 256 else np.array(made[1:], dtype="<u4").tobytes()
+def _prefix_counts(made: list[int]) -> tuple[int, str, bytes]:
+    """The word's count, and the type and counts of each prefix from one character on; a prefix may have more tokens than the word."""
+    if max(made) < 256:
+        return made[-1], "u1", bytes(made[1:])
+    return made[-1], "<u4", np.array(made[1:], dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -45,8 +46,8 @@ def prefix_counts(text: str, cache: WordCache) -> np.ndarray:
     known = cache.fill(set(words))
     out, total = [np.zeros(1, dtype=np.int64)], 0
     for k, w in enumerate(words):
-        n, packed = known[w]
-        own = np.frombuffer(packed, dtype="u1" if n < 256 else "<u4").astype(np.int64) + total
+        n, kind, packed = known[w]
+        own = np.frombuffer(packed, dtype=kind).astype(np.int64) + total
         out.append(own[1:] if k == 0 else own)  # the first mark is not in the text
         total += n
     return np.concatenate(out)
