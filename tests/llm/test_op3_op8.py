@@ -110,6 +110,22 @@ def test_network():
     assert [(a, k) for a, k, _, _ in spans] == [(4, 3)]
 
 
+def test_secrets_inside_long_runs():
+    for a, b in ((3, 20), (0, 64), (5, 70), (7, 300)):
+        found = secrets.pieces(a, b)
+        assert {x for p in found for x in range(*p)} == set(range(a, b)) and all(y - x <= secrets.OWN for x, y in found)
+    model = secrets.default_model()
+    found = secrets.labelled_findings(1000, 321, inside=True)
+    y = np.array([f[3] for f in found]) == 1
+    assert min(f[2] - f[1] for f in found) > secrets.OWN
+    hit = model.scores([f[:3] for f in found]) >= model.threshold
+    print(hit[y].mean(), hit[~y].mean(), model.threshold)
+    assert hit[y].mean() >= 0.95 and hit[~y].mean() <= 0.1
+    for key in ("ghp_a8Fk29dLq0Zx7Tn3VbY6Rw1c", "sk_live_9Qe7RtY2uIoP4aSdF6gH", "aGVsbG8x2Qk9Zm5Tb3V0L1p8"):
+        text = f"see www.example.com/articles/reading/and/writing/{key}/the/chapter/that/follows/index.html now"
+        assert [k for _, k, _, _ in secrets.find([text.encode()], model)[0]] == [3], key
+
+
 def test_secret_queries(spark, docs_with_odd_rows):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(secret_texts()[:300])] + [(9000, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in secrets.secrets(df).collect()}

@@ -4,7 +4,9 @@ A candidate is a run of 16 or more key characters that has a letter and a digit.
 the candidate's bytes with those around it and a mark of which is which; it is trained on labelled
 findings made by rule (keys of many formats, and look-alikes such as dates, paths, versions and
 identifiers) and calibrated on findings kept back. The threshold is the highest at which RECALL of
-the kept-back secrets is still found. Spans of patterns always stay; the network adds its own.
+the kept-back secrets is still found, of those in candidates up to OWN bytes and in longer ones alike. Spans of patterns always stay; the network adds its own.
+A candidate longer than OWN is judged by overlapping windows over all its bytes, and has the largest
+of their probabilities; findings inside long runs are trained on too.
 
 All patterns are ASCII, so they run on UTF-8 bytes; offsets are turned into code points. No step
 shuffles, and texts without candidates cost one pass of byte searches.
@@ -65,9 +67,16 @@ def candidates(data: bytes) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(data) if MIXED.match(m[0])]
 
 
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """Ranges of at most OWN bytes over a candidate: each byte is in one, and any OWN / 2 adjacent bytes are in one together."""
+    if end - start <= OWN:
+        return [(start, end)]
+    return [(a, a + OWN) for a in (*range(start, end - OWN, OWN // 2), end - OWN)]
+
+
 def window(data: bytes, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the candidate and around it, and 1 where the candidate is; a long candidate keeps both its ends."""
-    own = data[start:end] if end - start <= OWN else data[start : start + OWN // 2] + data[end - OWN // 2 : end]
+    """Bytes of a candidate's piece and around it, and 1 where the piece is."""
+    own = data[start:end]
     out, mark = np.full(LENGTH, PAD, np.int16), np.zeros((LENGTH, 1), np.float32)
     before, after = data[max(0, start - BEFORE) : start], data[end : end + AFTER]
     for part, at in ((before, BEFORE - len(before)), (own, BEFORE), (after, BEFORE + len(own))):
@@ -76,8 +85,11 @@ def window(data: bytes, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     return out, mark
 
 
-def labelled_findings(n: int, seed: int) -> list[tuple[bytes, int, int, int]]:
-    """(text, start, end, label) made by rule; half are secrets."""
+def labelled_findings(n: int, seed: int, inside: bool = False) -> list[tuple[bytes, int, int, int, int, int]]:
+    """(text, start, end, label, and where the secret or its look-alike itself starts and ends) made by rule; half are secrets.
+
+    Those inside others are parts of runs longer than OWN.
+    """
     r = random.Random(seed)
     alnum, upper, hexes = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"
     some = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
@@ -117,25 +129,52 @@ def labelled_findings(n: int, seed: int) -> list[tuple[bytes, int, int, int]]:
         own = (r.choice(secret) if label else r.choice(harmless))()
         if len(own) < 16 or not own.isascii() or not MIXED.match(own.encode()):
             continue
+        a, b = 0, len(own)
+        if inside:
+            ends = ["", ""]
+            while len(own) + sum(map(len, ends)) <= OWN or not all(ends):
+                ends[r.randrange(2)] += r.choice(["/", "/", ".", "=", "-"]) + r.choice(harmless)()
+            ends[0] = ends[0][1:] + r.choice("/=.")
+            if not "".join(ends).isascii():
+                continue
+            a, b, own = len(ends[0]), len(ends[0]) + len(own), ends[0] + own + ends[1]
         quote = r.choice(["", "", '"', "'"])
         head = prose(r.randint(0, 6)) + " " + (r.choice(lead) if r.random() < (0.6 if label else 0.15) else r.choice(plain)) + quote
         text = (head + own + quote + r.choice([" ", ".\n", ", ", "\n"]) + prose(r.randint(0, 3))).encode()
         start = len(head.encode())
-        out.append((text, start, start + len(own), label))
+        out.append((text, start, start + len(own), label, start + a, start + b))
     return out
 
 
+def _used_pieces(finding: tuple) -> list[tuple[int, int]]:
+    """Pieces of a finding (text, start, end, label, maybe where it is inside) that its label holds for."""
+    _, start, end, label, *at = finding
+    found = pieces(start, end)
+    if not label or not at:
+        return found
+    enough = min(at[1] - at[0], OWN // 2)
+    return [(a, b) for a, b in found if min(b, at[1]) - max(a, at[0]) >= enough]
+
+
 class SecretModel:
     def __init__(self, net: ByteNet, slope: float, shift: float, threshold: float):
         self.net, self.slope, self.shift, self.threshold = net, slope, shift, threshold
 
     def scores(self, found: list[tuple[bytes, int, int]]) -> np.ndarray:
-        """Probability that each (text, start, end) is a secret."""
-        out = []
-        for k in range(0, len(found), 256):
-            windows, marks = map(np.stack, zip(*(window(*f) for f in found[k : k + 256])))
-            out.append(_features(self.net, windows, marks)[2])
-        return sigmoid(self.slope * self.net.head(np.concatenate(out)) + self.shift) if out else np.zeros(0)
+        """Probability that each (text, start, end) is a secret, or holds one."""
+        return sigmoid(self.slope * _logits(self.net, found) + self.shift)
+
+
+def _logits(net: ByteNet, found: list[tuple[bytes, int, int]]) -> np.ndarray:
+    """The largest of each one's pieces."""
+    parts = [pieces(a, b) for _, a, b in found]
+    asked = [(t, *p) for (t, _, _), own in zip(found, parts) for p in own]
+    out = []
+    for k in range(0, len(asked), 256):
+        windows, marks = map(np.stack, zip(*(window(*f) for f in asked[k : k + 256])))
+        out.append(net.head(_features(net, windows, marks)[2]))
+    count = np.array([len(own) for own in parts], np.int64)
+    return np.maximum.reduceat(np.concatenate(out), np.cumsum(count) - count) if out else np.zeros(0)
 
 
 def _features(net: ByteNet, windows: np.ndarray, marks: np.ndarray):
@@ -149,13 +188,14 @@ def _features(net: ByteNet, windows: np.ndarray, marks: np.ndarray):
     return x, (place, top, out, own), np.concatenate([top, mean], axis=1).astype(np.float32)
 
 
-def train(findings: list[tuple[bytes, int, int, int]], seed: int = SEED) -> SecretModel:
-    """A quarter of the findings is kept back for calibration and the threshold."""
+def train(findings: list[tuple], seed: int = SEED) -> SecretModel:
+    """findings as labelled_findings gives them, the last two fields optional. A quarter is kept back for calibration and the threshold."""
     net = ByteNet(4, 1, DIM, FILTERS, 2 * FILTERS, HIDDEN, seed, channels=1)
-    windows, marks = map(np.stack, zip(*(window(*f[:3]) for f in findings)))
-    labels = np.array([f[3] for f in findings], np.float64)
     order = np.random.default_rng(seed).permutation(len(findings))
-    kept, used = order[: len(order) // 4], order[len(order) // 4 :]
+    kept, learnt = ([findings[i] for i in part] for part in (order[: len(order) // 4], order[len(order) // 4 :]))
+    parts = [(f[0], *p, f[3]) for f in learnt for p in _used_pieces(f)]
+    windows, marks = map(np.stack, zip(*(window(*f[:3]) for f in parts)))
+    labels, used = np.array([f[3] for f in parts], np.float64), np.arange(len(parts))
     adam, r = Adam(net.p, 5e-3), np.random.default_rng(seed + 1)
     for k in range(PASSES):
         adam.rate = 5e-3 * (1 - k / PASSES) + 3e-4
@@ -171,15 +211,17 @@ def train(findings: list[tuple[bytes, int, int, int]], seed: int = SEED) -> Secr
             grads["filter"] += net.patches(x).reshape(-1, net.width * net.dim).T @ spread.reshape(-1, FILTERS)
             grads["shift"] += spread.sum(axis=(0, 1))
             adam.step({n: g.astype(np.float32) for n, g in grads.items()})
-    logits = net.head(_features(net, windows[kept], marks[kept])[2])
-    slope, shift = calibration(logits, labels[kept])
-    good = np.sort(sigmoid(slope * logits + shift)[labels[kept] == 1])
-    return SecretModel(net, slope, shift, float(max(0.5, good[int((1 - RECALL) * len(good))])))
+    logits, own = _logits(net, [f[:3] for f in kept]), np.array([f[3] for f in kept], np.float64)
+    slope, shift = calibration(logits, own)
+    score, long = sigmoid(slope * logits + shift), np.array([f[2] - f[1] > OWN for f in kept])
+    # short and long candidates each have to be found
+    good = [np.sort(score[(own == 1) & (long == k)]) for k in (False, True)]
+    return SecretModel(net, slope, shift, float(max(0.5, min(g[int((1 - RECALL) * len(g))] for g in good if len(g)))))
 
 
 @lru_cache(maxsize=1)
 def default_model() -> SecretModel:
-    return train(labelled_findings(FINDINGS, SEED))
+    return train(labelled_findings(FINDINGS, SEED) + labelled_findings(FINDINGS // 2, SEED + 1, inside=True))
 
 
 def find(texts: list[bytes], model: SecretModel) -> list[list[tuple[int, int, int, float]]]:
