@@ -58,6 +58,15 @@ def test_pages_operator(spark):
     assert tiff.read_pages(df.limit(0)).collect() == []
 
 
+def test_pages_after_a_damaged_one(spark):
+    pages = [np.full((8, 8), k, "u1") for k in range(3)]
+    blob = bytearray(tiff.write_tiff(pages, "deflate"))
+    at = list(tiff.read_directories(bytes(blob)))[1][tiff.STRIP_AT][0]
+    blob[at : at + 2] = b"\xff\xff"
+    rows = sorted(tiff.read_pages(spark.createDataFrame([(1, blob)], "id long, media binary")).collect(), key=lambda r: r.page)
+    assert [(r.page, r.error is None, r.pixels and bytes(r.pixels)) for r in rows] == [(0, True, bytes(64)), (1, False, None), (2, True, b"\x02" * 64)]
+
+
 def test_query_against_brute_force(spark, docs_with_odd_rows):
     got = {(r.doc_id, r.payload_sha256): r for r in tiff.media_digest(docs_with_odd_rows).collect()}
     for r in docs_with_odd_rows.collect():

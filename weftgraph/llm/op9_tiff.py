@@ -267,7 +267,12 @@ def _page_rows(batches, media: str):
                 continue
             rows: list[tuple] = []
             try:
-                for k, (fields, page) in enumerate(read_tiff(blob)):
+                for k, fields in enumerate(read_directories(blob)):
+                    try:
+                        page = read_page(blob, fields)
+                    except BadTiff as e:
+                        rows.append((k, None, None, None, None, None, None, str(e)))
+                        continue
                     rows.append((k, page.shape[1], page.shape[0], page.shape[2], 8 * page.itemsize, fields.get(COMPRESSION, [NONE])[0], page.tobytes(), None))
             except BadTiff as e:
                 rows.append((len(rows), None, None, None, None, None, None, str(e)))
@@ -280,8 +285,8 @@ def _page_rows(batches, media: str):
 def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per page of each image: its other columns, page from 0, width, height, samples, bits, compression and pixels.
 
-    Pixels are native-endian samples in rows. Null media give no row; what can't be read gives one row
-    with null figures and the reason in error, after the pages before it. Columns of df with the names
+    Pixels are native-endian samples in rows. Null media give no row; a page that can't be read gives
+    a row with null figures and the reason in error, and so does the place where the chain of pages breaks off. Columns of df with the names
     of the new ones are left out.
     """
     made = {"page", "width", "height", "samples", "bits", "compression", "pixels", "error"}
