@@ -126,6 +126,16 @@ def test_secrets_inside_long_runs():
         assert [k for _, k, _, _ in secrets.find([text.encode()], model)[0]] == [3], key
 
 
+def test_threshold_keeps_recall():
+    """Where secrets look like harmless runs, precision gives way, with a warning."""
+    found = secrets.labelled_findings(2400, 77)
+    hard = [(*f[:3], 1 if f[3] or i % 6 == 0 else 0) for i, f in enumerate(found)]
+    with pytest.warns(UserWarning, match="precision"):
+        model = secrets.train(hard)
+    hit = model.scores([f[:3] for f in hard]) >= model.threshold
+    assert model.threshold < 0.5 and hit[[f[3] == 1 for f in hard]].mean() >= 0.95
+
+
 def test_secret_queries(spark, docs_with_odd_rows):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(secret_texts()[:300])] + [(9000, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in secrets.secrets(df).collect()}

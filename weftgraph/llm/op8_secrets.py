@@ -19,6 +19,7 @@ import hashlib
 import random
 import re
 import string
+import warnings
 from functools import lru_cache, partial
 
 import numpy as np
@@ -45,6 +46,8 @@ BEFORE, OWN, AFTER = 24, 64, 8
 LENGTH = BEFORE + OWN + AFTER
 FILTERS, DIM, HIDDEN = 24, 8, 16
 RECALL = 0.98
+#: Below this precision on kept-back findings, train() warns.
+PRECISION = 0.9
 FINDINGS, PASSES, SEED = 6000, 6, 11
 
 
@@ -216,7 +219,11 @@ def train(findings: list[tuple], seed: int = SEED) -> SecretModel:
     score, long = sigmoid(slope * logits + shift), np.array([f[2] - f[1] > OWN for f in kept])
     # short and long candidates each have to be found
     good = [np.sort(score[(own == 1) & (long == k)]) for k in (False, True)]
-    return SecretModel(net, slope, shift, float(max(0.5, min(g[int((1 - RECALL) * len(g))] for g in good if len(g)))))
+    threshold = float(min(g[int((1 - RECALL) * len(g))] for g in good if len(g)))
+    precision = float(own[score >= threshold].mean())
+    if precision < PRECISION:
+        warnings.warn(f"at recall {RECALL}, threshold {threshold:.3f}, the precision on kept-back findings is {precision:.3f}", stacklevel=2)
+    return SecretModel(net, slope, shift, threshold)
 
 
 @lru_cache(maxsize=1)
