@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored
+from weftgraph.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(least, "u")
         small = met.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "stars")
+        last, edges = edges, stored(small, "stars")
+        discard(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

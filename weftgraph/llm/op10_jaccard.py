@@ -1,19 +1,21 @@
 """n-gram Jaccard join by PartEnum signatures, and the components that its links make.
 
 Sets of like size form instances: with bands I(i) = [l, 4l/3], instance i holds the pairs of I(i)
-with I(i) and I(i+1). Two sets of it that are similar enough differ in at most k elements, so if the
-domain of shingles is dealt into n > k partitions, they agree on at least n - k of them; a set's
-signatures are its shares of the partitions. A share that is empty says nothing and is left out: a
-pair that only agrees on empty shares has n - k or more of them in both sets, and just for such sets
-the shingles of a prefix (in the order of hashes, a quarter of the set) are signatures too. So no
-similar pair is missed. Equal sets are one node from the start.
-
-Signatures travel packed, some ten bytes each. Sets that share one in a small group become candidate
-pairs. A large group (a passage that many texts share) makes none: a set with more signatures outside
-large groups than elements may differ finds all its partners there. The few sets that are left open
-get finer signatures, where a passage weighs less, and what then is still open is mostly copies of
-one text: they are compared with a leader of each group, some turns, and then with each other across
-the components that this has left.
+with I(i) and I(i+1). Two sets of it that are similar enough differ in at most k elements. The domain
+of shingles is partitioned in two levels: into more than k/2 groups, so that some group holds at most
+one element that differs, and each group into 3 cells, so that two of its cells hold none. A set's
+signatures are its shares of every subset of 2 of the 3 cells of every group; two similar sets have
+one in common. Shares that are empty say nothing and are left out: where two sets agree on nothing
+else, most of their shares are empty or differ, and just for such sets the shingles of a prefix (in
+the order of hashes, a quarter of the set) are signatures too. So no similar pair is missed. Equal
+sets are one node from the start.
+
+Signatures travel packed, some ten bytes each, in as many buckets as their number asks for. Sets that
+share one in a small group become candidate pairs. A large group (a passage that many texts share)
+makes none: a set with more signatures outside large groups than may change finds all its partners
+there. The few sets that are left open get finer signatures, where a passage weighs less, and what
+then is still open is mostly copies of one text: they are compared with a leader of each group, some
+turns, and then with each other across the components that this has left, in blocks dealt to tasks.
 Sizes and bitmaps of parities rule out most pairs by an exact bound; the rest are checked on their sets.
 
 Components need no link within what is joined already, but numbers of links do. Every similar pair that
@@ -32,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import chunks, stored, table, utf8
+from weftgraph.llm.common import chunks, discard, free_names, kind_of, likely, mapped, prepare, schema_of, stored, table, utf8
 from weftgraph.llm.components import components
 from weftgraph.llm.shingles import mix, set_names, shingle_sets
 
 WORDS, NUM, DEN = 5, 75, 100
-#: Partitions for each element that may differ, on the first pass and on the second, over sets that the first leaves open.
-SPARE = (1.2, 4.0)
+#: Subsets of a group's three cells that make its signatures.
+SUBSETS = ((0, 1), (0, 2), (1, 2))
+#: Groups for each element that may differ, on the first pass and on the second, over sets that the first leaves open. 0.5 is the least.
+SPARE = (0.6, 2.0)
 #: Groups up to this size give all their pairs at once.
 SMALL = 12
 #: Leaders that the groups of one large cluster have between them, and turns with other leaders.
@@ -48,6 +52,8 @@ AT_ONCE = 1 << 20
 PACK = 2 << 20
 #: Sets of a block of open sets, and their shingles, on average.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 17
+#: Bytes of packed signatures in a bucket, and about how many a shingle has on each pass.
+BUCKET, PER_SHINGLE = 8 << 20, (11, 36)
 
 
 def band_edges(top: int, num: int = NUM, den: int = DEN) -> np.ndarray:
@@ -59,14 +65,21 @@ def band_edges(top: int, num: int = NUM, den: int = DEN) -> np.ndarray:
 
 
 def instance(i: int, edges: np.ndarray, spare: float, num: int = NUM, den: int = DEN) -> tuple[int, int]:
-    """How much two similar sets of instance i may differ, and its number of partitions."""
+    """How many signatures of one of two similar sets of instance i may not be the other's, and the number of groups.
+
+    An element that differs changes one cell: the first of a group changes two of its subsets, the second the third.
+    """
     most = int(edges[i + 1]) - 1 + int(edges[i + 2]) - 1  # of the two sizes together
     differ = max(0, *(s - 2 * -(-num * s // (num + den)) for s in range(max(2, most - 16), most + 1)))
-    return differ, int(np.ceil(spare * (differ + 1)))
+    groups = int(np.ceil(spare * (differ + 1)))
+    return 2 * min(differ, groups) + max(0, differ - groups), groups
 
 
-def shares(doc: np.ndarray, h: np.ndarray, n: int, level: int, num: int = NUM, den: int = DEN):
-    """For each instance: (number, salt, how much may differ, texts in it, their shingles d and x, where shares begin, shares' owners and partitions)."""
+def cells(doc: np.ndarray, h: np.ndarray, n: int, level: int, num: int = NUM, den: int = DEN):
+    """For each instance: (number, salt, how many signatures may change, its texts, their shingles d and x, texts x groups x 3 shares).
+
+    A cell's share is a sum over the hashes in it; 0 if there are none.
+    """
     size = np.bincount(doc, minlength=n)
     edges = band_edges(int(size.max(initial=1)), num, den)
     band = np.searchsorted(edges, size, side="right") - 1
@@ -76,23 +89,27 @@ def shares(doc: np.ndarray, h: np.ndarray, n: int, level: int, num: int = NUM, d
             continue
         rows = chosen[doc]
         d, x = doc[rows], h[rows]
-        differ, n_parts = instance(i, edges, SPARE[level], num, den)
+        changed, groups = instance(i, edges, SPARE[level], num, den)
         salt = np.uint64((2 * i + level + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)
-        part = ((x >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)  # ascending, as x is within a text
-        cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (part[1:] != part[:-1])]))
-        yield i, salt, differ, chosen, d, x, cut, d[cut], part[cut]
+        texts = np.flatnonzero(chosen)
+        cell = ((x >> np.uint64(32)) * np.uint64(3 * groups) >> np.uint64(32)).astype(np.int64)  # ascending, as x is within a text
+        at = np.searchsorted(texts, d) * 3 * groups + cell
+        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        share = np.zeros(len(texts) * groups * 3, np.uint64)
+        share[at[cut]] = np.add.reduceat(mix(x ^ np.uint64(0x5851F42D4C957F2D)), cut) | np.uint64(1)
+        yield i, salt, changed, texts, d, x, share.reshape(len(texts), groups, 3)
 
 
 def spare_shares(doc: np.ndarray, h: np.ndarray, n: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text and parity of instances: shares that aren't empty less how many may differ.
+    """For each text and parity of instances: its signatures less how many of them may change.
 
     If fewer than that many of a set's signatures are in large groups, more of the others remain than may
-    differ; so every similar set shares one of those, and the large groups can do without this set.
+    change; so every similar set shares one of those, and the large groups can do without this set.
     """
     out = np.zeros((2, n), np.int64)
-    for i, _, differ, chosen, _, _, _, owner, _ in shares(doc, h, n, level):
-        full = np.bincount(owner, minlength=n)
-        out[i & 1][chosen] = full[chosen] - differ
+    for i, _, changed, texts, _, _, share in cells(doc, h, n, level):
+        full = share != 0
+        out[i & 1][texts] = sum((full[:, :, a] | full[:, :, b]).sum(axis=1) for a, b in SUBSETS) - changed
     return out[0], out[1]
 
 
@@ -100,13 +117,16 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int, level: int = 0, num: int
     """(doc, signature) of n texts' sets; doc and h as shingle_sets gives them. The lowest bit is the instance's parity."""
     size = np.bincount(doc, minlength=n)
     out_doc, out_sig = [], []
-    for i, salt, differ, chosen, d, x, cut, owner, part in shares(doc, h, n, level, num, den):
-        parity = np.uint64(i & 1)
-        share = np.add.reduceat(mix(x ^ np.uint64(0x5851F42D4C957F2D)), cut)
-        out_doc.append(owner)
-        out_sig.append(mix(share + salt + mix(part.astype(np.uint64))) & ~np.uint64(1) | parity)
-        full = np.bincount(owner, minlength=n)
-        lacking = chosen & (full <= differ)  # the empty shares may be all that a pair agrees on
+    for i, salt, changed, texts, d, x, share in cells(doc, h, n, level, num, den):
+        parity, full = np.uint64(i & 1), np.zeros(len(texts), np.int64)
+        for k, (a, b) in enumerate(SUBSETS):
+            row, group = np.nonzero((share[:, :, a] != 0) | (share[:, :, b] != 0))
+            full += np.bincount(row, minlength=len(texts))
+            both = mix(share[row, group, a]) + share[row, group, b] * np.uint64(0x9E3779B97F4A7C15)
+            out_doc.append(texts[row])
+            out_sig.append(mix(both + salt + mix((group * 3 + k).astype(np.uint64))) & ~np.uint64(1) | parity)
+        lacking = np.zeros(n, bool)  # the empty shares may be all that a pair agrees on
+        lacking[texts] = full <= changed
         if lacking.any():
             rows = lacking[d]
             first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
@@ -261,19 +281,11 @@ def _on_both(pairs: DataFrame, sides: DataFrame, columns: dict[str, tuple[str, s
     return pairs.join(right, "b").join(left, "a")
 
 
-def _marked(df: DataFrame, ids: DataFrame, bits: int = 1 << 20) -> DataFrame:
-    """df without most rows whose doc_id isn't in ids (doc_id): a filter of fixed size, so it may be broadcast; a join follows."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("m"))
-    found = df.withColumn("p", place).withColumn("w", F.shiftright("p", 6)).join(F.broadcast(words), "w")  # bits / 64 rows at most
-    return found.where("getbit(m, cast(p % 64 as int)) = 1").drop("p", "w", "m")
-
-
 def _sets_of(stands: DataFrame, data: DataFrame, words: int) -> DataFrame:
     """(node, hashes) of stands (node, doc_id), made again from the texts."""
     right = stands.withColumnRenamed("doc_id", "id")
-    texts = _marked(data, stands).join(right, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "data")
-    return texts.mapInArrow(partial(_set_batches, words=words), "node long, hashes binary").dropDuplicates(["node"])
+    texts = likely(data, stands.select("doc_id"), "doc_id").join(right, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "data")
+    return mapped(texts, partial(_set_batches, words=words), "node long, hashes binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, data: DataFrame, words: int) -> DataFrame:
@@ -283,15 +295,21 @@ def _verified(pairs: DataFrame, nodes: DataFrame, data: DataFrame, words: int) -
     left are made again from the texts and compared.
     """
     near = _on_both(pairs, nodes, {"sketch": ("x", "y"), "n_shingles": ("m", "n")})
-    near = stored(near.mapInArrow(partial(_near_batches, num=NUM, den=DEN), "a long, b long"), "jaccard-near")
+    near = stored(mapped(near, partial(_near_batches, num=NUM, den=DEN), "a long, b long"), "jaccard-near")
     asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stands = stored(nodes.join(asked, "node", "left_semi").select("node", "doc_id"), "jaccard-stands")
-    both = _on_both(near, stored(_sets_of(stands, data, words), "jaccard-sets"), {"hashes": ("x", "y")})
-    return both.mapInArrow(partial(_verify_batches, num=NUM, den=DEN), "a long, b long")
+    sets = stored(_sets_of(stands, data, words), "jaccard-sets")
+    both = _on_both(near, sets, {"hashes": ("x", "y")})
+    good = stored(mapped(both, partial(_verify_batches, num=NUM, den=DEN), "a long, b long"), "jaccard-verified")
+    discard(near, stands, sets)
+    return good
+
 
+def near_pairs(node: np.ndarray, component: np.ndarray, size: np.ndarray, block: np.ndarray, sketches: list[bytes], num: int = NUM, den: int = DEN) -> Iterator[np.ndarray]:
+    """Pairs of nodes of different components whose sizes and sketches don't rule them out, some rows at a time.
 
-def near_pairs(node: np.ndarray, component: np.ndarray, size: np.ndarray, sketches: list[bytes], num: int = NUM, den: int = DEN) -> Iterator[np.ndarray]:
-    """Pairs of a group's nodes of different components whose sizes and sketches don't rule them out, some rows at a time."""
+    The nodes are those of one block of a group, or of two blocks, between which the pairs are then.
+    """
     width = min(len(x) for x in sketches)
     rows = []
     for x in sketches:
@@ -300,28 +318,60 @@ def near_pairs(node: np.ndarray, component: np.ndarray, size: np.ndarray, sketch
             p = p[: len(p) // 2] ^ p[len(p) // 2 :]
         rows.append(p)
     bits = np.stack(rows)
-    step = max(1, (1 << 22) // bits.size)
+    two = block.min() != block.max()
+    step = max(1, (1 << 18) // len(node))
     for k in range(0, len(node), step):
         both = size[k : k + step, None] + size[None, :]
         differ = both - 2 * -(-num * both // (num + den))
         near = (component[k : k + step, None] != component[None, :]) & (node[k : k + step, None] < node[None, :]) & (np.abs(size[k : k + step, None] - size[None, :]) <= differ)
+        if two:
+            near &= block[k : k + step, None] != block[None, :]
         i, j = np.nonzero(near)
-        for c in range(0, len(i), 1 << 18):
-            p, q = i[c : c + (1 << 18)] + k, j[c : c + (1 << 18)]
+        some = max(1, (1 << 20) // bits.shape[1])
+        for c in range(0, len(i), some):
+            p, q = i[c : c + some] + k, j[c : c + some]
             good = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1) <= differ[p - k, q]
             yield np.stack([node[p[good]], node[q[good]]], axis=1)
 
 
 def _compare_groups(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = pa.Table.from_batches(list(batches)).sort_by("sig")
-    sig, node, component, size = (rows.column(c).to_numpy() for c in ("sig", "node", "component", "n_shingles"))
+    rows = pa.Table.from_batches(list(batches)).sort_by([("sig", "ascending"), ("low", "ascending"), ("high", "ascending")])
+    sig, low, high, node, component, size, block = (rows.column(c).to_numpy() for c in ("sig", "low", "high", "node", "component", "n_shingles", "block"))
     sketches = rows.column("sketch")
-    found = np.zeros((0, 2), np.int64)
-    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else []
+    first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(sig) else []
+    found, held = [np.zeros((0, 2), np.int64)], 0
+
+    def packed():
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["a", "b"])
+
     for a, b in zip(first, np.append(first[1:], len(sig))):
-        own = [found, *near_pairs(node[a:b], component[a:b], size[a:b], sketches.slice(a, b - a).to_pylist())]
-        found = np.unique(np.concatenate(own), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+        for pairs in near_pairs(node[a:b], component[a:b], size[a:b], block[a:b], sketches.slice(a, b - a).to_pylist()):
+            found.append(pairs)
+            held += len(pairs)
+            if held >= 1 << 18:
+                yield packed()
+                found, held = [], 0
+    if found:
+        yield packed()
+
+
+def _met_in_groups(members: DataFrame) -> DataFrame:
+    """(a, b) of near sets of different components in groups: members (sig, node, component, n_shingles, sketch).
+
+    A group is cut into blocks of BLOCK sets, and each two blocks of it are one piece of work, whichever task that falls to.
+    """
+    spark = members.sparkSession
+    sizes = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = stored(dealt.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "n_shingles", "sketch"), "jaccard-dealt")
+    rows, shingles = dealt.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // (4 * BLOCK), shingles // (8 * BLOCK_SHINGLES))
+    bucket = F.pmod(F.xxhash64("sig", "low", "high"), F.lit(buckets))
+    met = stored(dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_compare_groups, "a long, b long").distinct(), "jaccard-met")
+    discard(dealt)
+    return met
 
 
 def shared_counts(sizes: list[np.ndarray], hashes: list[np.ndarray]) -> np.ndarray:
@@ -395,13 +445,15 @@ def links_within(open_: DataFrame, joined: DataFrame, nodes: DataFrame, data: Da
     right = packed.select("component", *[F.col(c).alias(f"o_{c}") for c in packed.columns if c != "component"])
     both = met.join(packed, ["component", "band", "block"]).join(right, ["component", "o_band", "o_block"])
     both = both.select("nodes", "sizes", "hashes", "o_nodes", "o_sizes", "o_hashes", F.expr("band = o_band and block = o_block").alias("same"))
-    return stored(both.mapInArrow(partial(_count_blocks, num=NUM, den=DEN), "node long, n_links long"), "jaccard-within")
+    counted = stored(mapped(both, partial(_count_blocks, num=NUM, den=DEN), "node long, n_links long"), "jaccard-within")
+    discard(placed, dealt, packed, met)
+    return counted
 
 
-def _candidates(data: DataFrame, words: int, level: int) -> DataFrame:
-    """data (doc_id, data) -> (kind, a, b): pairs of nodes (0), or signatures of large groups and their nodes (1)."""
-    buckets = 2 * int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = data.mapInArrow(partial(_pack_batches, words=words, buckets=buckets, level=level), "bucket int, wide int, names binary, refs binary, sigs binary")
+def _candidates(data: DataFrame, words: int, level: int, shingles: int) -> DataFrame:
+    """data (doc_id, data) with so many shingles -> (kind, a, b): pairs of nodes (0), or signatures of large groups and their nodes (1)."""
+    buckets = max(4 * int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles * PER_SHINGLE[level] // BUCKET))
+    packed = mapped(data, partial(_pack_batches, words=words, buckets=min(buckets, 1 << 16), level=level), "bucket int, wide int, names binary, refs binary, sigs binary")
     return stored(packed.groupBy("bucket").applyInArrow(_bucket_candidates, "kind int, a long, b long"), f"jaccard-candidates-{level}")
 
 
@@ -420,8 +472,10 @@ def _still_open(found: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
     kept = hot.join(nodes.select("node", f"spare_{level}_0", f"spare_{level}_1"), "node").select("node", "parity", (F.col("n") - spare + 1).alias("enough")).where("enough > 0")
     rank = F.row_number().over(W.partitionBy("node", "parity").orderBy("size", "sig"))
     few = large.join(kept, ["node", "parity"]).withColumn("rank", rank).where("rank <= enough").select("sig", "node")
-    few = stored(few, f"jaccard-open-{level}")
-    return few.join(few.groupBy("sig").count().where("count > 1").select("sig"), "sig")
+    few = stored(few, f"jaccard-few-{level}")
+    open_ = stored(few.join(few.groupBy("sig").count().where("count > 1").select("sig"), "sig"), f"jaccard-open-{level}")
+    discard(large, few)
+    return open_
 
 
 def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -431,25 +485,29 @@ def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, Da
     of their own; those that even these leave in large groups (most of such a set is common to many) are
     compared with leaders first, and then, across the components that this makes, with each other.
     """
+    prepare(docs.sparkSession)
     data = docs.select("doc_id", utf8("text").alias("data"))
-    schema = "doc_id long, n_shingles long, node long, sketch binary, spare_0_0 int, spare_0_1 int, spare_1_0 int, spare_1_1 int"
-    named = stored(data.mapInArrow(partial(_name_batches, words=words), schema), "jaccard-nodes")
+    schema = f"doc_id {kind_of(docs, 'doc_id')}, n_shingles long, node long, sketch binary, spare_0_0 int, spare_0_1 int, spare_1_0 int, spare_1_1 int"
+    named = stored(mapped(data, partial(_name_batches, words=words), schema), "jaccard-nodes")
     # one document stands for its node
     rest = [F.first(c).alias(c) for c in NAMED if c not in ("doc_id", "node")]
     nodes = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *rest)
-    found = _candidates(data, words, 0)
+    total = F.coalesce(F.sum("n_shingles"), F.lit(0))
+    found = _candidates(data, words, 0, named.agg(total).first()[0])
     pairs = found.where("kind = 0").select("a", "b")
-    open_ = _still_open(found, nodes, 0)
+    open_, finer = _still_open(found, nodes, 0), None
     again = not open_.isEmpty()
     if again:
         asked = open_.select("node").distinct()
-        stands = stored(nodes.join(asked, "node", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "jaccard-stands")
-        texts = _marked(data, stands.withColumnRenamed("id", "doc_id")).join(stands, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "data")
-        finer = _candidates(texts, words, 1)
-        open_ = stored(_still_open(finer, nodes, 1), "jaccard-open")
+        stands = stored(nodes.join(asked, "node", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n_shingles")), "jaccard-stands")
+        texts = likely(data, stands.select("id"), "doc_id").join(stands, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "data")
+        finer = _candidates(texts, words, 1, stands.agg(total).first()[0])
+        coarse, open_ = open_, _still_open(finer, nodes, 1)
         pairs = pairs.unionByName(finer.where("kind = 0").select("a", "b"))
+        discard(coarse, stands)
     pairs = stored(pairs.distinct(), "jaccard-pairs")
-    good = stored(_verified(pairs, nodes, data, words), "jaccard-links")
+    discard(found, finer)
+    good = _verified(pairs, nodes, data, words)
     for turn in range(TURNS + 1) if again else ():
         placed = open_.join(components(good), "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
         several = placed.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("sig")
@@ -459,14 +517,13 @@ def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, Da
         if turn < TURNS:
             order = F.xxhash64("node", F.col("sig") % LEADERS, F.lit(turn))
             leader = rest.groupBy("sig").agg(F.min_by(F.struct("node", "component"), order).alias("lead"))
-            met = rest.join(leader, "sig").where("component != lead.component").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+            met = rest.join(leader, "sig").where("component != lead.component").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         else:
-            members = rest.join(nodes.select("node", "n_shingles", "sketch"), "node").select("sig", "node", "component", "n_shingles", "sketch")
-            buckets = 2 * int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            met = members.withColumn("bucket", F.pmod("sig", F.lit(buckets))).groupBy("bucket").applyInArrow(_compare_groups, "a long, b long")
-        more = stored(met.distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
-        good = stored(good.unionByName(_verified(more, nodes, data, words)), "jaccard-links")
-        pairs = pairs.unionByName(more)
+            met = _met_in_groups(rest.join(nodes.select("node", "n_shingles", "sketch"), "node").select("sig", "node", "component", "n_shingles", "sketch"))
+        more = stored(met.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
+        fresh = _verified(more, nodes, data, words)
+        good, pairs = stored(good.unionByName(fresh), "jaccard-links"), pairs.unionByName(more)
+        discard(rest, fresh)
     return named.select("doc_id", "n_shingles", "node"), good, open_.select("node").distinct() if again else None
 
 
@@ -483,7 +540,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     within = None
     if open_ is not None:
         # links between two open nodes are counted by components, all others one by one
-        open_ = stored(open_, "jaccard-open")
+        open_ = stored(open_, "jaccard-open-nodes")
         joined = stored(joined, "jaccard-joined")
         within = links_within(open_, joined, nodes.withColumnRenamed("least", "doc_id"), docs.select("doc_id", utf8("text").alias("data")), words)
         left, right = open_.select(F.col("node").alias("a"), F.lit(True).alias("open_a")), open_.select(F.col("node").alias("b"), F.lit(True).alias("open_b"))
@@ -499,31 +556,32 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return out.unionByName(alone)
 
 
-def _node_batches(batches, words: int):
+def _node_batches(batches, words: int, node: str):
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         for a, b in chunks([len(t) for t in texts], AT_ONCE):
             _, name = set_names(*shingle_sets(texts[a:b], words), b - a)
-            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(name, pa.int64())], names=[*batch.schema.names, "__node"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(name, pa.int64())], names=[*batch.schema.names, node])
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with one document of each group of similar ones: that of the smallest doc_id. Texts without words all stay.
 
-    Columns stay. Of rows alike in id and words one stays; null ids come after others.
+    Columns stay, whatever their names. Of rows alike in id and words one stays; null ids come after others.
     """
     named, good, _ = links(docs, words)
     joined = components(good)
+    node, id_, n, nth = free_names(docs, "node", "id", "n", "nth")
     own = named.where("n_shingles > 0").join(joined, "node", "left")
     first = own.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("one"))
-    chosen = first.select(F.col("one.doc_id").alias("__id"), F.col("one.node").alias("__n"))
-    chosen = chosen.unionByName(named.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("node").alias("__n")).distinct())
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "__node long"])
-    kept = docs.mapInArrow(partial(_node_batches, words=words), schema).join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__n")))
+    chosen = first.select(F.col("one.doc_id").alias(id_), F.col("one.node").alias(n))
+    chosen = chosen.unionByName(named.where("n_shingles = 0").select(F.col("doc_id").alias(id_), F.col("node").alias(n)).distinct())
+    kept = mapped(docs, partial(_node_batches, words=words, node=node), schema_of(docs, docs.columns, f"`{node}` long"))
+    kept = kept.join(chosen, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(node) == F.col(n)))
     # numbering rows costs a shuffle of texts, so only where some are alike
     if not named.where("n_shingles > 0").groupBy("doc_id", "node").count().where("count > 1").isEmpty():
-        alike = F.row_number().over(W.partitionBy("doc_id", "__node").orderBy(F.xxhash64(*docs.columns)))
-        kept = kept.withColumn("__nth", alike).where("__nth = 1 or __node = 0")
+        alike = F.row_number().over(W.partitionBy("doc_id", node).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+        kept = kept.withColumn(nth, alike).where((F.col(nth) == 1) | (F.col(node) == 0))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

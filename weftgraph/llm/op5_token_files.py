@@ -24,14 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import chunks, shared_dir, table
+from weftgraph.llm.common import chunks, kind_of, mapped, shared_dir, table
 from weftgraph.llm.word_tokens import word_tokens
 
 FILE = "word_bpe_49k.json"
 END_ID = 2
 MAGIC = b"DAC1"
 BLOCK = 64
-SEGMENT = "part int, first long, doc_ids array<long>, ends array<long>, codes binary"
+
+
+def segment(kind: str) -> str:
+    """Columns of a segment of documents whose ids are of that type."""
+    return f"part int, first long, doc_ids array<{kind}>, ends array<long>, codes binary"
 
 
 def default_file() -> str:
@@ -115,7 +119,7 @@ def _segments(batches, path: str, end_id: int):
             codes = pack_codes(np.frombuffer(b"".join(got), "<u4"))
             ids = keys.slice(a, b - a)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([codes], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([codes], pa.binary())],
                 names=["part", "first", "doc_ids", "ends", "codes"],
             )
             first += int(ends[-1])
@@ -124,29 +128,30 @@ def _segments(batches, path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, file: str | None = None, end_id: int = END_ID) -> None:
     """Write the ids of docs (doc_id, text) in ascending doc_id order; null ids come first, null texts count as empty.
 
-    Rows of one doc_id are in the order of their texts' hashes, then texts, so reruns agree.
+    Ids are numbers or strings; other columns aren't written. Rows of one doc_id are in the order of their texts' hashes, then texts, so reruns agree.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     dealt = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    dealt.mapInArrow(partial(_segments, path=file or default_file(), end_id=end_id), SEGMENT).write.option("compression", "zstd").parquet(path)
+    mapped(dealt, partial(_segments, path=file or default_file(), end_id=end_id), segment(kind_of(docs, "doc_id"))).write.option("compression", "zstd").parquet(path)
 
 
 def _read_batches(batches):
     for batch in batches:
+        key = batch.column("doc_ids").type.value_type
         for row in batch.to_pylist():
             codes, start = Codes(row["codes"]), row["before"] + row["first"]
             ends = row["ends"]
             starts = [0, *ends[:-1]]
             crc = [zlib.crc32(codes.slice(a, b).tobytes()) for a, b in zip(starts, ends)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array([start + a for a in starts], pa.int64()), pa.array([b - a for a, b in zip(starts, ends)], pa.int64()), pa.array(crc, pa.int64())],
+                [pa.array(row["doc_ids"], key), pa.array([start + a for a in starts], pa.int64()), pa.array([b - a for a, b in zip(starts, ends)], pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
 
 def placed_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments with before: the ids of all earlier parts. Parts are as many as tasks that wrote them."""
-    files = spark.read.schema(SEGMENT).parquet(path)
+    files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum(F.element_at("ends", -1)).alias("n"))
     before = totals.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return files.join(before, "part")
@@ -154,7 +159,8 @@ def placed_segments(spark: SparkSession, path: str) -> DataFrame:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: start, n_tokens and the crc32 of its ids."""
-    return placed_segments(spark, path).select("before", "first", "doc_ids", "ends", "codes").mapInArrow(_read_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = placed_segments(spark, path).select("before", "first", "doc_ids", "ends", "codes")
+    return mapped(placed, _read_batches, f"doc_id {placed.schema['doc_ids'].dataType.elementType.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored, table
+from weftgraph.llm.common import mapped, stored, table
 
 NEAREST = 20
 EVERY = 20
@@ -30,6 +30,8 @@ TRAIN_ROWS, BOOKS, WORDS, BEAM = 8192, 8, 256, 4
 #: Rows of an index block, queries of a query block, candidates of a block that are scored exactly.
 BLOCK, QUERIES, SHORT = 16384, 1024, 256
 ROUNDS = 6
+#: Lengths of vectors in one table; each has its own index.
+LENGTHS = 8
 
 
 class Codebooks:
@@ -204,32 +206,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, short: int
     """For each query (vec_id, embedding) its k nearest vectors found, by inner product: query_id, rank, vec_id, score.
 
     A query's own vec_id is no candidate. Each vec_id counts once a query, with its best score if rows
-    repeat it. Only vectors of the length most common take part. Null, zero and non-finite vectors take
-    none. Fewer candidates than k give all of them.
+    repeat it, and each query id once, with its best score to a vec_id over its rows. Null, zero and
+    non-finite vectors take no part. A query meets the vectors of its own length; there is an index for
+    each of the few lengths. Ids are whole numbers. Fewer candidates than k give all of them.
     """
     vectors, queries = usable(vectors), usable(queries)
-    length = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    spark = vectors.sparkSession
-    if not length:
-        return spark.createDataFrame([], schema)
-    vectors, queries = (df.where(F.size("embedding") == length[0].d) for df in (vectors, queries))
+    lengths = [r.d for r in vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS + 1).collect()]
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    found = [_met(*(df.where(F.size("embedding") == d) for df in (vectors, queries)), k, short) for d in lengths]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    best = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _met(vectors: DataFrame, queries: DataFrame, k: int, short: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k nearest of each index block, for vectors of one length."""
     # sorted, so that blocks are the same each time
     vectors = stored(vectors.dropDuplicates(["vec_id", "embedding"]).sortWithinPartitions("vec_id", "embedding"), "neighbours-vectors")
     queries = queries.dropDuplicates(["vec_id", "embedding"])
     model = train(vectors)
     block = "ids binary, vectors binary, codes binary, norms binary"
-    index = stored(vectors.mapInArrow(partial(_index_blocks, model=model, rows=BLOCK, with_codes=True), block), "neighbours-index")
-    asked = queries.mapInArrow(partial(_index_blocks, model=model, rows=QUERIES, with_codes=False), block)
+    index = stored(mapped(vectors, partial(_index_blocks, model=model, rows=BLOCK, with_codes=True), block), "neighbours-index")
+    asked = mapped(queries, partial(_index_blocks, model=model, rows=QUERIES, with_codes=False), block)
     # all query blocks go to every shard of index blocks: the stated query set against all rows, in blocks
     shards = max(1, -(-vectors.count() // BLOCK))
     index = index.withColumn("shard", F.pmod(F.crc32("ids"), F.lit(shards)))
     dealt = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     found = index.join(dealt, "shard").select("ids", "vectors", "codes", "norms", "q_ids", "q_vectors")
-    found = found.mapInArrow(partial(_search, model=model, nearest=k, short=short), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return mapped(found, partial(_search, model=model, nearest=k, short=short), "query_id long, vec_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import chunks, table, utf8
+from weftgraph.llm.common import chunks, kind_of, mapped, schema_of, table, utf8
 
 # Fixed values of the format: tag numbers, compression codes, bytes of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -28,6 +28,8 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CODES = {"none": NONE, "lzw": LZW, "deflate": DEFLATE, "packbits": PACKBITS}
 
+#: Bytes of a page that is read, unless the caller allows more, and of each byte that a code can hold (LZW's is the most).
+MOST_BYTES, EXPANDS = 1 << 28, 2600
 #: Layout of the query's images.
 ROW, PAGE_ROWS, ROWS_PER_STRIP = 64, 1024, 256
 
@@ -222,8 +224,8 @@ def read_directories(blob: bytes) -> Iterator[dict[int, list[int]]]:
         raise BadTiff(f"cut off: {e}") from None
 
 
-def read_page(blob: bytes, fields: dict) -> np.ndarray:
-    """Samples of one page, height x width x samples."""
+def read_page(blob: bytes, fields: dict, most: int = MOST_BYTES) -> np.ndarray:
+    """Samples of one page, height x width x samples; BadTiff if these are more than most bytes."""
     try:
         width, height = fields[WIDTH][0], fields[HEIGHT][0]
         samples = fields.get(SAMPLES, [1])[0]
@@ -234,8 +236,11 @@ def read_page(blob: bytes, fields: dict) -> np.ndarray:
         tall, wide = (fields[TILE_H][0], fields[TILE_W][0]) if tiled else (min(fields.get(STRIP_ROWS, [height])[0], height), width)
         places, sizes = (fields[TILE_AT], fields[TILE_BYTES]) if tiled else (fields[STRIP_AT], fields[STRIP_BYTES])
         across = -(-width // wide)
-        if len(places) != len(sizes) or len(places) < across * -(-height // tall) or width * height * samples > 1 << 31:
+        if len(places) != len(sizes) or len(places) < across * -(-height // tall):
             raise BadTiff("strips or tiles don't cover the page")
+        n_bytes = width * height * samples * bits // 8
+        if n_bytes > most or n_bytes > EXPANDS * sum(sizes):
+            raise BadTiff("a page of more bytes than its strips or tiles can hold, or than are allowed")
     except (KeyError, IndexError, ZeroDivisionError):
         raise BadTiff("a needed field is missing") from None
     kind = np.dtype("u1" if bits == 8 else fields["order"] + "u2")
@@ -259,7 +264,7 @@ def read_tiff(blob: bytes) -> Iterator[tuple[dict, np.ndarray]]:
         yield fields, read_page(blob, fields)
 
 
-def _page_rows(batches, media: str):
+def _page_rows(batches, media: str, most: int):
     for batch in batches:
         rest = [c for c in batch.schema.names if c != media]
         for i, blob in enumerate(batch.column(media).to_pylist()):
@@ -269,7 +274,7 @@ def _page_rows(batches, media: str):
             try:
                 for k, fields in enumerate(read_directories(blob)):
                     try:
-                        page = read_page(blob, fields)
+                        page = read_page(blob, fields, most)
                     except BadTiff as e:
                         rows.append((k, None, None, None, None, None, None, str(e)))
                         continue
@@ -282,7 +287,7 @@ def _page_rows(batches, media: str):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in rest), *(pa.array([v], t) for v, t in zip(r, kinds))], names=[*rest, *names])
 
 
-def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
+def read_pages(df: DataFrame, media: str = "media", most: int = MOST_BYTES) -> DataFrame:
     """One row per page of each image: its other columns, page from 0, width, height, samples, bits, compression and pixels.
 
     Pixels are native-endian samples in rows. Null media give no row; a page that can't be read gives
@@ -291,8 +296,8 @@ def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """
     made = {"page", "width", "height", "samples", "bits", "compression", "pixels", "error"}
     keep = [c for c in df.columns if c != media and c not in made]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "page int, width int, height int, samples int, bits int, compression int, pixels binary, error string"])
-    return df.select(*[F.col(f"`{c}`") for c in [*keep, media]]).mapInArrow(partial(_page_rows, media=media), schema)
+    schema = schema_of(df, keep, "page int, width int, height int, samples int, bits int, compression int, pixels binary, error string")
+    return mapped(df.select(*[F.col(f"`{c}`") for c in [*keep, media]]), partial(_page_rows, media=media, most=most), schema)
 
 
 def store_bytes(data: bytes) -> bytes:
@@ -325,8 +330,8 @@ def _store_batches(batches):
 
 def media_digest(docs: DataFrame) -> DataFrame:
     """Per document the digests and figures of its text stored as an image and read back; null counts as empty."""
-    return docs.select("doc_id", utf8("text").alias("data")).mapInArrow(
-        _store_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return mapped(
+        docs.select("doc_id", utf8("text").alias("data")), _store_batches, f"doc_id {kind_of(docs, 'doc_id')}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 
 
@@ -339,8 +344,7 @@ def _media_batches(batches, data: str, media: str):
 def with_media(df: DataFrame, data: str, media: str = "media") -> DataFrame:
     """df with the binary column stored as an image; null stays null."""
     keep = [c for c in df.columns if c != media]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{media}` binary"])
-    return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(partial(_media_batches, data=data, media=media), schema)
+    return mapped(df.select(*[F.col(f"`{c}`") for c in keep]), partial(_media_batches, data=data, media=media), schema_of(df, keep, f"`{media}` binary"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
