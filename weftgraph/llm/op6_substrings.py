@@ -11,8 +11,10 @@ make a context (about 270 bytes), and only contexts whose anchors are equal are
    ones are folded to one string with a count, and the suffix array of a bucket's strings (linear
    grouping, suffix_array.py) has repeated windows side by side.
 
-Hashes only bring things together; bytes decide where contexts differ. Hot anchors are counted where
-they are found before anything is shuffled, and copies of a context meet as a count.
+Contexts count as equal if two 64-bit hashes, the anchor's and their own, are; where they differ,
+bytes decide. Contexts travel packed, some 25 bytes each, in as many buckets as the texts' bytes ask
+for. Copies of a context that one step of a task finds are decided there and travel as one with a
+count, so a passage in a third of all documents loads no bucket with its copies.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored, table, utf8
+from weftgraph.llm.common import discard, free_names, kind_of, likely, mapped, prepare, stored, table, utf8
 from weftgraph.llm.shingles import LETTERS, mix, powers
 from weftgraph.llm.suffix_array import suffix_array
 
@@ -35,6 +37,10 @@ LENGTH, PIECE = 200, 64
 SLAB = 1 << 20
 #: Symbols of one suffix array; strings beyond go to another (anchors stay together).
 ARRAY = 1 << 20
+#: Contexts packed at once, and bytes of a bucket of contexts, or of their strings.
+PACK, BUCKET = 200_000, 8 << 20
+#: About how many bytes of packed contexts a byte of text makes.
+PACKED_SHARE = 0.45
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -72,32 +78,107 @@ def contexts(data: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tupl
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-FOUND = "anchor long, context long, doc_id long, h long, lo int, hi int, at int"
+def _pack(rows: list[tuple], ids: pa.Array, hashes: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """rows: (contexts, number of the text in ids and hashes). One row a bucket, and rows of bucket -1 for what is decided here.
 
-
-def _context_batches(batches):
+    A context that occurs again in these texts is repeated whole: its places go out as spans, and one of
+    them stands for all towards other contexts, with their count.
+    """
+    anchor, context, lo, hi, at = (np.concatenate(x) for x in zip(*(r[0] for r in rows)))
+    text = np.repeat([r[1] for r in rows], [len(r[0][0]) for r in rows])
+    order = np.lexsort((context, anchor))
+    anchor, context, lo, hi, at, text = (x[order] for x in (anchor, context, lo, hi, at, text))
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])]))
+    copies = np.diff(np.append(first, len(anchor)))
+    again = np.repeat(copies > 1, copies)
+    bucket = (anchor[first] >> np.uint64(24)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    keys, parts = [], []
+    for which in [np.flatnonzero(again), *np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)]:
+        if not len(which):
+            continue
+        decided = not keys and again.any()
+        keys.append(-1 if decided else int(bucket[which[0]]))
+        row = which if decided else first[which]
+        own, ref = np.unique(text[row], return_inverse=True)
+        body = [ref.astype("<u4"), lo[row].astype("<u4"), (hi - lo)[row].astype("<u2")]
+        if not decided:
+            body += [(at - lo)[row].astype("<u2"), anchor[row].astype("<u8"), context[row].astype("<u8"), copies[which].astype("<u4")]
+        parts.append((own, hashes[own].astype("<i8").tobytes(), len(row), *(x.tobytes() for x in body), *[b""] * (7 - len(body))))
+    # what is decided goes to buckets by turns
+    spread = int(anchor[0] >> np.uint64(24)) % buckets
+    ends = np.cumsum([0, *(len(x[0]) for x in parts)]).astype("int32")
+    owners = pa.ListArray.from_arrays(pa.array(ends), ids.take(pa.array(np.concatenate([x[0] for x in parts]))))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([spread if k < 0 else k for k in keys], pa.int32()), pa.array([k < 0 for k in keys]), owners, pa.array([x[1] for x in parts], pa.binary()), pa.array([x[2] for x in parts], pa.int32()), *(pa.array([x[k] for x in parts], pa.binary()) for k in range(3, 10))],
+        names=["bucket", "decided", "doc_ids", "hs", "n", "text", "lo", "size", "at", "anchor", "context", "copies"],
+    )
+
+
+def packed_schema(kind: str) -> str:
+    return f"bucket int, decided boolean, doc_ids array<{kind}>, hs binary, n int, text binary, lo binary, size binary, at binary, anchor binary, context binary, copies binary"
+
+
+def _context_batches(batches, buckets: int):
     for batch in batches:
-        ids, hs = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
+        ids, hs = batch.column("doc_id"), batch.column("h").to_numpy()
         rows, n = [], 0
-
-        def packed():
-            parts = [np.concatenate(x) for x in zip(*(r[0] for r in rows))]
-            count = [len(r[0][0]) for r in rows]
-            owner = np.repeat(np.arange(len(rows)), count)
-            ids_ = pa.array([r[1] for r in rows], pa.int64()).take(pa.array(owner))
-            hs_ = pa.array([r[2] for r in rows], pa.int64()).take(pa.array(owner))
-            return pa.RecordBatch.from_arrays([pa.array(parts[0].view(np.int64)), pa.array(parts[1].view(np.int64)), ids_, hs_, *(pa.array(x.astype(np.int32)) for x in parts[2:])], names=["anchor", "context", "doc_id", "h", "lo", "hi", "at"])
-
-        for data, i, h in zip(batch.column("data"), ids, hs):
+        for k, data in enumerate(batch.column("data")):
             found = contexts(np.frombuffer(data.as_buffer(), "u1"))
             if len(found[0]):
-                rows.append((found, i, h))
+                rows.append((found, k))
                 n += len(found[0])
-            if n >= 50_000:
-                yield packed()
+            if n >= PACK:
+                yield from _pack(rows, ids, hs, buckets)
                 rows, n = [], 0
         if rows:
-            yield packed()
+            yield from _pack(rows, ids, hs, buckets)
+
+
+def _sort_bucket(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of a bucket -> spans that repeat whole (anchor null), and contexts whose bytes have to be compared."""
+    ids, held = [], [[] for _ in range(8)]
+    n_texts = 0
+    for batch in batches:
+        lists, rows = batch.column("doc_ids"), batch.select(["decided", "hs", "n", "text", "lo", "size", "at", "anchor", "context", "copies"]).to_pylist()
+        for k, r in enumerate(rows):
+            own, hs = lists[k].values, np.frombuffer(r["hs"], "<i8")
+            text, lo, size = np.frombuffer(r["text"], "<u4"), np.frombuffer(r["lo"], "<u4"), np.frombuffer(r["size"], "<u2")
+            if r["decided"]:
+                nothing = [pa.nulls(r["n"], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+                hi = lo + size
+                yield _found(own.take(pa.array(text)), hs[text], lo, hi, *nothing)
+                continue
+            ids.append(own)
+            for column, x in zip(held, (text.astype(np.int64) + n_texts, lo, size, np.frombuffer(r["at"], "<u2"), np.frombuffer(r["anchor"], "<u8"), np.frombuffer(r["context"], "<u8"), np.frombuffer(r["copies"], "<u4"), hs)):
+                column.append(x)
+            n_texts += len(own)
+    if not ids:
+        return
+    owners = pa.concat_arrays(ids)
+    text, lo, size, at, anchor, context, copies, hs = (np.concatenate(x) for x in held)
+    order = np.lexsort((context, anchor))
+    text, lo, size, at, anchor, context, copies = (x[order] for x in (text, lo, size, at, anchor, context, copies))
+    new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    new = new_anchor | np.concatenate([[True], context[1:] != context[:-1]])
+    first, group = np.flatnonzero(new), np.flatnonzero(new_anchor[new])
+    total = np.add.reduceat(copies.astype(np.int64), first)  # of each context
+    own_rows, kinds = np.diff(np.append(first, len(anchor))), np.diff(np.append(group, len(first)))
+    # what one step counted several times is decided already; its other copies are here
+    whole = np.flatnonzero((np.repeat(total, own_rows) > 1) & (copies == 1))
+    nothing = [pa.nulls(len(whole), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+    if len(whole):
+        yield _found(owners.take(pa.array(text[whole])), hs[text[whole]], lo[whole], lo[whole] + size[whole], *nothing)
+    # anchors all of whose contexts have copies need no comparing
+    open_ = (kinds > 1) & (np.minimum.reduceat(total, group) == 1)
+    asked = first[np.repeat(open_, kinds)]
+    if len(asked):
+        rest = [pa.array(anchor[asked].view(np.int64)), pa.array(context[asked].view(np.int64)), pa.array(at[asked].astype(np.int32)), pa.array(total[np.repeat(open_, kinds)])]
+        yield _found(owners.take(pa.array(text[asked])), hs[text[asked]], lo[asked], lo[asked] + size[asked], *rest)
+
+
+def _found(ids: pa.Array, hs: np.ndarray, lo: np.ndarray, hi: np.ndarray, *rest: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(hs.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), *rest], names=["doc_id", "h", "lo", "hi", "anchor", "context", "at", "copies"])
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -187,33 +268,33 @@ def compared(groups: Iterator[list[tuple[int, bytes, int, int]]], length: int =
 
 def _compare_bucket(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches(list(batches)).sort_by([("anchor", "ascending"), ("context", "ascending")])
-    anchor, context = rows.column("anchor").to_pylist(), rows.column("context").to_pylist()
-    data, at, copies = (rows.column(c).to_pylist() for c in ("data", "at", "copies"))
+    anchor, lo = rows.column("anchor").to_pylist(), rows.column("lo").to_pylist()
+    data, at, copies = (rows.column(c) for c in ("data", "at", "copies"))
 
     def groups():
         first = 0
         for k in range(1, len(anchor) + 1):
             if k == len(anchor) or anchor[k] != anchor[first]:
-                yield [(i, data[i], at[i], copies[i]) for i in range(first, k)]
+                n = k - first
+                yield list(zip(range(first, k), data.slice(first, n).to_pylist(), at.slice(first, n).to_pylist(), copies.slice(first, n).to_pylist()))
                 first = k
 
-    out = [(anchor[i], context[i], a, b) for i, a, b in compared(groups())]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["anchor", "context", "from", "to"])
+    out = [(i, lo[i] + a, lo[i] + b) for i, a, b in compared(groups())]
+    which = pa.array([r[0] for r in out], pa.int64())
+    yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(which).combine_chunks(), rows.column("h").take(which).combine_chunks(), *(pa.array([r[k] for r in out], pa.int32()) for k in (1, 2))], names=["doc_id", "h", "lo", "hi"])
 
 
 def _cut_batches(batches):
     for batch in batches:
-        anchors, contexts_, data, at, copies = [], [], [], [], []
-        for blob, wanted in zip(batch.column("data").to_pylist(), batch.column("wanted").to_pylist()):
+        owner, columns = [], [[] for _ in range(6)]
+        for k, (blob, wanted) in enumerate(zip(batch.column("data").to_pylist(), batch.column("wanted").to_pylist())):
             for w in wanted:
-                anchors.append(w["anchor"])
-                contexts_.append(w["context"])
-                data.append(blob[w["lo"] : w["hi"]])
-                at.append(w["at"] - w["lo"])
-                copies.append(w["copies"])
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((anchors, contexts_, data, at, copies), kinds)], names=["anchor", "context", "data", "at", "copies"])
+                owner.append(k)
+                for column, v in zip(columns, (w["anchor"], w["context"], blob[w["lo"] : w["hi"]], w["lo"], w["at"], w["copies"])):
+                    column.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+        which = pa.array(owner, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(which), batch.column("h").take(which), *(pa.array(v, t) for v, t in zip(columns, kinds))], names=["doc_id", "h", "anchor", "context", "data", "lo", "at", "copies"])
 
 
 def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -231,31 +312,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, spans array<struct<lo, hi>>): each text's bytes that repeat, as spans that may overlap; h is its text's xxhash64.
+    """(doc_id, h, spans array<struct<lo, hi>>), stored: each text's bytes that repeat, as spans that may overlap; h is its text's xxhash64.
 
     Texts without any have no row. Rows alike in id and text have one row, with each span as often.
     """
     spark = docs.sparkSession
-    keyed = _keyed(docs)
+    prepare(spark)
+    kind, keyed = kind_of(docs, "doc_id"), _keyed(docs)
     long = keyed.where(F.length("data") >= LENGTH)
-    found = stored(long.mapInArrow(_context_batches, FOUND), "substrings-contexts")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("c1"), F.max("context").alias("c2")).where("n > 1").select("anchor", (F.col("c1") != F.col("c2")).alias("several"))
-    hot = stored(found.join(shared, "anchor"), "substrings-shared")
-    whole = hot.where("not several").select("doc_id", "h", "lo", "hi")
-    mixed = hot.where("several")
-    kinds = stored(mixed.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "h", "lo", "hi", "at")).alias("one")), "substrings-kinds")
-    # anchors all of whose contexts have copies need no comparing
-    asked = kinds.groupBy("anchor").agg(F.min("copies").alias("least")).where("least = 1").select("anchor")
-    wanted = kinds.join(asked, "anchor").groupBy(F.col("one.doc_id").alias("id"), F.col("one.h").alias("k"))
-    wanted = wanted.agg(F.collect_list(F.struct("anchor", "context", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), F.col("one.at").alias("at"), "copies")).alias("wanted"))
-    texts = long.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("k"))).select("data", "wanted")
-    cut = texts.mapInArrow(_cut_batches, "anchor long, context long, data binary, at int, copies long").dropDuplicates(["anchor", "context"])
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partly = cut.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(_compare_bucket, "anchor long, context long, `from` int, `to` int")
-    partly = stored(partly, "substrings-compared")
-    again = mixed.join(kinds.where("copies > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("doc_id", "h", "lo", "hi")
-    some = mixed.join(partly, ["anchor", "context"]).select("doc_id", "h", (F.col("lo") + F.col("`from`")).alias("a"), (F.col("lo") + F.col("`to`")).alias("b")).select("doc_id", "h", F.col("a").alias("lo"), F.col("b").alias("hi"))
-    return whole.unionByName(again).unionByName(some).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    partitions = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = long.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
+    packed = mapped(long, partial(_context_batches, buckets=max(partitions, int(n_bytes * PACKED_SHARE) // BUCKET)), packed_schema(kind))
+    schema = f"doc_id {kind}, h long, lo int, hi int, anchor long, context long, at int, copies long"
+    found = stored(packed.groupBy("bucket").applyInArrow(_sort_bucket, schema), "substrings-found")
+    asked = found.where("anchor is not null")
+    wanted = asked.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("k")).agg(F.collect_list(F.struct("anchor", "context", "lo", "hi", "at", "copies")).alias("wanted"))
+    texts = likely(long, asked.select("h"), "h").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("k"))).select("doc_id", "h", "data", "wanted")
+    # rows alike in id and text are cut alike: one is enough
+    cut = mapped(texts, _cut_batches, f"doc_id {kind}, h long, anchor long, context long, data binary, lo int, at int, copies long").dropDuplicates(["anchor", "context"])
+    n_bytes = asked.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0))).first()[0]
+    buckets = max(partitions, n_bytes // BUCKET)
+    partly = cut.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(_compare_bucket, f"doc_id {kind}, h long, lo int, hi int")
+    both = found.where("anchor is null").select("doc_id", "h", "lo", "hi").unionByName(partly)
+    spans = stored(both.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "substrings-spans")
+    discard(found)
+    return spans
 
 
 def _digest_batches(batches):
@@ -273,36 +354,42 @@ def _digest_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _kept_batches(batches, schema_names: list[str]):
+def _kept_batches(batches, text: str, spans: str):
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
-            data, parts, at = (text or "").encode(), [], 0
-            for a, b in joined_spans([(s["lo"], s["hi"]) for s in spans or []]):
+        for own, found in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist()):
+            data, parts, at = (own or "").encode(), [], 0
+            for a, b in joined_spans([(s["lo"], s["hi"]) for s in found or []]):
                 parts.append(data[at:a])
                 at = b
             # a span can end inside a character: what is left of it goes
-            out.append(text if not spans else b"".join([*parts, data[at:]]).decode("utf-8", "ignore"))
-        k = batch.schema.get_field_index("text")
-        yield batch.set_column(k, batch.schema.field(k), pa.array(out, pa.string())).select(schema_names)
+            out.append(own if not found else b"".join([*parts, data[at:]]).decode("utf-8", "ignore"))
+        k = batch.schema.get_field_index(text)
+        yield batch.set_column(k, batch.schema.field(k), pa.array(out, pa.string())).select([c for c in batch.schema.names if c != spans])
 
 
-def _with_spans(keyed: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-    right = spans.select(F.col("doc_id").alias("__id"), F.col("h").alias("__k"), F.col("spans").alias(name))
-    return keyed.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__k")), "left").drop("__id", "__k")
+def _with_spans(keyed: DataFrame, spans: DataFrame, h: str, name: str) -> DataFrame:
+    """keyed with each row's spans, or null. Only rows whose hash may have some are shuffled."""
+    id_, k = free_names(keyed, "id", "k")
+    right = spans.select(F.col("doc_id").alias(id_), F.col("h").alias(k), F.col("spans").alias(name))
+    hashes = spans.select("h")
+    some = likely(keyed, hashes, h).join(right, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(k)), "left").drop(id_, k)
+    none = likely(keyed, hashes, h, others=True).withColumn(name, F.lit(None).cast(right.schema[name].dataType))
+    return some.unionByName(none)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with repeated substrings cut from their texts; every row and column stays, null texts stay null."""
-    spans = stored(repeated_spans(docs), "substrings-spans")
-    keyed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return _with_spans(keyed, spans, "__spans").select(*docs.columns, "__spans").mapInArrow(partial(_kept_batches, schema_names=docs.columns), docs.schema)
+    h, name = free_names(docs, "h", "spans")
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = _with_spans(keyed, repeated_spans(docs), h, name).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+    return mapped(both, partial(_kept_batches, text="text", spans=name), docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: bytes, removed bytes, maximal removed runs, and the sha256 of what is left; null counts as empty."""
-    spans = repeated_spans(docs)
-    return _with_spans(_keyed(docs), spans, "spans").select("doc_id", "data", "spans").mapInArrow(_digest_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both = _with_spans(_keyed(docs), repeated_spans(docs), "h", "spans").select("doc_id", "data", "spans")
+    return mapped(both, _digest_batches, f"doc_id {kind_of(docs, 'doc_id')}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
