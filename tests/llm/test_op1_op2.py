@@ -31,12 +31,12 @@ def test_ids_and_text_are_the_librarys(library):
 def test_states_are_shared_in_sorted_order():
     model = PieceModel.load(op1.default_model())
     words = sorted({"▁" + a + b for a in ("there", "therm", "thing", "other") for b in ("", "s", "ing", "ness", ".")})
-    shared = PrefixStates(model, model.unit_count, 0)
+    shared = PrefixStates(model)
     for w in words:
         shared.advance(w)
-        alone = PrefixStates(model, model.unit_count, 0)
+        alone = PrefixStates(model)
         alone.advance(w)
-        assert shared.made == alone.made and shared.last == alone.last
+        assert shared.count == alone.count and shared.last == alone.last and shared.pieces() == alone.pieces()
     assert shared.steps < sum(map(len, words)) / 2
 
 
@@ -54,10 +54,11 @@ def test_unigram_against_brute_force():
             scores[i] = max(options)
         return scores[-1]
 
-    states = PrefixStates(model, model.unit_ids, ())
+    states = PrefixStates(model)
     for w in sorted("▁" + "".join(r.choice("abc") for _ in range(r.randint(0, 9))) for _ in range(200)):
         states.advance(w)
-        own = sum(model.unknown_score if i == model.unknown else model.scores[i] for i in states.made[-1])
+        ids = [i for p in states.pieces() for i in model.unit_ids(p)]
+        own = sum(model.unknown_score if i == model.unknown else model.scores[i] for i in ids)
         assert abs(own - best(w)) < 1e-9 and abs(states.score[-1] - own) < 1e-9
 
 
@@ -70,7 +71,23 @@ def test_counts_of_every_prefix(library):
         assert got[-1] == len(library.encode(t))
         for budget in (0, 3, 17):
             n = op2.chars_within(t, budget, cache)
-            assert len(library.encode(t[:n])) <= budget and (n == len(t) or got[n:].min() >= 0)
+            assert n == np.flatnonzero(got <= budget)[-1], (t, budget)
+
+
+def test_long_words_take_memory_in_proportion(library):
+    """One unspaced word of a million letters: its states and values, not those of all its prefixes together."""
+    import tracemalloc
+
+    r = random.Random(3)
+    t = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000))
+    caches = op1.encoder(op1.default_model()), op2.counter(op1.default_model())
+    tracemalloc.start()
+    got = np.frombuffer(op1.encode_texts([t], caches[0])[0], "<i4")
+    n = op2.chars_within(t, 4096, caches[1])
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    assert got.tolist() == library.encode(t)
+    assert len(library.encode(t[:n])) <= 4096
 
 
 def test_counts_at_the_border_of_a_byte(library):

@@ -8,15 +8,14 @@ shuffles: each task encodes its own rows with a bounded cache of words.
 from __future__ import annotations
 
 from functools import lru_cache, partial
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import chunks, table
-from weftgraph.llm.piece_lattice import MARK, PieceModel, WordCache, marked_words
+from weftgraph.llm.common import chunks, kind_of, mapped, schema_of, table
+from weftgraph.llm.piece_lattice import MARK, PieceModel, PrefixStates, WordCache, marked_words
 
 MODEL = "piece_bpe_32k.model"
 
@@ -30,7 +29,18 @@ def default_model() -> str:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordCache:
     model = PieceModel.load(path)
-    return WordCache(model, lambda p: np.array(model.unit_ids(p), dtype="<i4").tobytes(), b"", itemgetter(-1))
+    units: dict[int, bytes] = {}
+
+    def packed(states: PrefixStates) -> bytes:
+        out = []
+        for p in states.pieces():
+            ids = units.get(p)
+            if ids is None:
+                ids = units[p] = np.array(model.unit_ids(p), dtype="<i4").tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    return WordCache(model, packed, len)
 
 
 def encode_texts(texts: list[str], cache: WordCache) -> list[bytes]:
@@ -81,11 +91,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", model_path: str
     """
     keep = [c for c in df.columns if c != ids]
     run = partial(_encode_batches, path=model_path or default_model(), text=text, ids=ids)
-    return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, _with(df, keep, f"`{ids}` array<int>"))
-
-
-def _with(df: DataFrame, keep: list[str], more: str) -> str:
-    return ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), more])
+    return mapped(df.select(*[F.col(f"`{c}`") for c in keep]), run, schema_of(df, keep, f"`{ids}` array<int>"))
 
 
 def _decode_batches(batches, path: str, ids: str, out: str):
@@ -99,7 +105,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model_path: st
     """df with the text of each row's ids; null ids give null. U+2581 in a text comes back as a space."""
     keep = [c for c in df.columns if c != out]
     run = partial(_decode_batches, path=model_path or default_model(), ids=ids, out=out)
-    return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, _with(df, keep, f"`{out}` string"))
+    return mapped(df.select(*[F.col(f"`{c}`") for c in keep]), run, schema_of(df, keep, f"`{out}` string"))
 
 
 def _round_trip(batches, path: str):
@@ -135,7 +141,7 @@ def round_trip(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     Null and empty texts: no ids, crc32 0, the digest of no bytes, round_trip true.
     """
     run = partial(_round_trip, path=model_path or default_model())
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind_of(docs, 'doc_id')}, n_tokens long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

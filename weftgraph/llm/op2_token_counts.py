@@ -14,24 +14,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm.common import chunks, table
+from weftgraph.llm.common import chunks, kind_of, mapped, table
 from weftgraph.llm.op1_sentencepiece import default_model
-from weftgraph.llm.piece_lattice import MARK, PieceModel, WordCache, marked_words
+from weftgraph.llm.piece_lattice import MARK, PieceModel, PrefixStates, WordCache, marked_words
 
 LIMIT = 4096
 
 
-def _prefix_counts(made: list[int]) -> tuple[int, str, bytes]:
+def _prefix_counts(states: PrefixStates) -> tuple[int, str, bytes]:
     """The word's count, and the type and counts of each prefix from one character on; a prefix may have more tokens than the word."""
+    made = states.count
     if max(made) < 256:
-        return made[-1], "u1", bytes(made[1:])
+        return made[-1], "u1", bytes(made[1:].tolist())
     return made[-1], "<u4", np.array(made[1:], dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> WordCache:
     model = PieceModel.load(path)
-    return WordCache(model, model.unit_count, 0, _prefix_counts)
+    return WordCache(model, _prefix_counts, lambda v: len(v[2]) + 90)
 
 
 def _words(text: str, model: PieceModel) -> list[str]:
@@ -54,8 +55,27 @@ def prefix_counts(text: str, cache: WordCache) -> np.ndarray:
 
 
 def chars_within(text: str, budget: int, cache: WordCache) -> int:
-    """The length of the longest prefix that has at most budget tokens."""
-    return int(np.flatnonzero(prefix_counts(text, cache) <= budget)[-1])
+    """The length of the longest prefix that has at most budget tokens.
+
+    Counts only grow from word to word, so the answer is in the last word that can begin within the budget,
+    or, where none of its prefixes is short enough, in the one before.
+    """
+    words = _words(text, cache.model)
+    known = cache.fill(set(words))
+    begun, chars, total = [], 0, 0
+    for k, w in enumerate(words):
+        if total >= budget:
+            break
+        begun.append((w, chars, total))
+        chars += len(w) - (k == 0)  # the first mark is not in the text
+        total += known[w][0]
+    for k in range(len(begun) - 1, -1, -1):
+        w, chars, total = begun[k]
+        _, kind, packed = known[w]
+        good = np.flatnonzero(np.frombuffer(packed, dtype=kind) <= budget - total)
+        if len(good):
+            return chars + int(good[-1]) + (k > 0)
+    return 0
 
 
 def _count_batches(batches, path: str, limit: int, key: str, text: str):
@@ -86,7 +106,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, model_path: str | None = N
     Null and empty texts have 0 bytes and tokens. Repeated rows each give a row; other columns are left out.
     """
     run = partial(_count_batches, path=model_path or default_model(), limit=limit, key=key, text=text)
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, chars_within_limit long")
+    return mapped(docs.select(key, text), run, f"`{key}` {kind_of(docs, key)}, n_bytes long, n_tokens long, over_limit boolean, chars_within_limit long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,14 @@ prefix, and it is what the library's merging gives, so scores need no comparison
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Callable
 
 MARK = "▁"
 #: Ids from here on stand for single characters that are not in the vocabulary.
 FOREIGN = 1 << 21
-CACHE_WORDS = 200_000
+#: Bytes of words and values that a worker keeps, and of each beside its letters.
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 160
 CACHE_PAIRS = 800_000
 
 
@@ -101,18 +104,18 @@ class PieceModel:
 class PrefixStates:
     """States of every prefix of the word last seen; words in sorted order reuse those of their common prefix.
 
-    This is a depth-first walk of the trie of the words: the lists are the path from its root. made[i]
-    is what prefix i's encoding adds up to: the units of its pieces, joined.
+    This is a depth-first walk of the trie of the words: the arrays are the path from its root. A state is a few
+    numbers, so a word takes memory in proportion to its length; a whole encoding is found by walking back.
     """
 
-    def __init__(self, model: PieceModel, unit, empty):
-        """unit: what a piece adds (its ids as bytes, or a count); empty: the sum of none."""
-        self.model, self.unit = model, unit
-        self.units = {i: unit(i) for i in range(len(model.texts))}
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.counts = {i: model.unit_count(i) for i in range(len(model.texts))}
         self.word = ""
-        self.last: list[int] = [-1]  # the last piece of each prefix
-        self.made: list = [empty]
-        self.score: list[float] = [0.0]
+        self.last = array("i", [-1])  # the last piece of each prefix
+        self.start = array("i", [0])  # where that piece begins
+        self.count = array("i", [0])  # units of the prefix's pieces
+        self.score = array("d", [0.0])
         self.steps = 0
 
     def advance(self, word: str) -> None:
@@ -124,7 +127,8 @@ class PrefixStates:
                 if a != b:
                     break
                 common += 1
-            del self.last[common + 1 :], self.made[common + 1 :], self.score[common + 1 :]
+            for kept in (self.last, self.start, self.count, self.score):
+                del kept[common + 1 :]
         self.word = word
         self.steps += len(word) - common
         if self.model.kind == "bpe":
@@ -132,14 +136,23 @@ class PrefixStates:
         else:
             self._unigram(word, common)
 
+    def pieces(self) -> list[int]:
+        """Those of the whole word, in order."""
+        out, i, last, start = [], len(self.last) - 1, self.last, self.start
+        while i > 0:
+            out.append(last[i])
+            i = start[i]
+        out.reverse()
+        return out
+
     def _foreign(self, c: str) -> int:
         piece = FOREIGN + ord(c)
-        if piece not in self.units:
-            self.units[piece] = self.unit(piece)
+        if piece not in self.counts:
+            self.counts[piece] = self.model.unit_count(piece)
         return piece
 
     def _bpe(self, word: str, common: int) -> None:
-        last, made, ends, units = self.last, self.made, self.model.ends, self.units
+        last, start, count, ends, counts = self.last, self.start, self.count, self.model.ends, self.counts
         for i in range(common, len(word)):
             nodes, j, piece = ends, i, -1
             while j >= 0:
@@ -148,18 +161,20 @@ class PrefixStates:
                     break
                 p, nodes, seen = node
                 if p >= 0:
-                    ok = seen.get(last[j])
-                    if ok or ok is None and self.model.follows(last[j], p, seen):
+                    before = last[j]
+                    ok = seen.get(before)
+                    if ok or ok is None and self.model.follows(before, p, seen):
                         piece = p
                         break
                 j -= 1
             if piece < 0:
                 piece, j = self._foreign(word[i]), i
             last.append(piece)
-            made.append(made[j] + units[piece])
+            start.append(j)
+            count.append(count[j] + counts[piece])
 
     def _unigram(self, word: str, common: int) -> None:
-        model, last, made, score = self.model, self.last, self.made, self.score
+        model, last, score = self.model, self.last, self.score
         for i in range(common, len(word)):
             nodes, j, best = model.ends, i, None
             while j >= 0:
@@ -174,7 +189,8 @@ class PrefixStates:
                 best = score[i] + model.unknown_score, self._foreign(word[i]), i
             score.append(best[0])
             last.append(best[1])
-            made.append(made[best[2]] + self.units[best[1]])
+            self.start.append(best[2])
+            self.count.append(self.count[best[2]] + self.counts[best[1]])
 
 
 def marked_words(text: str) -> list[str]:
@@ -189,19 +205,21 @@ def marked_words(text: str) -> list[str]:
 class WordCache:
     """A value for each distinct word, made from its prefix states; words are gone through in sorted order."""
 
-    def __init__(self, model: PieceModel, unit, empty, value):
-        """value: gets made[] of the word, from the empty prefix to the whole."""
-        self.model, self.value, self.states = model, value, PrefixStates(model, unit, empty)
+    def __init__(self, model: PieceModel, value: Callable[[PrefixStates], object], size: Callable[[object], int]):
+        """value: gets the states of the word's prefixes; size: about how many bytes a value has."""
+        self.model, self.value, self.size, self.states = model, value, size, PrefixStates(model)
         self.words: dict[str, object] = {}
+        self.held = 0
 
     def fill(self, words: set[str]) -> dict[str, object]:
-        """A dict that has every one of the (marked) words."""
-        kept, value, made, advance = self.words, self.value, self.states.made, self.states.advance
-        new = words.difference(kept)
-        if len(kept) + len(new) > CACHE_WORDS:
-            kept.clear()
-            new = words
-        for w in sorted(new):
-            advance(w)
-            kept[w] = value(made)
+        """A dict that has every one of the (marked) words; those of earlier calls stay until they are too many bytes."""
+        if self.held > CACHE_BYTES:
+            self.words.clear()
+            self.held = 0
+        kept, value, states, size, held = self.words, self.value, self.states, self.size, self.held
+        for w in sorted(words.difference(kept)):
+            states.advance(w)
+            kept[w] = v = value(states)
+            held += ENTRY_BYTES + len(w) + size(v)
+        self.held = held
         return kept
