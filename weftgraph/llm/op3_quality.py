@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.byte_cnn import PAD, Adam, ByteNet, calibration, sigmoid
-from weftgraph.llm.common import table, utf8
+from weftgraph.llm.common import mapped, schema_of, table, utf8
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 8, 4, 8, 32, 16
 THRESHOLD = 0.3
-#: Labelled texts to train on at most, and chunks of each that training sees (spread over the text).
-TRAIN_TEXTS, TRAIN_CHUNKS = 3000, 6
+#: Labelled texts to train on at most; training sees all chunks of each.
+TRAIN_TEXTS = 3000
 PASSES = 14
 #: Share of the good texts whose beginnings are trained on besides.
 SHORT_SHARE = 0.3
@@ -98,7 +98,7 @@ class QualityModel:
 
 
 def train(samples: list[tuple[list[bytes], int, int]], seed: int = 7) -> QualityModel:
-    """samples: some chunks of a text, the text's length in bytes, and its label 0 or 1.
+    """samples: the chunks of a text, the text's length in bytes, and its label 0 or 1.
 
     One sample in ten is kept back to calibrate the probability. With no samples, or only one label
     among them, the model gives every text that label's share (0.5 for none).
@@ -133,7 +133,7 @@ def train(samples: list[tuple[list[bytes], int, int]], seed: int = 7) -> Quality
         mixed = r.permutation(used)
         for a in range(0, len(mixed), 32):
             _train_step(net, adam, mixed[a : a + 32], windows, lengths, labels, weight)
-    # calibrate on what was kept back: means over fewer chunks, as in training
+    # calibrate on what was kept back
     logits = np.concatenate([net.head(_forward(net, [windows[i]], lengths[[i]])[2]) for i in held])
     slope, shift = calibration(logits, labels[held])
     return QualityModel(net, max(slope, 0.1), shift)
@@ -167,49 +167,35 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sample_batches(batches):
-    for batch in batches:
-        rows = []
-        for data, label in zip(batch.column("data").to_pylist(), batch.column("quality").to_pylist()):
-            starts = chunk_starts(len(data))
-            if len(starts) > TRAIN_CHUNKS:
-                starts = starts[np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int)]
-            rows.append(([data[s : s + CHUNK] for s in starts], len(data), label))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.list_(pa.binary())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], names=["doc_id", "chunks", "n", "label"]
-        )
-
-
 def fit(docs: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS) -> QualityModel:
-    """Train on at most that many labelled documents outside the held-out fold, chosen by a hash of doc_id.
+    """Train on the whole texts of at most that many labelled documents outside the held-out fold, chosen by a hash of doc_id.
 
-    Labels other than 0 and 1 are left out; of repeated labels of a document the larger holds.
+    Labels other than 0 and 1 are left out; of repeated labels of a document the larger holds, and of repeated
+    rows of a document the text with the smallest hash, so no more than that many texts come to the driver.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts)
     found = docs.select("doc_id", utf8("text").alias("data")).join(F.broadcast(chosen), "doc_id")  # texts rows at most
-    rows = found.mapInArrow(_sample_batches, "doc_id long, chunks array<binary>, n long, label int").collect()
-    rows = sorted(((r.doc_id, [bytes(c) for c in r.chunks], r.n, r.label) for r in rows), key=lambda r: (r[0], r[2], r[1]))[: 2 * texts]
-    return train([r[1:] for r in rows])
+    one = found.groupBy("doc_id", "quality").agg(F.min_by("data", F.struct(F.xxhash64("data"), "data")).alias("data"))
+    rows = sorted((r.doc_id, bytes(r.data), r.quality) for r in one.collect())
+    return train([([data[s : s + CHUNK] for s in chunk_starts(len(data)).tolist()], len(data), label) for _, data, label in rows])
 
 
-def _score_batches(batches, model: QualityModel, data: str, out: str):
+def _score_batches(batches, model: QualityModel, text: str, out: str):
     for batch in batches:
-        got = model.scores([x or b"" for x in batch.column(data).to_pylist()])
-        keep = [c for c in batch.schema.names if c != data]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got, pa.float64())], names=[*keep, out])
+        got = model.scores([x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, out])
 
 
 def with_score(df: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:
-    """df with each whole text's probability of being good; null and empty texts get a score too."""
+    """df with each whole text's probability of being good; null and empty texts get a score too. A column named like out is replaced."""
     keep = [c for c in df.columns if c != out]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` double"])
-    return df.select(*[F.col(f"`{c}`") for c in keep], utf8(text).alias("__data")).mapInArrow(partial(_score_batches, model=model, data="__data", out=out), schema)
+    return mapped(df.select(*[F.col(f"`{c}`") for c in keep]), partial(_score_batches, model=model, text=text, out=out), schema_of(df, keep, f"`{out}` double"))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
-    scored = with_score(docs.select("doc_id", utf8("text").alias("text")), model).select("doc_id", "score")
+    scored = with_score(docs.select("doc_id", "text"), model).select("doc_id", "score")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
