@@ -106,12 +106,20 @@ def calibration(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     # Platt's targets, so that a clean split doesn't drive the slope up
     n1, n0 = labels.sum(), (1 - labels).sum()
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    for _ in range(50):
+
+    def loss(a: float, b: float) -> float:
+        z = a * logits.astype(np.float64) + b
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-4 * a * a)
+
+    for _ in range(100):
         p = sigmoid(a * logits + b)
         w = p * (1 - p) + 1e-9
-        g = np.array([((p - target) * logits).sum(), (p - target).sum()])
+        g = np.array([((p - target) * logits).sum() + 1e-3 * a, (p - target).sum()])
         h = np.array([[(w * logits * logits).sum() + 1e-3, (w * logits).sum()], [(w * logits).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, g)
+        now = loss(a, b)
+        while loss(a - step[0], b - step[1]) > now and np.abs(step).max() > 1e-9:  # a whole step can go too far where labels are clearly split
+            step = step / 2
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break

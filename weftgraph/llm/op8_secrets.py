@@ -1,10 +1,12 @@
 """Secret scans: patterns of three kinds, and a convolutional network over further candidates.
 
-A candidate is a run of 16 or more key characters that has a letter and a digit. The network sees
-the candidate's bytes with those around it and a mark of which is which; it is trained on labelled
-findings made by rule (keys of many formats, and look-alikes such as dates, paths, versions and
-identifiers) and calibrated on findings kept back. The threshold is the highest at which RECALL of
-the kept-back secrets is still found, of those in candidates up to OWN bytes and in longer ones alike. Spans of patterns always stay; the network adds its own.
+A candidate is any run of 16 or more key characters. The network sees the candidate's bytes with
+those around it and a mark of which is which; it is trained on labelled findings made by rule (keys
+of many formats, and look-alikes such as dates, paths, versions, numbers, long words and
+identifiers), calibrated on findings kept back, and its threshold is set on others kept back: the
+highest at which RECALL holds by a lower confidence bound, for secrets in candidates up to OWN bytes
+and in longer ones alike. Every candidate is scored. Spans of patterns always stay; the network adds
+its own where they aren't wholly inside such spans.
 A candidate longer than OWN is judged by overlapping windows over all its bytes, and has the largest
 of their probabilities; findings inside long runs are trained on too.
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.byte_cnn import PAD, Adam, ByteNet, calibration, sigmoid
-from weftgraph.llm.common import table, utf8
+from weftgraph.llm.common import kind_of, mapped, schema_of, table, utf8
 
 # The patterns and smallest lengths of the three kinds.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -38,14 +40,13 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 KINDS = ("assign", "access", "hex", "model")
 
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=.-]{16,}")
-DIGIT = re.compile(rb"[0-9]")
-MIXED = re.compile(rb"(?=.*[0-9])(?=.*[A-Za-z])", re.DOTALL)
 HEX_TABLE = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 BEFORE, OWN, AFTER = 24, 64, 8
 LENGTH = BEFORE + OWN + AFTER
 FILTERS, DIM, HIDDEN = 24, 8, 16
-RECALL = 0.98
+#: Share of secrets to be found, and how sure the threshold is to find it.
+RECALL, CONFIDENCE = 0.98, 0.95
 #: Below this precision on kept-back findings, train() warns.
 PRECISION = 0.9
 FINDINGS, PASSES, SEED = 6000, 6, 11
@@ -65,9 +66,7 @@ def base_spans(data: bytes) -> list[tuple[int, int, int]]:
 
 def candidates(data: bytes) -> list[tuple[int, int]]:
     """(start, end) in bytes of every run that the network judges."""
-    if not DIGIT.search(data):
-        return []
-    return [m.span() for m in CANDIDATE.finditer(data) if MIXED.match(m[0])]
+    return [m.span() for m in CANDIDATE.finditer(data)]
 
 
 def pieces(start: int, end: int) -> list[tuple[int, int]]:
@@ -97,7 +96,9 @@ def labelled_findings(n: int, seed: int, inside: bool = False) -> list[tuple[byt
     alnum, upper, hexes = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"
     some = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
     syllables = ["the", "on", "er", "ti", "an", "re", "sch", "ung", "ción", "ado", "eau", "ment", "in", "st", "ou"]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    # syllables of many languages: seldom one of a list, mostly an onset, a vowel and a coda
+    syllable = lambda: r.choice(syllables) if r.random() < 0.3 else r.choice(["", "b", "bl", "ch", "d", "f", "g", "h", "k", "l", "m", "n", "p", "qu", "r", "s", "sp", "t", "tr", "v", "w", "z"]) + r.choice(["a", "e", "i", "o", "u", "ei", "ie", "io", "ou", "y"]) + r.choice(["", "", "n", "r", "s", "l", "t", "ch", "nt", "lich", "st", "keit", "ng"])
+    word = lambda: "".join(syllable() for _ in range(r.randint(1, 4)))
     prose = lambda k: " ".join(word() for _ in range(k))
     secret = [
         lambda: "AKIA" + some(upper, 16, 16),
@@ -109,6 +110,7 @@ def labelled_findings(n: int, seed: int, inside: bool = False) -> list[tuple[byt
         lambda: ".".join(["eyJ" + some(alnum, 16, 30), "eyJ" + some(alnum, 20, 40), some(alnum + "-_", 30, 43)]),
         lambda: some(alnum, 5, 9) + "-" + some(alnum, 8, 12) + "-" + some(alnum, 8, 12),
         lambda: some(upper, 24, 40),
+        lambda: some(string.ascii_letters, 20, 40),
     ]
     harmless = [
         lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}" + r.choice(["T", "-", "_"]) + f"{r.randint(0, 23):02}-{r.randint(0, 59):02}" + word(),
@@ -123,6 +125,14 @@ def labelled_findings(n: int, seed: int, inside: bool = False) -> list[tuple[byt
         lambda: "".join(word() for _ in range(r.randint(4, 8))) + str(r.randint(0, 9)),
         lambda: "-".join([str(r.randint(100, 999)), str(r.randint(10, 99)), word(), word(), str(r.randint(1000, 9999))]),
         lambda: "=" * r.randint(8, 20) + word() + str(r.randint(1, 9)) + "=" * r.randint(8, 20),
+        lambda: "".join(word() for _ in range(r.randint(3, 8))),
+        lambda: r.choice(["_", "-", ".", "/"]).join(word() for _ in range(r.randint(3, 8))),
+        lambda: "".join(str(r.randint(0, 9)) for _ in range(r.randint(16, 24))),
+        lambda: r.choice(["mail", "www", "srv", "host"]) + str(r.randint(0, 99)) + "." + r.choice(["example.com", "example.org", word() + ".net"]),
+        lambda: ("".join(word() for _ in range(r.randint(3, 8))).capitalize() + r.choice(["", ".", "-"])),
+        lambda: r.choice("=-_.") * r.randint(16, 70),
+        lambda: "".join(word().capitalize() for _ in range(r.randint(3, 7))),
+        lambda: "".join(word().upper() for _ in range(r.randint(3, 7))),
     ]
     lead = ["key: ", "key=", "auth = ", "Authorization: Bearer ", "credential ", "AWS_KEY=", "pwd ", "login with ", ""]
     plain = ["see ", "file ", "version ", "id ", "at ", "ref ", "from ", "", ""]
@@ -130,7 +140,7 @@ def labelled_findings(n: int, seed: int, inside: bool = False) -> list[tuple[byt
     while len(out) < n:
         label = len(out) % 2
         own = (r.choice(secret) if label else r.choice(harmless))()
-        if len(own) < 16 or not own.isascii() or not MIXED.match(own.encode()):
+        if len(own) < 16 or not own.isascii():
             continue
         a, b = 0, len(own)
         if inside:
@@ -191,11 +201,24 @@ def _features(net: ByteNet, windows: np.ndarray, marks: np.ndarray):
     return x, (place, top, out, own), np.concatenate([top, mean], axis=1).astype(np.float32)
 
 
+def missable(n: int, recall: float = RECALL, confidence: float = CONFIDENCE) -> int:
+    """How many of n secrets may be missed so that, with that confidence, recall holds for others too (a binomial bound; 0 at least)."""
+    chance, total, m = recall**n, 0.0, 0
+    while m < n:
+        total += chance
+        if total > 1 - confidence:
+            break
+        chance *= (n - m) / (m + 1) * (1 - recall) / recall
+        m += 1
+    return max(0, m - 1)
+
+
 def train(findings: list[tuple], seed: int = SEED) -> SecretModel:
-    """findings as labelled_findings gives them, the last two fields optional. A quarter is kept back for calibration and the threshold."""
+    """findings as labelled_findings gives them, the last two fields optional. A tenth is kept back for calibration, a quarter for the threshold."""
     net = ByteNet(4, 1, DIM, FILTERS, 2 * FILTERS, HIDDEN, seed, channels=1)
     order = np.random.default_rng(seed).permutation(len(findings))
-    kept, learnt = ([findings[i] for i in part] for part in (order[: len(order) // 4], order[len(order) // 4 :]))
+    cuts = len(order) // 10, len(order) // 10 + len(order) // 4
+    fitted, kept, learnt = ([findings[i] for i in part] for part in np.split(order, cuts))
     parts = [(f[0], *p, f[3]) for f in learnt for p in _used_pieces(f)]
     windows, marks = map(np.stack, zip(*(window(*f[:3]) for f in parts)))
     labels, used = np.array([f[3] for f in parts], np.float64), np.arange(len(parts))
@@ -214,12 +237,12 @@ def train(findings: list[tuple], seed: int = SEED) -> SecretModel:
             grads["filter"] += net.patches(x).reshape(-1, net.width * net.dim).T @ spread.reshape(-1, FILTERS)
             grads["shift"] += spread.sum(axis=(0, 1))
             adam.step({n: g.astype(np.float32) for n, g in grads.items()})
+    slope, shift = calibration(_logits(net, [f[:3] for f in fitted]), np.array([f[3] for f in fitted], np.float64))
     logits, own = _logits(net, [f[:3] for f in kept]), np.array([f[3] for f in kept], np.float64)
-    slope, shift = calibration(logits, own)
     score, long = sigmoid(slope * logits + shift), np.array([f[2] - f[1] > OWN for f in kept])
     # short and long candidates each have to be found
     good = [np.sort(score[(own == 1) & (long == k)]) for k in (False, True)]
-    threshold = float(min(g[int((1 - RECALL) * len(g))] for g in good if len(g)))
+    threshold = float(min(g[missable(len(g))] for g in good if len(g)))
     precision = float(own[score >= threshold].mean())
     if precision < PRECISION:
         warnings.warn(f"at recall {RECALL}, threshold {threshold:.3f}, the precision on kept-back findings is {precision:.3f}", stacklevel=2)
@@ -237,9 +260,9 @@ def find(texts: list[bytes], model: SecretModel) -> list[list[tuple[int, int, in
     for i, data in enumerate(texts):
         own = base_spans(data)
         out.append([(*s, 1.0) for s in own])
-        asked += [(i, a, b) for a, b in candidates(data) if not any(s < b and a < e for s, _, e in own)]
+        asked += [(i, a, b) for a, b in candidates(data)]
     for (i, a, b), p in zip(asked, model.scores([(texts[i], a, b) for i, a, b in asked])):
-        if p >= model.threshold:
+        if p >= model.threshold and not any(s <= a and b <= e for s, k, e, _ in out[i] if k < 3):
             out[i].append((a, 3, b, float(p)))
     return [sorted(s) for s in out]
 
@@ -259,13 +282,12 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
 
 
-def _find_batches(batches, model: SecretModel, data: str):
+def _find_batches(batches, model: SecretModel, text: str):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     for batch in batches:
-        texts = [x or b"" for x in batch.column(data).to_pylist()]
+        texts = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
         rows = [[{"kind": KINDS[k], "start": a, "end": b, "score": p} for a, k, b, p in in_code_points(t, s)] for t, s in zip(texts, find(texts, model))]
-        keep = [c for c in batch.schema.names if c != data]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, kind)], names=[*keep, "spans"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "spans"])
 
 
 def with_spans(df: DataFrame, text: str = "text", model: SecretModel | None = None) -> DataFrame:
@@ -274,8 +296,8 @@ def with_spans(df: DataFrame, text: str = "text", model: SecretModel | None = No
     A column named spans is replaced; other columns, repeated rows and nulls in them stay as they are.
     """
     keep = [c for c in df.columns if c != "spans"]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "spans array<struct<kind:string,start:int,end:int,score:double>>"])
-    return df.select(*[F.col(f"`{c}`") for c in keep], utf8(text).alias("__data")).mapInArrow(partial(_find_batches, model=model or default_model(), data="__data"), schema)
+    schema = schema_of(df, keep, "spans array<struct<kind:string,start:int,end:int,score:double>>")
+    return mapped(df.select(*[F.col(f"`{c}`") for c in keep]), partial(_find_batches, model=model or default_model(), text=text), schema)
 
 
 def _redact_batches(batches, model: SecretModel, text: str, by: str):
@@ -298,7 +320,7 @@ def _redact_batches(batches, model: SecretModel, text: str, by: str):
 
 def redact(df: DataFrame, text: str = "text", by: str = "[SECRET]", model: SecretModel | None = None) -> DataFrame:
     """df with each secret in its texts replaced; spans that overlap become one. Every row and column stays."""
-    return df.mapInArrow(partial(_redact_batches, model=model or default_model(), text=text, by=by), df.schema)
+    return mapped(df, partial(_redact_batches, model=model or default_model(), text=text, by=by), df.schema)
 
 
 def _digest_batches(batches, model: SecretModel):
@@ -316,8 +338,8 @@ def _digest_batches(batches, model: SecretModel):
 
 def secrets(docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
     """Per document the number of secrets of each kind, a digest of these, and all spans; null counts as empty."""
-    return docs.select("doc_id", utf8("text").alias("data")).mapInArrow(
-        partial(_digest_batches, model=model or default_model()), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    return mapped(
+        docs.select("doc_id", utf8("text").alias("data")), partial(_digest_batches, model=model or default_model()), f"doc_id {kind_of(docs, 'doc_id')}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     )
 
 
