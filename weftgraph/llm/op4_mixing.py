@@ -4,9 +4,9 @@ A source's target over its size gives how often each of its documents is taken o
 times for all, and once more for a part. That part is a balanced sample: inclusion probabilities
 move along directions that keep the sums of words and of documents, until each is 0 or 1. This
 flight runs in blocks of some thousand documents of one source; each block leaves two fractional
-documents at most, which meet in blocks of the next round, until one block a source is left and
-its last two are rounded to the nearest total of words (the landing). So a source's words come
-within two documents of its target however many blocks it has, and no block grows with the data.
+documents at most, which meet in blocks of the next round, until one block a source is left. Its
+last dozen are rounded to the nearest total of words by trying all ways (the landing). So a source's
+words come near its target however many blocks it has, and no block grows with the data.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored, table
+from weftgraph.llm.common import free_names, prepare, stored, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -25,6 +25,8 @@ SHARE, MOST = 1.5, 2.0
 #: Documents in a block of the flight.
 BLOCK = 2048
 NEAR = 1e-9
+#: Fractional documents of a source's last block that are left to the landing.
+LEFT = 12
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -53,8 +55,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def flight(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
-    """Move probabilities p until columns of x allow no further move; sums of x * p stay.
+def flight(p: np.ndarray, x: np.ndarray, seed: int, leave: int = 0) -> np.ndarray:
+    """Move probabilities p until columns of x allow no further move, or leave are fractional; sums of x * p stay.
 
     x: documents x balancing variables (each divided by nothing: all documents of a call had the same
     probability at first, so balance of x/p0 is balance of x). At most as many stay fractional as x has
@@ -67,6 +69,8 @@ def flight(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
     draws = r.random(len(free) + 1)
     held: list[int] = []
     for k in range(len(free) + 1):
+        if len(held) + len(free) <= leave:
+            break
         while len(held) < m and free:
             held.append(free.pop())
         if len(held) < 2:
@@ -101,23 +105,26 @@ def null_direction(x: np.ndarray) -> np.ndarray | None:
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the few fractional ones to the total of words nearest to theirs; of equals the fewest documents."""
+    """Round the few fractional ones to the total of words nearest to theirs; of equals to the nearest number of documents, then the first.
+
+    All ways to round them are gone through, so these are a dozen at most; they are of all sizes, so some way is mostly within a few words.
+    """
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    want = float((p[open_] * size[open_]).sum())
-    best = min(range(1 << len(open_)), key=lambda c: (abs(sum(size[i] for k, i in enumerate(open_) if c >> k & 1) - want), c.bit_count(), c), default=0)
+    ways = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    words, number = np.abs((ways - p[open_]) @ size[open_]), np.abs((ways - p[open_]).sum(axis=1))
     p = p.copy()
-    for k, i in enumerate(open_):
-        p[i] = best >> k & 1
+    p[open_] = ways[np.lexsort((number.round(6), words.round(3)))[0]]
     return p
 
 
 def _fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """The flight of one block; the last block of a source lands."""
-    rows = rows.sort_values(["h", "doc_id", "size"], kind="stable")
+    rows = rows.sort_values(["h", "nth", "doc_id", "size"], kind="stable")
     seed = int(np.bitwise_xor.reduce(rows["h"].to_numpy().astype(np.int64).view(np.uint64), initial=np.uint64(len(rows))))
     size = rows["size"].to_numpy(np.float64)
-    p = flight(rows["p"].to_numpy(np.float64), np.stack([size / max(size.max(), 1.0), np.ones(len(size))], axis=1), seed)
-    return rows.assign(p=landing(p, size) if (rows["blocks"] == 1).all() else p)
+    last = bool((rows["blocks"] == 1).all())
+    p = flight(rows["p"].to_numpy(np.float64), np.stack([size / max(size.max(), 1.0), np.ones(len(size))], axis=1), seed, LEFT if last else 0)
+    return rows.assign(p=landing(p, size) if last else p)
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -127,9 +134,11 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     source, the last. Repeated rows count as documents of their own. An empty table gives no rows.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
-    # h also tells repeated ids apart; rows equal in all of it are interchangeable
+    prepare(docs.sparkSession)
+    # h also tells repeated ids apart; rows equal in all of it are interchangeable, counted and numbered, so that blocks tell them apart
     base = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.col(key), F.col(text), F.lit(4)).alias("h"))
-    base = stored(base, "mix-sizes")
+    base = base.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("rows"))
+    base = stored(base.select("doc_id", "source", "size", "h", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("nth")), "mix-sizes")
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = targets(sums.select("source", "source_size")).alias("g")
     per_source = sums.alias("s").join(goal, F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "s.source_size", "g.target", F.expr("cast(ceil(s.n / %d) as long)" % BLOCK).alias("blocks"))
@@ -137,10 +146,10 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     # many rows of one source meet their one row here: salted, so that a large source is dealt to all tasks
     salts = 64
     spread = per_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("t")
-    rows = base.withColumn("salt", F.pmod("h", F.lit(salts)).cast("int")).alias("b")
+    rows = base.withColumn("salt", F.pmod(F.xxhash64("h", "nth"), F.lit(salts)).cast("int")).alias("b")
     rows = rows.join(spread, F.col("b.source").eqNullSafe(F.col("t.source")) & (F.col("b.salt") == F.col("t.salt")))
-    rows = rows.select("b.doc_id", "b.source", "b.size", "b.h", "t.source_size", "t.target", "t.blocks", rate.alias("rate"))
-    rows = rows.withColumns({"block": F.pmod(F.xxhash64("h", F.lit(1)), "blocks"), "whole": F.floor(F.col("rate") + NEAR).cast("long")})
+    rows = rows.select("b.doc_id", "b.source", "b.size", "b.h", "b.nth", "t.source_size", "t.target", "t.blocks", rate.alias("rate"))
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("h", "nth", F.lit(1)), "blocks"), "whole": F.floor(F.col("rate") + NEAR).cast("long")})
     rows = rows.withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))).drop("rate")
     schema = rows.schema
     done, level = [rows.where("p = 0")], 0
@@ -163,17 +172,18 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: documents left out are gone, those taken twice come twice. All columns stay."""
-    plan = stored(mixed(docs), "mix-plan").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("times").alias("__times"))
-    own = docs.withColumn("__h2", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(4)))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h"))
+    """docs as the mix takes them: documents left out are gone, those taken twice come twice. All columns stay, whatever their names."""
+    id_, h, times, nth, own_h, own_nth, copy = free_names(docs, "id", "h", "times", "nth", "own_h", "own_nth", "copy")
+    plan = stored(mixed(docs), "mix-plan").select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("times").alias(times))
+    own = docs.withColumn(own_h, F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(4)))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own_h) == F.col(h))
     # rows alike in id and text are interchangeable: numbered on both sides, where there are any
-    if not plan.groupBy("__id", "__h").count().where("count > 1").isEmpty():
-        plan = plan.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__h").orderBy(F.desc("__times"))))
-        own = own.withColumn("__nth2", F.row_number().over(W.partitionBy("doc_id", "__h2").orderBy(F.xxhash64(*docs.columns))))
-        same = same & (F.col("__nth2") == F.col("__nth"))
-    both = own.join(plan.where("__times > 0"), same)
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not plan.groupBy(id_, h).count().where("count > 1").isEmpty():
+        plan = plan.withColumn(nth, F.row_number().over(W.partitionBy(id_, h).orderBy(F.desc(times))))
+        own = own.withColumn(own_nth, F.row_number().over(W.partitionBy("doc_id", own_h).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
+        same = same & (F.col(own_nth) == F.col(nth))
+    both = own.join(plan.where(F.col(times) > 0), same)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
