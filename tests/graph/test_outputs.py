@@ -78,10 +78,10 @@ def test_violations(spark, graph):
 
     g = graph[1]
     bad = [
-        (replace(g, edges=g.edges.unionByName(spark.createDataFrame([("A.f", "Nope", "body")], g.edges.schema))), "definition edge endpoint"),
-        (replace(g, modules=g.modules.where("module != 'B'")), "absent from modules"),
-        (replace(g, definitions=g.definitions.unionByName(g.definitions.where("key = 'A.f'"))), "duplicate definition"),
-        (replace(g, entry=spark.createDataFrame([("Gone",)], "module string")), "entry module"),
+        (replace(g, edges=g.edges.unionByName(spark.createDataFrame([("A.f", "Nope", "body")], g.edges.schema))), "edge to or from no definition"),
+        (replace(g, modules=g.modules.where("module != 'B'")), "no module"),
+        (replace(g, definitions=g.definitions.unionByName(g.definitions.where("key = 'A.f'"))), "definition listed twice"),
+        (replace(g, entry=spark.createDataFrame([("Gone",)], "module string")), "entry is no module"),
     ]
     for x, says in bad:
         with pytest.raises(documents.Invalid, match=says):

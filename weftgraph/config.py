@@ -116,40 +116,53 @@ def check_value(key: str, value: object) -> list[Finding]:
     return []
 
 
-#: (key, when it is reported given the config's view, severity, message, hint); a rule speaks only if its key is set.
-RULES = [
-    ("lazy", lambda c: c.format != "json", "warning", "splits JSON output only", "set format: json, or drop lazy"),
-    ("lazy", lambda c: c.format == "json" and c.mode == "expanded", "warning", "only splits packed JSON", "use json-mode: packed, or drop lazy"),
-    ("lazy", lambda c: not c.has("out-dir"), "note", "writes a directory, and out-dir is not set", "pass -o DIR, or set out-dir"),
-    ("json-mode", lambda c: c.format != "json", "warning", "shapes JSON output only", "set format: json, or drop json-mode"),
-    ("packed-analytical", lambda c: c.format != "json", "warning", "only affects JSON output", "set format: json, or drop packed-analytical"),
-    ("packed-analytical", lambda c: c.format == "json" and c.mode == "expanded", "warning", "expanded JSON has these fields already", "drop packed-analytical"),
-    *((k, lambda c: c.format != "json" or c.mode != "expanded" or c.on("incremental") or c.on("skip-agda"), "error", "needs expanded JSON and a full, non-incremental run", "set format: json and json-mode: expanded; drop incremental and skip-agda") for k in ("with-terms", "with-type-terms")),
-    ("term-scope", lambda c: not c.on("with-terms"), "warning", "has no effect without with-terms", "add with-terms: true"),
-    *((k, lambda c: c.format != "json", "warning", "is only emitted in JSON output", "set format: json, or drop it") for k in ("with-signatures", "with-term-hashes")),
-    *((k, lambda c: c.format == "json" and c.mode == "packed" and not c.on("packed-analytical"), "warning", "is dropped by packed JSON", "add json-mode: expanded, or packed-analytical: true") for k in ("with-signatures", "with-term-hashes")),
-    *((k, lambda c: not c.on("with-signatures"), "warning", "has no effect without with-signatures", "add with-signatures: true") for k in ("normalise-signatures", "signature-implicits")),
-    ("min-term-depth", lambda c: not c.on("with-term-hashes"), "warning", "has no effect without with-term-hashes", "add with-term-hashes: true"),
-    ("incremental", lambda c: c.on("keep-going"), "warning", "is disabled under keep-going", "drop incremental, or disable keep-going"),
-    ("cache-dir", lambda c: not c.on("incremental"), "warning", "only locates the incremental cache, which is off", "add incremental: true, or drop cache-dir"),
-    ("gzip", lambda c: not (c.format == "json" and c.on("lazy")), "warning", "only compresses the files of the lazy path", "use format: json with lazy: true, or drop gzip"),
-    ("out-dir", lambda c: isinstance(c.config["out-dir"], str) and Path(c.config["out-dir"]).suffix[1:] in FORMATS and Path(c.config["out-dir"]).suffix[1:] != c.format, "warning", "looks like a file of another format", "set format explicitly"),
-    ("theme", lambda c: any(c.has(k) for k in COLOUR_KEYS), "note", "sets all four colours; single ones override it", None),
-    *((k, lambda c: c.on("skip-agda"), "warning", "has no effect under skip-agda", f"drop skip-agda, or {k}") for k in ("with-signatures", "with-term-hashes", "incremental", "keep-going", "lenient-imports")),
-]
-
+@dataclass(frozen=True)
+class Need:
+    """What an option needs of others: every setting in all, or one of any. Without that it is void, or refused."""
 
-class _View:
-    def __init__(self, config: dict):
-        self.config = config
-        self.format = config.get("format") or Options.format
-        self.mode = config.get("json-mode") or Options.json_mode
+    key: str
+    all: tuple[tuple[str, object], ...] = ()
+    any: tuple[tuple[str, object], ...] = ()
+    refused: bool = False
+
+    def lacks(self, value_of) -> str:
+        """The settings that are missing, as text; value_of gives an option's value."""
+        missing = [say(k, v) for k, v in self.all if value_of(k) != v]
+        if self.any and all(value_of(k) != v for k, v in self.any):
+            missing.append(" or ".join(say(k, v) for k, v in self.any))
+        return ", ".join(missing)
+
+
+def say(key: str, value: object) -> str:
+    return f"{key} on" if value is True else f"{key} off" if value is False else f"{key} {value}"
+
+
+JSON, PACKED, EXPANDED = ("format", "json"), ("json-mode", "packed"), ("json-mode", "expanded")
+CHECKED, WHOLE = ("skip-agda", False), ("incremental", False)
+NEEDS = [
+    Need("json-mode", (JSON,)),
+    Need("lazy", (JSON, PACKED)),
+    Need("gzip", (JSON, ("lazy", True))),
+    Need("packed-analytical", (JSON, PACKED)),
+    Need("with-terms", (JSON, EXPANDED, WHOLE, CHECKED), refused=True),
+    Need("with-type-terms", (JSON, EXPANDED, WHOLE, CHECKED), refused=True),
+    Need("term-scope", (("with-terms", True),)),
+    Need("with-signatures", (JSON, CHECKED), (EXPANDED, ("packed-analytical", True))),
+    Need("normalise-signatures", (("with-signatures", True),)),
+    Need("signature-implicits", (("with-signatures", True),)),
+    Need("with-term-hashes", (JSON, CHECKED), (EXPANDED, ("packed-analytical", True))),
+    Need("min-term-depth", (("with-term-hashes", True),)),
+    Need("incremental", (("keep-going", False), CHECKED)),
+    Need("cache-dir", (("incremental", True),)),
+    Need("keep-going", (CHECKED,)),
+    Need("lenient-imports", (CHECKED,)),
+]
 
-    def has(self, key: str) -> bool:
-        return self.config.get(key) is not None
 
-    def on(self, key: str) -> bool:
-        return self.config.get(key) is True
+def _other_format(name: str | None, format: str) -> str | None:
+    """The format that a name's ending says, if it isn't the one chosen."""
+    ending = Path(name or "").suffix[1:]
+    return ending if ending in FORMATS and ending != format else None
 
 
 def doctor(config: object, base: Path | None = None) -> Report:
@@ -166,13 +179,20 @@ def doctor(config: object, base: Path | None = None) -> Report:
             report.findings.append(Finding("error", str(key), "unknown key", f"did you mean {near}?" if near else None))
         else:
             report.findings += check_value(key, value)
-    view = _View(config)
-    known = {"format": view.format in FORMATS, "json-mode": view.mode in JSON_MODES}
-    if all(known.values()):
-        for key, when, severity, message, hint in RULES:
-            set_ = view.on(key) if KINDS[key] == "flag" else view.has(key)
-            if set_ and when(view):
-                report.findings.append(Finding(severity, key, message, hint))
+    given = {k: v for k, v in config.items() if k in KINDS and v is not None}
+    value_of = lambda k: given.get(k, getattr(Options, k.replace("-", "_")))
+    chosen = [k for k, v in given.items() if not (KINDS[k] == "flag" and v is not True)]
+    if value_of("format") in FORMATS and value_of("json-mode") in JSON_MODES:
+        for need in NEEDS:
+            lacks = need.lacks(value_of) if need.key in chosen else ""
+            if lacks:
+                report.findings.append(Finding("error" if need.refused else "warning", need.key, f"needs {lacks}", "set that, or leave this out"))
+        if "lazy" in chosen and "out-dir" not in chosen:
+            report.findings.append(Finding("note", "lazy", "no folder is named for its files", "name one by out-dir or -o"))
+        if isinstance(given.get("out-dir"), str) and (ending := _other_format(given["out-dir"], value_of("format"))):
+            report.findings.append(Finding("warning", "out-dir", f"ends like {ending}, but the format is {value_of('format')}"))
+        if "theme" in chosen and any(k in chosen for k in COLOUR_KEYS):
+            report.findings.append(Finding("note", "theme", "single colours are set too, and hold"))
     if base and isinstance(config.get("cache-dir"), str) and (base / config["cache-dir"]).is_file():
         report.findings.append(Finding("error", "cache-dir", "is a file"))
     return report
@@ -240,19 +260,16 @@ def parse_arguments(argv: list[str], seed: Options = Options()) -> tuple[Options
 def compatible(o: Options) -> tuple[list[str], list[str]]:
     """(errors, notices) about options that don't go together; every entry point asks this one function."""
     errors, notices = [], []
-    for name in ("with_terms", "with_type_terms"):
-        if getattr(o, name) and (o.format != "json" or o.json_mode != "expanded" or o.incremental or o.skip_agda):
-            errors.append(f"--{name.replace('_', '-')} requires --format=json --json-mode=expanded and no --incremental/--skip-agda")
+    value_of = lambda k: getattr(o, k.replace("-", "_"))
+    for need in NEEDS:
+        asked = bool(value_of(need.key)) if KINDS[need.key] in ("flag", "list") else False
+        lacks = need.lacks(value_of) if asked else ""
+        if lacks:
+            (errors if need.refused else notices).append(f"--{need.key} needs {lacks}")
     if "" in o.term_scope:
-        errors.append("--term-scope requires a nonempty module prefix")
-    if o.lazy and o.format == "json" and o.out_dir is None:
-        errors.append("--lazy requires -o/--out-dir")
-    if o.term_scope and not o.with_terms:
-        notices.append("--term-scope has no effect without --with-terms")
-    if o.lazy and o.format == "json" and not o.lazy_tree():
-        notices.append("--lazy only splits packed JSON; one file is written")
-    if o.lazy and o.format != "json":
-        notices.append(f"--lazy only affects --format=json, not {o.format}")
+        errors.append("--term-scope: a module prefix can't be empty")
+    if o.lazy and o.format == "json" and not o.out_dir:
+        errors.append("--lazy needs out-dir")
     return errors, notices
 
 

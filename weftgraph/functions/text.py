@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def without_block_comments(text: Column, opens: str = r"\{-", closes: str = r"-\}") -> Column:
-    """Text outside nested block comments: the depth is folded over tokens, and a closer at depth 0 is text."""
-    tokens = F.regexp_extract_all(text, F.lit(f"(?s)({opens}|{closes}|.)"), F.lit(1))
+def without_block_comments(text: Column, opens: str = r"\{-", closes: str = r"-\}", plain: str = r"[^{\-]+") -> Column:
+    """Text outside nested block comments: the depth is folded over tokens, and a closer at depth 0 is text.
+
+    plain matches what can't begin an opener or closer, so a run of it is one token.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s)({opens}|{closes}|{plain}|.)"), F.lit(1))
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, t: Column) -> Column:

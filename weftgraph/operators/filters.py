@@ -23,6 +23,18 @@ def excluded(df: DataFrame, prefixes_df: DataFrame, column: str = "module") -> D
     return df.join(bad, column, "left_anti")
 
 
+def references_to_kept(edges: DataFrame, definitions: DataFrame, prefixes_df: DataFrame) -> DataFrame:
+    """Edges whose target is in no excluded module: raw references, of ignored definitions too, so nothing is led through what is excluded."""
+    gone = definitions.select("key", "module").join(excluded(definitions.select("key", "module"), prefixes_df), "key", "left_anti")
+    return edges.join(gone.select(F.col("key").alias("dst")), "dst", "left_anti")
+
+
+def files_of_project(files: DataFrame, root: str, no_externals: bool) -> DataFrame:
+    """Source files (file), with a module or not; without externals only those below root. Exclusions don't concern files."""
+    out = files.select("file").where("file is not null").distinct()
+    return out.where(under(F.col("file"), F.lit(root))) if no_externals else out
+
+
 def is_ignorable(d: DataFrame) -> Column:
     """The rules by which a definition is left out as a node: over flags, the raw name and the tag of definitions (null flags are false)."""
     name, base = F.col("raw_name"), short_name(F.col("raw_name"))
@@ -48,6 +60,18 @@ def state_of(name: Column, is_axiom: Column, has_marker: Column, open_metas: Col
     return F.when(name.startswith(UNSOLVED), "H").when(is_axiom, "P").when(has_marker | (open_metas > 0), "H").otherwise("D")
 
 
+def silent_metas(markers: DataFrame, open_metas: DataFrame, interactions: DataFrame) -> DataFrame:
+    """(key, silent): a definition's distinct unsolved markers (key, dst) and its open metas (key, meta) that no interaction point (key, meta) stands for."""
+    marked = markers.where(F.col("dst").startswith(UNSOLVED)).select("key", F.col("dst").alias("what")).distinct()
+    hidden = open_metas.join(interactions.select("key", "meta"), ["key", "meta"], "left_anti").select("key", F.concat(F.lit("?"), F.col("meta").cast("string")).alias("what")).distinct()
+    return marked.unionByName(hidden).groupBy("key").agg(F.count("*").alias("silent"))
+
+
+def effective_options(options: DataFrame, known: list[str]) -> DataFrame:
+    """(module, flags) of the known options in force (module, flag), whether a file names them or not."""
+    return options.where(F.col("flag").isin(known)).groupBy("module").agg(F.sort_array(F.collect_set("flag")).alias("flags"))
+
+
 def unsafe_tags(non_terminating: Column, trust_me: Column) -> Column:
     return F.array_compact(F.array(F.when(non_terminating, F.lit("non-terminating")), F.when(trust_me, F.lit("trustme"))))
 

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder of spark.checkpoint.dir; one is made only where the session names none."""
+    """df computed once, in the folder of spark.checkpoint.dir; only a session on one machine may name none and gets one."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "weftgraph-checkpoints"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), "weftgraph-checkpoints"))
     return df.checkpoint(eager=True)
 
 
@@ -87,6 +90,8 @@ def transitive_edges(edges: DataFrame, most_nodes: int | None = None) -> DataFra
     e = settled(edges.select("src", "dst").distinct())
     if most_nodes is not None and e.select(F.explode(F.array("src", "dst"))).distinct().limit(most_nodes + 1).count() > most_nodes:
         return e.limit(0)
-    reach = closure(e)
-    other = e.select("src", F.col("dst").alias("via"))
+    # only a node with another successor beside it has to be followed
+    several = e.groupBy("src").count().where("count > 1").select("src")
+    other = settled(e.join(several, "src", "left_semi").select("src", F.col("dst").alias("via")))
+    reach = closure(e, other.select(F.col("via").alias("src")))
     return e.join(other, "src").where("via != dst").join(reach.select(F.col("src").alias("via"), "dst"), ["via", "dst"], "left_semi").select("src", "dst").distinct()

@@ -26,6 +26,16 @@ def usable_fragments(manifest: DataFrame, options_fp: str, hashes: DataFrame) ->
     return good.join(hashes, ["module", "content_hash"], "left_semi").select("module")
 
 
+def cacheable(modules: DataFrame) -> DataFrame:
+    """Modules (module, is_main, fresh, definitions) whose fragment may be kept: imported ones always, the main one only if freshly checked or without definitions."""
+    return modules.where(~F.col("is_main") | F.col("fresh") | (F.col("definitions") == 0)).select("module")
+
+
+def grown(after: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that a growing table has gained since a snapshot of it: those whose keys are new."""
+    return after.join(before.select(*keys).distinct(), keys, "left_anti")
+
+
 def stale_fragments(manifest: DataFrame, live: DataFrame) -> DataFrame:
     """Modules with a fragment but no source any more."""
     return manifest.join(live.select("module"), "module", "left_anti").select("module")

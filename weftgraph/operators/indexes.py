@@ -81,10 +81,11 @@ def search_postings(names: DataFrame, most: int | None = None) -> DataFrame:
 def nearest_keys(asked: DataFrame, known: DataFrame) -> DataFrame:
     """For each asked (name) the known key at the smallest edit distance within its budget, of equals the first.
 
-    known is a table of options, so small that its size is fixed; lengths prune before distances are computed.
+    Names meet the keys whose lengths are within the budget, by an equi-join on each of these lengths.
     """
     budget = levenshtein_budget(F.col("name"))
-    pairs = asked.select("name").distinct().join(F.broadcast(known.select("key").distinct()), F.abs(F.length("name") - F.length("key")) <= budget)
+    sized = asked.select("name").distinct().withColumn("n", F.explode(F.sequence(F.length("name") - budget, F.length("name") + budget)))
+    pairs = sized.join(known.select("key", F.length("key").alias("n")).distinct(), "n")
     near = pairs.withColumn("d", F.levenshtein("name", "key")).where(F.col("d") <= budget)
     return near.groupBy("name").agg(F.min(F.struct("d", "key")).alias("best")).select("name", F.col("best.key").alias("key"), F.col("best.d").alias("d"))
 

@@ -94,5 +94,10 @@ def module_sources(modules: DataFrame, owners: DataFrame, scanned: DataFrame, si
     return modules.select("module").distinct().join(best, "module", "left").join(scan, "module", "left").join(site, "module", "left").select("module", F.coalesce("f1", "f2", "f3").alias("file"))
 
 
+def module_of_file(files: DataFrame) -> DataFrame:
+    """(file, module) of files (file, module, place): where a file is listed again, its last place holds."""
+    return files.groupBy("file").agg(F.max_by("module", "place").alias("module"))
+
+
 def provider_groups(method_impl: DataFrame) -> DataFrame:
     return method_impl.groupBy("method_key").agg(F.sort_array(F.collect_set("binder_key")).alias("binders"))

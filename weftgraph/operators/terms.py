@@ -26,27 +26,30 @@ def heights(nodes: DataFrame) -> DataFrame:
     return union_all(done) if done else nodes.withColumn("h", F.lit(0))
 
 
-def fingerprints(nodes: DataFrame) -> DataFrame:
-    """(tree, node, hash, depth) of nodes (tree, node, parent, ord, tag, name): equal subtrees have equal hashes.
+def fingerprints(nodes: DataFrame, min_depth: int = 1) -> DataFrame:
+    """(tree, node, hash, depth) of nodes (tree, node, parent, ord, tag, name): equal subtrees have equal hashes; those of min_depth at least.
 
     Binder names and ids do not count: the hash covers tags, referenced names with their lengths, and
     the children's hashes in order. Depth is 1 for leaves.
     """
-    levels = settled(heights(nodes))
+    levels = heights(nodes)
+    # a node waits, under its parent's height, for the one round that reads it
+    above = levels.select("tree", F.col("node").alias("parent"), F.col("h").alias("ph"))
+    levels = settled(levels.join(above, ["tree", "parent"], "left"))
     top = levels.agg(F.max("h")).first()[0]
     done: list[DataFrame] = []
     own = F.concat_ws(":", "tag", F.length("name"), "name")
     for h in range((top if top is not None else -1) + 1):
         at = levels.where(F.col("h") == h)
         if done:
-            kids = union_all(done).where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "hash"))), lambda s: s["hash"]), ",").alias("below"), F.max("depth").alias("d"))
+            kids = union_all([d.where(F.col("ph") == h) for d in done]).groupBy("tree", F.col("parent").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "hash"))), lambda s: s["hash"]), ",").alias("below"), F.max("depth").alias("d"))
             at = at.join(kids, LEVEL_KEYS, "left")
         else:
             at = at.withColumns({"below": F.lit(None).cast("string"), "d": F.lit(None).cast("int")})
-        made = at.select("tree", "node", "parent", "ord", F.md5(F.concat(own, F.lit("("), F.coalesce("below", F.lit("")), F.lit(")"))).alias("hash"), (F.coalesce("d", F.lit(0)) + 1).alias("depth"))
+        made = at.select("tree", "node", "parent", "ord", "ph", F.md5(F.concat(own, F.lit("("), F.coalesce("below", F.lit("")), F.lit(")"))).alias("hash"), (F.coalesce("d", F.lit(0)) + 1).alias("depth"))
         done.append(settled(made))
     out = union_all(done) if done else nodes.select("tree", "node", "parent", "ord", F.lit("").alias("hash"), F.lit(0).alias("depth"))
-    return out.select("tree", "node", "hash", "depth")
+    return out.where(F.col("depth") >= min_depth).select("tree", "node", "hash", "depth")
 
 
 def hash_consed(nodes: DataFrame, first_seen: list[str]) -> DataFrame:

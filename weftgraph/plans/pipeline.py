@@ -27,6 +27,8 @@ class Facts:
     failed: DataFrame  # module, reason
     excludes: DataFrame  # prefix
     flags: DataFrame  # module, flag
+    reexports: DataFrame | None = None  # host, source, name, alias
+    source_files: DataFrame | None = None  # file, with a module or not
 
 
 @dataclass
@@ -46,15 +48,19 @@ class Graph:
     failed: DataFrame
     entry: DataFrame
     flags: DataFrame
+    reexports: DataFrame
+    source_files: DataFrame
 
 
 def assemble(facts: Facts, root: str, no_externals: bool = False) -> Graph:
-    """Contraction comes before provider edges, these before access and partial application; externals are
+    """Excluded targets go first, then contraction, provider edges, access and partial application; externals are
     classified and summed up before they are dropped; one filter then serves every module-level table."""
+    spark = facts.definitions.sparkSession
     defs = filters.excluded(facts.definitions, facts.excludes)
+    raw = filters.references_to_kept(facts.edges, facts.definitions, facts.excludes)
     ignored = facts.definitions.where("ignorable").select("key")
     kept = defs.where("not ignorable")
-    e = fixpoint.settled(E.with_providers(E.contracted(facts.edges, ignored), facts.method_impl))
+    e = fixpoint.settled(E.with_providers(E.contracted(raw, ignored), facts.method_impl))
     points = kept.where("file is not null and line is not null").select("file", F.col("line").cast("long").alias("at"), "key")
     private = rollups.in_spans(points, facts.private_ranges, closed=True).select("key", F.lit("private").alias("a"))
     partial = E.partially_applied(facts.applications, kept)
@@ -77,6 +83,10 @@ def assemble(facts: Facts, root: str, no_externals: bool = False) -> Graph:
     inside = lambda df: df.join(names.select(F.col("module").alias("src")), "src", "left_semi").join(names.select(F.col("module").alias("dst")), "dst", "left_semi")
     m_edges = fixpoint.settled(inside(E.module_edges(e, numbered, facts.imports)))
     nodes = names.select(F.col("module").alias("node"))
+    hosts = lambda c: names.select(F.col("module").alias(c))
+    shared = facts.reexports if facts.reexports is not None else spark.createDataFrame([], "host string, source string, name string, alias string")
+    files = facts.module_files.select("file")
+    files = files.unionByName(facts.source_files.select("file")) if facts.source_files is not None else files
     entry = facts.entry.join(names, "module", "left_semi")
     failed = facts.failed.join(names, "module", "left_semi")
     return Graph(
@@ -95,6 +105,8 @@ def assemble(facts: Facts, root: str, no_externals: bool = False) -> Graph:
         failed=failed,
         entry=entry,
         flags=rollups.flag_rollup(facts.flags.join(names, "module", "left_semi")),
+        reexports=E.reexports(shared).join(hosts("host"), "host", "left_semi").join(hosts("source"), "source", "left_semi"),
+        source_files=filters.files_of_project(files, root, no_externals),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions import names, text
-from weftgraph.operators import argusage, edges, filters, fixpoint, indexes, layout, rollups, terms
+from weftgraph.operators import argusage, edges, evidence, filters, fixpoint, indexes, layout, representations, rollups, terms
 from weftgraph.sources import scan
 from weftgraph.sources.bindings import Bindings, duck
 
@@ -132,11 +132,11 @@ def option_flag_intersect(b):
     return rollups.flag_rollup(each).select("module", F.array_join("flags", ",").alias("flags"))
 
 
-SIGNALS = "signals as (select module, file like 'proj/%' as in_root from files union all select module, line > 900 from defs union all select dst, false from imports)"
+SIGNALS = "signals as (select module, file like 'proj/%' as in_root from files union all select module, kind = 'datatype' from defs union all select dst, false from imports)"
 
 
 def _external(b):
-    signals = b.files.select("module", names.under(F.col("file"), F.lit(ROOT)).alias("in_root")).unionByName(b.defs.select("module", (F.col("line") > 900).alias("in_root"))).unionByName(b.imports.select(F.col("dst").alias("module"), F.lit(False).alias("in_root")))
+    signals = b.files.select("module", names.under(F.col("file"), F.lit(ROOT)).alias("in_root")).unionByName(b.defs.select("module", (F.col("kind") == "datatype").alias("in_root"))).unionByName(b.imports.select(F.col("dst").alias("module"), F.lit(False).alias("in_root")))
     return filters.external_modules(signals)
 
 
@@ -199,6 +199,23 @@ def contract_edges(b):
     return edges.contracted(b.edges, b.defs.where("ignorable"))
 
 
+HIDING = "customer.BUILDING"
+
+
+@query(["defs", "edges"], f"""gone as (select key from defs where module = '{HIDING}' or module like '{HIDING}.%'),
+hid as (select key from defs where ignorable),
+raw as (select * from edges where dst not in (select key from gone)),
+walk as (select h.key as src, h.key as mid from hid h union select walk.src, e.dst from walk join raw e on e.src = walk.mid join hid on hid.key = e.dst),
+clo as (select distinct walk.src, e.dst from walk join raw e on e.src = walk.mid where e.dst not in (select key from hid)),
+kept as (select * from raw where src not in (select key from hid)),
+allp as (select src, dst, prov from kept where dst not in (select key from hid) union all select kept.src, clo.dst, kept.prov from kept join clo on kept.dst = clo.src)
+select src, dst, arg_max(prov, case prov when 'signature' then 4 when 'module-local' then 2 when 'body' then 1 else 0 end) as prov from allp group by src, dst""", True)
+def exclude_before_contract(b):
+    """No edge leads through a definition of an excluded module, though it is ignorable and would be contracted."""
+    raw = filters.references_to_kept(b.edges, b.defs, b.spark.createDataFrame([(HIDING,)], "prefix string"))
+    return edges.contracted(raw, b.defs.where("ignorable"))
+
+
 @query(["edges", "provides"], """
 more as (select distinct e.src, p.binder_key as dst from edges e join provides p on e.dst = p.method_key)
 select src, dst, prov from edges union all select m.src, m.dst, 'unknown' from more m where not exists (select 1 from edges e where e.src = m.src and e.dst = m.dst)""")
@@ -278,7 +295,8 @@ best as (select node, min(depth) as depth from walk group by node)
 select m.module, coalesce(b.depth, -1)::bigint as depth, (select count(*) from medges e where e.dst = m.module) as fan_in, (select count(*) from medges e where e.src = m.module) as fan_out from mods m left join best b on m.module = b.node""", True)
 def bfs_module_depth(b):
     e = fixpoint.settled(b.medges)
-    depth = fixpoint.bfs_depth(e, b.mods.select(F.col("module").alias("node")), b.mods.where(F.col("module") == ENTRY).select(F.col("module").alias("node")))
+    nodes = fixpoint.settled(b.mods.select(F.col("module").alias("node")))
+    depth = fixpoint.bfs_depth(e, nodes, nodes.where(F.col("node") == ENTRY))
     fan_in, fan_out = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in")), e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan_out"))
     return depth.join(fan_in, "node", "left").join(fan_out, "node", "left").na.fill(0, ["fan_in", "fan_out"]).select(F.col("node").alias("module"), "depth", "fan_in", "fan_out")
 
@@ -293,6 +311,21 @@ def longest_path_rank(b):
     return fixpoint.longest_ranks(b.medges, b.mods.select(F.col("module").alias("node"))).select(F.col("node").alias("module"), "rank")
 
 
+@query(["mods", "medges", "provides"], """
+e as materialized (select src, dst from medges union select dst, src from medges where src like 'supplier.n1%' and dst like 'nation.%'),
+clo as (select distinct src, dst from e union select clo.src, e.dst from clo join e on e.src = clo.dst),
+stuck as (select distinct dst as node from clo where src in (select src from clo where src = dst)),
+free as (select module as node from mods where module not in (select node from stuck)),
+walk as (select node, 0 as r from free union select e.dst, walk.r + 1 from walk join e on e.src = walk.node join free on free.node = e.dst),
+rk as (select node, max(r) as rank from walk group by node)
+select node as module, rank::bigint as rank from rk union all select stuck.node, coalesce((select max(rk.rank) + 1 from rk join e on e.src = rk.node where e.dst = stuck.node), 0)::bigint from stuck""", True)
+def ranks_with_cycles(b):
+    """Some edges also lead back: what is in or below their cycles keeps the rank that its peeled predecessors give."""
+    e = fixpoint.settled(b.medges)
+    back = e.where(F.col("src").like("supplier.n1%") & F.col("dst").like("nation.%")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return fixpoint.longest_ranks(e.unionByName(back), b.mods.select(F.col("module").alias("node"))).select(F.col("node").alias("module"), "rank")
+
+
 @query(["mods", "medges"], f"""{RANKS},
 p as (select node, rank, row_number() over (partition by rank order by node) - 1 as i, count(*) over (partition by rank) as k, dense_rank() over (order by rank) - 1 as lv from rk)
 select node as module, (-(k * 200 + (k - 1) * 30) / 2.0 + i * 230)::double as x, (lv * 132)::double as y, 200::double as w, 52::double as h from p""", True)
@@ -316,11 +349,7 @@ n as (select *, row_number() over (partition by src order by d, dst) as i from n
 select src, dst, d::bigint as d, case when i > 6 then 'capped' else 'captured' end as status from n""")
 def bounded_closure(b):
     """Depth 2 at most, and six targets a root; the others are said to be omitted."""
-    one = fixpoint.settled(b.edges.select("src", "dst").distinct())
-    two = one.join(one.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst"), F.lit(2).alias("d"))
-    near = one.withColumn("d", F.lit(1)).unionByName(two).groupBy("src", "dst").agg(F.min("d").alias("d"))
-    i = F.row_number().over(W.partitionBy("src").orderBy("d", "dst"))
-    return near.select("src", "dst", "d", F.when(i > 6, "capped").otherwise("captured").alias("status"))
+    return evidence.captured(b.edges, most=6)
 
 
 # ---- rollups
@@ -446,7 +475,7 @@ def _removable_sql(rounds: int = 9) -> str:
 
 @query(["positions", "free"], f"{_removable_sql()} select key, pos from r9")
 def argusage_removable(b):
-    return argusage.removable(fixpoint.settled(b.positions), fixpoint.settled(b.free))
+    return argusage.removable(b.positions, b.free)
 
 
 @query(["positions", "free"], f"""{CLASSED},
@@ -475,9 +504,9 @@ def argusage_body_occurrence(b):
 
 
 @query(["positions"], f"""{CLASSED}, u as (select p.key, count(*)::bigint as arity, max(case when x > 20000 then p.pos else 0 end) as syn, list(c.pos) filter (verdict = 'removable') as rm, list(p.pos) filter (p.hidden) as bi from positions p left join cls c on p.key = c.key and p.pos = c.pos group by p.key),
-v as (select key, unnest([case when len(list_filter(coalesce(rm, []), lambda i: i >= arity)) + len(list_filter(coalesce(bi, []), lambda i: i >= arity)) > 0 then 'index outside [0, arity)' end,
-  case when len(list_filter(coalesce(bi, []), lambda i: not list_contains(coalesce(rm, []), i))) > 0 then 'binders key is not a reported position' end,
-  case when syn > arity then 'syntacticArity exceeds arity' end, case when len(list_filter(coalesce(bi, []), lambda i: i >= syn)) > 0 then 'binders key at or past syntacticArity' end]) as problem from u)
+v as (select key, unnest([case when len(list_filter(coalesce(rm, []), lambda i: i >= arity)) + len(list_filter(coalesce(bi, []), lambda i: i >= arity)) > 0 then 'position beyond the arity' end,
+  case when len(list_filter(coalesce(bi, []), lambda i: not list_contains(coalesce(rm, []), i))) > 0 then 'binder of a position not reported' end,
+  case when syn > arity then 'longer spine than arity' end, case when len(list_filter(coalesce(bi, []), lambda i: i >= syn)) > 0 then 'binder beyond the spine' end]) as problem from u)
 select key, problem from v where problem is not null""")
 def argusage_violations(b):
     u = b.positions.join(argusage.classified(b.positions), ["key", "pos"], "left").groupBy("key").agg(
@@ -490,13 +519,114 @@ def argusage_violations(b):
     return argusage.violations(u.withColumns({"erasable": none, "occurs": none, "requires": F.array().cast("array<struct<pos:int,needs:int>>")}))
 
 
+USAGE = f"""{CLASSED}, u as (select p.key, count(*)::bigint as arity, max(case when x > 20000 then p.pos else 0 end) as syn, list(p.pos order by p.pos) filter (verdict = 'removable') as rm, list(p.pos order by p.pos) filter (verdict = 'erasable') as er, list(p.pos order by p.pos) filter (p.hidden) as bi, case when max(s) > 60 then 2 else 0 end as k from positions p left join cls c on p.key = c.key and p.pos = c.pos group by p.key)"""
+
+
+def _usage(b):
+    at = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("pos").cast("int"))))
+    return b.positions.join(argusage.classified(b.positions), ["key", "pos"], "left").groupBy("key").agg(
+        F.count("*").alias("arity"),
+        F.max(F.when(F.col("x") > 20000, F.col("pos")).otherwise(0)).alias("syntactic_arity"),
+        at(F.col("verdict") == "removable").alias("removable"),
+        at(F.col("verdict") == "erasable").alias("erasable"),
+        at(F.col("hidden")).alias("binders"),
+        F.when(F.max("s") > 60, 2).otherwise(0).alias("k"),
+    )
+
+
+def _text(c):
+    return F.array_join(F.transform(c, lambda p: p.cast("string")), ",")
+
+
+MOVED = "array_to_string(list_transform(list_filter(coalesce({c}, []), lambda i: i >= k), lambda i: i - k), ',')"
+
+
+@query(["positions"], f"""{USAGE}
+select key, greatest(arity - k, 0)::bigint as arity, greatest(syn - k, 0)::bigint as syntactic_arity, {MOVED.format(c='rm')} as removable, {MOVED.format(c='er')} as erasable, {MOVED.format(c='bi')} as binders, {MOVED.format(c='rm')} as needs
+from u where k = 0 or len(list_filter(coalesce(rm, []), lambda i: i >= k)) + len(list_filter(coalesce(er, []), lambda i: i >= k)) > 0""")
+def argusage_shifted_usage(b):
+    """Every field of a usage row moves with the section's prefix; each removable position but the first needs itself here."""
+    u = _usage(b)
+    pairs = F.transform("removable", lambda p: F.struct(p.alias("pos"), p.alias("needs")))
+    out = argusage.shifted_usage(u.withColumns({"requires": pairs, "occurs": F.col("removable")}).drop("k"), u.select("key", "k"))
+    return out.select("key", "arity", "syntactic_arity", *[_text(c).alias(c) for c in ("removable", "erasable", "binders")], _text(F.transform("requires", lambda r: r["needs"])).alias("needs"))
+
+
+@query(["defs"], "select key from defs where kind = 'function' and not (state = 'H')")
+def argusage_scope(b):
+    return argusage.in_scope(b.defs.withColumn("projection_like", F.col("state") == "H")).select("key")
+
+
+@query(["positions"], f"{CLASSED} select p.key, p.pos, 'a' || p.p as name, case when hidden then 'implicit' else 'explicit' end as hiding, 't' || p.s as type from positions p join cls on cls.key = p.key and cls.pos = p.pos where p.x > 20000")
+def argusage_binders(b):
+    spine = b.positions.where("x > 20000").select("key", "pos", F.concat(F.lit("a"), "p").alias("name"), F.when(F.col("hidden"), "implicit").otherwise("explicit").alias("hiding"), F.concat(F.lit("t"), "s").alias("type"))
+    return argusage.binders(argusage.classified(b.positions), spine)
+
+
+@query(["positions", "defs"], """
+d as (select key, short, case when line % 4 = 0 then 1 else 0 end as indices from defs where kind = 'record'),
+sp as (select po.key as split, po.pos, d.key as parent, d.indices from positions po left join d on d.short = concat('s', case when po.x > 30000 then po.s when po.pos < 2 then 1 else 2 end))
+select split from sp group by split having count(distinct parent) = 1 and bool_and(coalesce(indices = 0, false))""")
+def plain_splits(b):
+    parts = b.positions.select(F.col("key").alias("split"), F.concat(F.col("key"), F.lit("/"), F.col("pos").cast("string")).alias("constructor"), F.concat(F.lit("s"), F.when(F.col("x") > 30000, F.col("s")).when(F.col("pos") < 2, F.lit(1)).otherwise(F.lit(2)).cast("string")).alias("short"))
+    d = b.defs.where("kind = 'record'").select("key", "short", F.when(F.col("line") % 4 == 0, 1).otherwise(0).alias("indices"))
+    parents = parts.join(d, "short").select("constructor", F.col("key").alias("parent"))
+    return representations.plain_splits(parts.select("split", "constructor"), parents, d)
+
+
+@query(["provides"], "select method_key, binder_key from provides where binder_key not like '%1'")
+def instance_methods(b):
+    clauses = b.provides.select("binder_key", F.lit(0).alias("clause"), F.when(F.col("binder_key").like("%1"), "var").otherwise("proj").alias("head"), F.col("method_key").alias("method"))
+    return edges.method_providers(clauses)
+
+
+@query(["defs"], "select module from defs group by module having not (module like '%.F') or max(line) % 2 = 0")
+def cacheable_modules(b):
+    from weftgraph.operators.incremental import cacheable
+
+    return cacheable(b.defs.groupBy("module").agg(F.count("*").alias("definitions"), (F.max("line") % 2 == 0).alias("fresh")).withColumn("is_main", F.col("module").endswith(".F")))
+
+
+@query(["applied"], "select distinct src, dst from applied where (src, dst) not in (select (src, dst) from applied where applied > 10)")
+def side_channel_growth(b):
+    from weftgraph.operators.incremental import grown
+
+    return grown(b.applied.select("src", "dst").distinct(), b.applied.where("applied > 10"), ["src", "dst"])
+
+
+@query(["refs"], """
+m as (select distinct src as key, 'unsolved#meta.' || dst as what from refs where in_signature), o as (select distinct src as key, dst as what from refs where in_body and (src, dst) not in (select (src, dst) from refs where dst like 'part.%5'))
+select key, count(*)::bigint as silent from (select * from m union all select * from o) group by key""")
+def silent_metas(b):
+    markers = b.refs.where("in_signature").select(F.col("src").alias("key"), F.concat(F.lit(filters.UNSOLVED), "dst").alias("dst"))
+    metas = b.refs.where("in_body").select(F.col("src").alias("key"), F.col("dst").alias("meta"))
+    return filters.silent_metas(markers, metas, b.refs.where("dst like 'part.%5'").select(F.col("src").alias("key"), F.col("dst").alias("meta")))
+
+
+@query(["defs"], "select module, string_agg(distinct case when arity > 40 then '--erasure' else '--safe' end, ',' order by case when arity > 40 then '--erasure' else '--safe' end) as flags from defs where arity > 40 or state = 'P' group by module")
+def effective_options(b):
+    flag = F.when(F.col("arity") > 40, "--erasure").when(F.col("state") == "P", "--safe").otherwise("--other")
+    return filters.effective_options(b.defs.select("module", flag.alias("flag")), ["--erasure", "--safe"]).select("module", F.array_join("flags", ",").alias("flags"))
+
+
+@query(["defs"], "select module as file, arg_max(key, line) as module from defs group by module")
+def entry_lookup(b):
+    return rollups.module_of_file(b.defs.select(F.col("module").alias("file"), F.col("key").alias("module"), F.col("line").alias("place")))
+
+
+@query(["files"], "select distinct file from files where file like 'proj/%'")
+def project_files(b):
+    return filters.files_of_project(b.files, ROOT, True)
+
+
 # ---- terms
 
 HASHED = """
-own as (select *, concat_ws(':', tag, length(name), name) as o from terms),
-h0 as (select tree, node, parent, ord, md5(o || '()') as hash, 1 as depth from own where not exists (select 1 from own c where c.tree = own.tree and c.parent = own.node)),
+own as materialized (select *, concat_ws(':', tag, length(name), name) as o from terms),
+inner_ as materialized (select distinct tree, parent as node from own where parent is not null),
+h0 as materialized (select own.tree, own.node, own.parent, own.ord, md5(o || '()') as hash, 1 as depth from own anti join inner_ using (tree, node)),
 k1 as (select tree, parent as node, string_agg(hash, ',' order by ord, hash) as b, max(depth) as d from h0 where parent is not null and parent > 0 group by tree, parent),
-h1 as (select own.tree, own.node, own.parent, own.ord, md5(o || '(' || b || ')') as hash, d + 1 as depth from own join k1 on own.tree = k1.tree and own.node = k1.node),
+h1 as materialized (select own.tree, own.node, own.parent, own.ord, md5(o || '(' || b || ')') as hash, d + 1 as depth from own join k1 on own.tree = k1.tree and own.node = k1.node),
 k2 as (select tree, 0 as node, string_agg(hash, ',' order by ord, hash) as b, max(depth) as d from (select * from h1 union all select * from h0 where parent = 0) group by tree),
 h2 as (select own.tree, own.node, own.parent, own.ord, md5(o || '(' || b || ')') as hash, d + 1 as depth from own join k2 on own.tree = k2.tree where own.node = 0 and own.parent is null),
 prints as (select tree, node, hash, depth from h0 union all select tree, node, hash, depth from h1 union all select tree, node, hash, depth from h2)"""
@@ -507,6 +637,11 @@ def subterm_hashes(b):
     return terms.fingerprints(b.terms)
 
 
+@query(["terms"], f"{HASHED} select tree, node, hash, depth::bigint as depth from prints where depth >= 3")
+def subterm_hashes_deep(b):
+    return terms.fingerprints(b.terms, 3)
+
+
 @query(["terms"], f"{HASHED}, once as (select hash, min(tree * 1000 + node) as first, count(*) as uses from prints group by hash) select row_number() over (order by first) - 1 as id, hash, uses from once")
 def hash_cons_terms(b):
     return terms.hash_consed(b.terms, ["tree", "node"])
@@ -517,6 +652,139 @@ def term_references(b):
     return terms.references(b.terms, b.terms.where("name = '1-URGENT'"))
 
 
+SIGS = "sigs as (select tree, node, parent, case when parent is null then 0 when parent = 0 then ord - 1 else ord end as ord, case when parent is not null then tag when name like '1-%' then 'pi' when name like '2-%' then 'type' else 'app' end as tag, name from terms)"
+
+
+def _sigs(b):
+    return fixpoint.settled(b.sql(["terms"], f"{SIGS} select * from sigs"))
+
+
+@query(["terms"], f"""{SIGS}
+select r.tree from sigs r join sigs c on r.tree = c.tree and c.parent = r.node where r.parent is null and c.tag = 'def' and c.name = 'R' and c.ord = case when r.tag = 'pi' then 1 else 0 end""")
+def equation_signatures(b):
+    return evidence.equation_signatures(_sigs(b), "R")
+
+
+@query(["terms"], f"""{SIGS},
+r as (select * from sigs where parent is null and tag = 'app'),
+c as (select k.* from sigs k join r on k.tree = r.tree and k.parent = r.node),
+occ as (select r.tree, r.node, '' as path from r join c on c.tree = r.tree and c.ord = 0 where c.tag in ('def', 'var') union all select tree, node, ord::varchar from c where tag in ('def', 'var'))
+select tree, node, path from occ""")
+def neutral_occurrences(b):
+    return evidence.neutral_occurrences(_sigs(b)).select("tree", "node", F.array_join("path", "/").alias("path"))
+
+
+@query(["terms"], f"""{SIGS},
+ann as (select tree, ord, coalesce(parent, 0) as up from sigs where parent is not null),
+have as (select r.tree, c.ord as a, g.ord as b from sigs r join sigs c on c.tree = r.tree and c.parent = r.node left join sigs g on g.tree = c.tree and g.parent = c.node where r.parent is null and not (r.tag = 'pi' and c.ord = 1))
+select distinct a.tree, concat(a.ord, '/', 0) as path from ann a join have h on h.tree = a.tree and h.a = a.ord and h.b = 0""")
+def retained_annotations(b):
+    s = _sigs(b)
+    asked = s.where("parent is not null").select("tree", F.array(F.col("ord").cast("int"), F.lit(0)).alias("path")).distinct()
+    return evidence.retained_annotations(asked, s).select("tree", F.array_join("path", "/").alias("path"))
+
+
+@query(["terms"], """
+own as (select tree, rank() over (order by case when name like '5-%' then 0 else 1 end) as place from terms where parent is null and name not like '1-%'),
+ix as (select t.tree, t.node, t.parent, row_number() over (order by own.place, t.tree, t.node) - 1 as id from terms t join own on own.tree = t.tree)
+select a.id, a.tree, a.node, b.id as parent_id from ix a left join ix b on a.tree = b.tree and a.parent = b.node""")
+def reindexed_terms(b):
+    roots = b.terms.where("parent is null and name not like '1-%'")
+    return evidence.reindexed(fixpoint.settled(b.terms), roots.select("tree", F.when(F.col("name").like("5-%"), 0).otherwise(1).alias("place")))
+
+
+REACHED = "sel as (select key from defs where module like 'supplier.n1%'), walk as (select key from sel union select r.dst from walk join refs r on r.src = walk.key), av as (select key from defs where not ignorable), om as (select w.key, case when d.kind = 'record' then 'auxiliary-limit' else 'unavailable-reference' end as reason from walk w left join defs d on d.key = w.key where w.key not in (select key from av))"
+
+
+def _reached(b):
+    d, selected = b.defs, b.defs.where("module like 'supplier.n1%'").select("key")
+    reached = fixpoint.settled(evidence.references_closed(b.refs, selected))
+    available = d.where("not ignorable").select("key")
+    return selected, reached, available, evidence.omissions(reached, available, d.where("kind = 'record'").select("key", F.lit("auxiliary-limit").alias("reason")))
+
+
+@query(["defs", "refs"], f"{REACHED} select key, reason from om", True)
+def term_omissions(b):
+    return _reached(b)[3]
+
+
+@query(["defs", "refs", "terms"], f"{REACHED} select (select count(*) from sel) as selected, (select count(*) from walk) as reachable, (select count(*) from av) as available, (select count(*) from om) as omitted, (select string_agg(distinct name, ',' order by name) from terms where tag = 'var') as unsupported_reasons", True)
+def term_coverage(b):
+    nodes = b.terms.withColumn("tag", F.when(F.col("tag") == "var", "unsupported").otherwise(F.col("tag")))
+    return evidence.coverage(*_reached(b), nodes).withColumn("unsupported_reasons", F.array_join("unsupported_reasons", ","))
+
+
+@query(["defs"], """
+i as (select module, count(*)::varchar as options, max(key) as interface_hash, min(key) as source_hash from defs group by module)
+select 'options' as kind, module as name, options as value from i union all select 'interface_hash', module, interface_hash from i union all select 'source_hash', module, source_hash from i
+union all select distinct 'rewrite', key, null from defs where arity > 45 union all select 'spelling', key, module || '.' || short from defs""")
+def evidence_environment(b):
+    d = b.defs
+    own = d.groupBy("module").agg(F.count("*").cast("string").alias("options"), F.max("key").alias("interface_hash"), F.min("key").alias("source_hash"))
+    return evidence.environment(own, d, d.where("arity > 45").select("key"))
+
+
+@query(["provides"], "select method_key as id, string_agg(distinct binder_key, ',' order by binder_key) as keys from provides group by 1")
+def compiler_builtins(b):
+    return evidence.builtins(b.provides.select(F.col("method_key").alias("id"), F.col("binder_key").alias("key"))).select("id", F.array_join("keys", ",").alias("keys"))
+
+
+@query(["event_spans"], """
+have as (select distinct concat('u', c_custkey) as file from customer), s as (select distinct file, lo, hi from event_spans where event_type = 'click' and file in (select file from have))
+select file, string_agg(lo || '-' || hi, ',' order by lo, hi) as spans from s group by file""")
+def silent_span_index(b):
+    files = b.table("customer").select(F.concat(F.lit("u"), "c_custkey").alias("file"))
+    out = evidence.span_index(files, b.event_spans.where("event_type = 'click'"))
+    return out.select("file", F.array_join(F.transform("spans", lambda s: F.concat(s["lo"].cast("string"), F.lit("-"), s["hi"].cast("string"))), ",").alias("spans"))
+
+
+# ---- representations: suppliers are declarations, each part is a member of one that delivers it
+
+DECLS = """
+dec as (select key, kind, arity as parameters, case when line % 7 = 0 then 1 else 0 end as indices, case when line % 5 = 0 then 'direct' else 'nonrecursive' end as recursion, where_helper as closed from defs where kind = 'record'),
+mem as (select min(p.binder_key) as owner, p.method_key as key, case when d.arity < 20 then 'constructor' else 'field' end as role from provides p join defs d on d.key = p.method_key group by p.method_key, d.arity),
+ret as (select key, case when line % 3 = 0 then 2 else 3 end as parameters from defs where kind = 'constructor' and state <> 'H'),
+mis as (select distinct m.owner, m.key from mem m join dec on dec.key = m.owner left join ret on ret.key = m.key where ret.key is null or (m.role = 'constructor' and ret.parameters <> dec.parameters))"""
+
+
+def _declared(b):
+    own = b.sql(["defs"], "select key, kind, arity as parameters, case when line % 7 = 0 then 1 else 0 end as indices, case when line % 5 = 0 then 'direct' else 'nonrecursive' end as recursion, where_helper as closed from defs where kind = 'record'")
+    members = b.sql(["defs", "provides"], "select min(p.binder_key) as owner, p.method_key as key, case when d.arity < 20 then 'constructor' else 'field' end as role from provides p join defs d on d.key = p.method_key group by p.method_key, d.arity")
+    retained = b.sql(["defs"], "select key, case when line % 3 = 0 then 2 else 3 end as parameters from defs where kind = 'constructor' and state <> 'H'")
+    return own, members, retained
+
+
+@query(["defs", "provides"], f"{DECLS} select owner, key from mis")
+def missing_members(b):
+    return representations.missing_members(*_declared(b))
+
+
+INVENTORY = f"""{DECLS},
+lim as (select dec.*, (select count(*) from mem where mem.owner = dec.key and role = 'constructor') as n_constructors, (select count(*) from mem where mem.owner = dec.key and role = 'field') as n_fields, dec.key not in (select owner from mis) as complete from dec)"""
+
+
+@query(["defs", "provides"], f"""{INVENTORY}
+select key, n_constructors, n_fields, complete, concat_ws(',', case when closed then 'abstract-or-opaque' end, case when not complete then 'missing-member-signatures' end) as limitations from lim""")
+def representation_inventories(b):
+    out = representations.inventories(*_declared(b))
+    return out.select("key", F.size("constructors").alias("n_constructors"), F.size("fields").alias("n_fields"), "complete", F.array_join("limitations", ",").alias("limitations"))
+
+
+@query(["defs", "provides"], f"""{INVENTORY},
+con as (select lim.*, mem.key as name, mem.key like '%0' as supported, mem.key like '%1_' as odd from lim join mem on mem.owner = lim.key and mem.role = 'constructor'),
+bar as (select *, concat_ws(',', case when closed then 'abstract-or-opaque' end, case when indices <> 0 then 'indexed' end, case when n_constructors <> 1 then 'multiple-or-zero-constructors' end, case when recursion <> 'nonrecursive' then 'recursion-' || recursion end) as bars from con)
+select name, key as owner, case when bars <> '' then 'unavailable' when not supported or odd or not complete then 'partial' else 'complete' end as status,
+  case when bars <> '' then bars when not supported then 'unsupported-telescope' when odd then 'blocked-constructor-result' when not complete then 'owner-inventory-incomplete' else '' end as limitations from bar""")
+def constructor_views(b):
+    own, members, retained = _declared(b)
+    inventory = fixpoint.settled(representations.inventories(own, members, retained))
+    # a constructor's type ends in its owner, but for some
+    each = inventory.select(F.col("key").alias("owner"), F.explode("constructors").alias("name"))
+    results = each.select("name", F.when(~F.col("name").like("%1_"), F.col("owner")).alias("result_owner"), F.col("name").like("%0").alias("supported"))
+    views = representations.constructor_views(inventory, results)
+    return views.select("name", "owner", "status", F.array_join("limitations", ",").alias("limitations"))
+
+
 # ---- encodings
 
 IDX = "ix as (select module, row_number() over (order by module) - 1 as idx from mods), ie as (select a.idx as src, b.idx as dst from medges join ix a on medges.src = a.module join ix b on medges.dst = b.module)"

@@ -30,6 +30,7 @@ def facts_of_sources(spark: SparkSession, files, entry: str | None = None, exclu
         failed=empty("module string, reason string"),
         excludes=spark.createDataFrame([(x,) for x in exclude], "prefix string"),
         flags=empty("module string, flag string"),
+        source_files=files.select("file"),
     )
 
 
