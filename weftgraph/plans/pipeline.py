@@ -29,6 +29,12 @@ class Facts:
     flags: DataFrame  # module, flag
     reexports: DataFrame | None = None  # host, source, name, alias
     source_files: DataFrame | None = None  # file, with a module or not
+    types: DataFrame | None = None  # key, type
+    silent: DataFrame | None = None  # key, silent: unsolved metas that no text shows
+    usage: DataFrame | None = None  # key and what argusage.violations takes
+    subterms: DataFrame | None = None  # key, node, hash, depth
+    effective: DataFrame | None = None  # module, flag in force
+    unsolved: DataFrame | None = None  # module, meta_lines, constraint_lines
 
 
 @dataclass
@@ -50,6 +56,24 @@ class Graph:
     flags: DataFrame
     reexports: DataFrame
     source_files: DataFrame
+    effective: DataFrame
+    unsolved: DataFrame
+
+
+def with_details(nodes: DataFrame, facts: Facts) -> DataFrame:
+    """Nodes with what is known of some of them only; a table that isn't there makes no column."""
+    known = []
+    if facts.types is not None:
+        known.append(facts.types.select("key", "type"))
+    if facts.silent is not None:
+        known.append(facts.silent.select("key", F.col("silent").alias("unsolved_metas")))
+    if facts.usage is not None:
+        known.append(facts.usage.select("key", F.struct(*[c for c in facts.usage.columns if c != "key"]).alias("usage")))
+    if facts.subterms is not None:
+        known.append(facts.subterms.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "hash", "depth"))).alias("subterms")))
+    for k in known:
+        nodes = nodes.join(k, "key", "left")
+    return nodes
 
 
 def assemble(facts: Facts, root: str, no_externals: bool = False) -> Graph:
@@ -74,7 +98,7 @@ def assemble(facts: Facts, root: str, no_externals: bool = False) -> Graph:
         kept, e = filters.without_externals(kept, e, external)
     known = kept.select("key")
     e = e.join(known.select(F.col("key").alias("src")), "src", "left_semi").join(known.select(F.col("key").alias("dst")), "dst", "left_semi")
-    numbered = fixpoint.settled(indexes.indexed(kept, ["key"]))
+    numbered = fixpoint.settled(with_details(indexes.indexed(kept, ["key"]), facts))
     e = fixpoint.settled(e.select("src", "dst", "prov"))
     wanted = lambda df: filters.keep(df, facts.excludes, external, no_externals)
     ends = wanted(E.module_nodes(numbered, facts.imports, facts.entry, facts.failed, external, facts.module_files))
@@ -87,6 +111,8 @@ def assemble(facts: Facts, root: str, no_externals: bool = False) -> Graph:
     shared = facts.reexports if facts.reexports is not None else spark.createDataFrame([], "host string, source string, name string, alias string")
     files = facts.module_files.select("file")
     files = files.unionByName(facts.source_files.select("file")) if facts.source_files is not None else files
+    effective = facts.effective if facts.effective is not None else spark.createDataFrame([], "module string, flag string")
+    unsolved = facts.unsolved if facts.unsolved is not None else spark.createDataFrame([], "module string, meta_lines array<long>, constraint_lines array<long>")
     entry = facts.entry.join(names, "module", "left_semi")
     failed = facts.failed.join(names, "module", "left_semi")
     return Graph(
@@ -107,6 +133,8 @@ def assemble(facts: Facts, root: str, no_externals: bool = False) -> Graph:
         flags=rollups.flag_rollup(facts.flags.join(names, "module", "left_semi")),
         reexports=E.reexports(shared).join(hosts("host"), "host", "left_semi").join(hosts("source"), "source", "left_semi"),
         source_files=filters.files_of_project(files, root, no_externals),
+        effective=rollups.flag_rollup(effective.join(names, "module", "left_semi")),
+        unsolved=unsolved.join(names, "module", "left_semi"),
     )
 
 

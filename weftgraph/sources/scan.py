@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.functions.names import is_source, sanitised
+from weftgraph.functions.names import SOURCE_SUFFIXES, is_source, sanitised
 from weftgraph.functions.text import without_block_comments, without_line_comment
 
 
+#: Names that listings keep; other files below a root are never opened.
+SOURCE_GLOB = "*{" + ",".join(SOURCE_SUFFIXES) + "}"
+
+
+def _real(root: str) -> str:
+    """A local root without links in its path; others as they are."""
+    plain = re.sub("^file:/+", "/", root)
+    return root.rstrip("/") if re.match("[a-z0-9]+:", plain) else os.path.realpath(plain)
+
+
 def source_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """(file, text, ord) of source files below the roots: hidden names are skipped, and a file reached twice counts once, under its first root."""
-    out = None
+    """(file, text, ord) of source files below the roots, which may not all exist: hidden names are skipped.
+
+    A file reached twice counts once, under the first root that has it and as that root spells it, also where
+    roots lie in each other or lead to the same folder by links.
+    """
+    out = spark.createDataFrame([], "file string, text string, ord int, real string")
     for k, root in enumerate(roots):
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            continue
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SOURCE_GLOB).load(root)
         plain = F.regexp_replace("path", "^file:/+", "/")
-        base = F.regexp_replace(F.lit(root), "^file:/+", "/")
+        base = re.sub("^file:/+", "/", root).rstrip("/")
+        below = F.substring(F.col("file"), F.lit(len(base) + 1), F.length("file"))
         own = found.select(plain.alias("file"), F.col("content").cast("string").alias("text"), F.lit(k).alias("ord"))
-        own = own.where(is_source(F.col("file")) & ~F.substring(F.col("file"), F.length(base) + 1, F.length("file")).rlike(r"/\."))
-        out = own if out is None else out.unionByName(own)
-    first = F.row_number().over(W.partitionBy("file").orderBy("ord"))
-    return out.withColumn("n", first).where("n = 1").drop("n")
+        out = out.unionByName(own.where(is_source(F.col("file")) & ~below.rlike(r"/\.")).withColumn("real", F.concat(F.lit(_real(root)), below)))
+    first = F.row_number().over(W.partitionBy("real").orderBy("ord"))
+    return out.withColumn("n", first).where("n = 1").drop("n", "real")
 
 
 def source_lines(files: DataFrame) -> DataFrame:
