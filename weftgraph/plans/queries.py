@@ -37,14 +37,18 @@ def query(needs: list[str], sql: str, recursive: bool = False):
 # ---- scans
 
 
-@query(["source_lines"], r"""
+HEADERS = r"""
 tok as (select file, line_no, string_split(trim(regexp_replace(regexp_replace(text, '--.*$', ''), '\s+', ' ', 'g')), ' ') as w from source_lines),
 named as (select file, line_no, case when w[1] = 'module' then 'module' when w[1] = 'import' or (w[1] = 'open' and w[2] = 'import') then 'import' end as kind,
   regexp_extract(case when w[1] = 'open' then w[3] else w[2] end, '^[._''\-\p{L}\p{N}]*') as name from tok),
 hit as (select * from named where kind is not null and name <> ''),
 mods as (select file, arg_min(name, line_no) as m from hit where kind = 'module' group by file),
+hd as (select file, case when m = '_' then regexp_extract(file, '([^/]*)\.[^/.]*$', 1) else m end as module from mods)"""
+
+
+@query(["source_lines"], HEADERS + r""",
 imps as (select file, string_agg(distinct name, ',' order by name) as i from hit where kind = 'import' group by file)
-select mods.file, case when m = '_' then regexp_extract(mods.file, '([^/]*)\.[^/.]*$', 1) else m end as module, coalesce(i, '') as imports from mods left join imps on mods.file = imps.file""")
+select hd.file, hd.module, coalesce(i, '') as imports from hd left join imps on hd.file = imps.file""")
 def scan_module_headers(b):
     return scan.headers(b.source_lines).select("file", "module", F.array_join("imports", ",").alias("imports"))
 
@@ -61,11 +65,14 @@ def scan_link_imports(b):
     return scan.link_imports(b.table("pages"))
 
 
-@query(["source_lines"], r"""
-select module, file from (select regexp_extract(file, '^src/(.*)/s[0-9]+\.agda$', 1) as module, file from source_lines group by all) where file like '%.agda'""")
+@query(["source_lines"], HEADERS + r"""
+select 'module' as kind, module as name, min(file) as value from hd group by module
+union all select distinct 'import', hd.module, hit.name from hit join hd on hit.file = hd.file where hit.kind = 'import' and hd.module <> hit.name
+union all select distinct 'file', file, '' from source_lines""")
 def scan_sources(b):
-    modules = b.source_lines.select("file").distinct().where(names.is_source(F.col("file")))
-    return modules.select(F.regexp_extract("file", r"^src/(.*)/s[0-9]+\.agda$", 1).alias("module"), "file")
+    modules, imports, files = scan.scan_sources(b.source_lines)
+    out = modules.select(F.lit("module").alias("kind"), F.col("module").alias("name"), F.col("file").alias("value"))
+    return out.unionByName(imports.select(F.lit("import").alias("kind"), F.col("src").alias("name"), F.col("dst").alias("value"))).unionByName(files.select(F.lit("file").alias("kind"), F.col("file").alias("name"), F.lit("").alias("value")))
 
 
 # ---- filters and names
@@ -92,10 +99,17 @@ def constructor_owner_key(b):
     return b.provides.join(short, "method_key").join(own, F.col("binder_key") == F.col("owner"), "left").select(F.col("method_key").alias("constructor"), F.concat(F.coalesce("owner", "binder_key"), F.lit("."), "short").alias("key"))
 
 
-@query(["defs"], """
-select key from defs where not (ignorable or (kind = 'primitive') or (kind = 'function' and state = 'H'))""")
+RAW = """raw as (select key, kind, state, line, ignorable, case when line % 101 = 0 then concat(module, '..', short) when line % 103 = 0 then concat(module, '.GeneralizeTel', short) when line % 107 = 0 then concat(module, '.generalizedField-', short) when kind = 'postulate' and line = 7 then 'Agda.Primitive.Level' else key end as raw_name,
+  case when kind = 'postulate' then 'axiom' when kind = 'datatype' and line % 11 = 0 then 'primitive-sort' when kind = 'datatype' and line % 13 = 0 then 'signature-only' when kind = 'datatype' and line % 17 = 0 then 'generalizable' else kind end as tag from defs)"""
+
+
+@query(["defs"], f"""{RAW}
+select key from raw where not (ignorable or raw_name like '%..%' or regexp_matches(raw_name, '(GeneralizeTel|generalizedField-)[^.]*$')
+  or (tag = 'function' and (state = 'H' or line % 19 = 0 or line % 23 = 0 or line % 29 = 0)) or (tag = 'primitive' and line % 2 = 1) or (tag = 'axiom' and raw_name = 'Agda.Primitive.Level') or tag in ('primitive-sort', 'signature-only', 'generalizable'))""")
 def ignorable_filter(b):
-    d = b.defs.select("key", F.col("key").alias("raw_name"), F.col("kind").alias("tag"), F.col("ignorable").alias("is_copy"), (F.col("state") == "H").alias("is_inline"))
+    d = b.sql(["defs"], f"{RAW} select * from raw")
+    every = lambda n: F.col("line") % n == 0
+    d = d.select("key", "raw_name", "tag", F.col("ignorable").alias("is_copy"), (F.col("state") == "H").alias("is_inline"), every(19).alias("is_pattern_lambda"), every(23).alias("is_with_function"), every(29).alias("is_kan_operation"), every(2).alias("has_clauses"))
     return d.where(~filters.is_ignorable(d)).select("key")
 
 
@@ -503,22 +517,6 @@ def argusage_body_occurrence(b):
     return argusage.occurs_in_body(argusage.classified(b.positions).where("verdict = 'removable'").select("key", "pos"), clauses)
 
 
-@query(["positions"], f"""{CLASSED}, u as (select p.key, count(*)::bigint as arity, max(case when x > 20000 then p.pos else 0 end) as syn, list(c.pos) filter (verdict = 'removable') as rm, list(p.pos) filter (p.hidden) as bi from positions p left join cls c on p.key = c.key and p.pos = c.pos group by p.key),
-v as (select key, unnest([case when len(list_filter(coalesce(rm, []), lambda i: i >= arity)) + len(list_filter(coalesce(bi, []), lambda i: i >= arity)) > 0 then 'position beyond the arity' end,
-  case when len(list_filter(coalesce(bi, []), lambda i: not list_contains(coalesce(rm, []), i))) > 0 then 'binder of a position not reported' end,
-  case when syn > arity then 'longer spine than arity' end, case when len(list_filter(coalesce(bi, []), lambda i: i >= syn)) > 0 then 'binder beyond the spine' end]) as problem from u)
-select key, problem from v where problem is not null""")
-def argusage_violations(b):
-    u = b.positions.join(argusage.classified(b.positions), ["key", "pos"], "left").groupBy("key").agg(
-        F.count("*").alias("arity"),
-        F.max(F.when(F.col("x") > 20000, F.col("pos")).otherwise(0)).alias("syntactic_arity"),
-        F.collect_list(F.when(F.col("verdict") == "removable", F.col("pos").cast("int"))).alias("removable"),
-        F.collect_list(F.when(F.col("hidden"), F.col("pos").cast("int"))).alias("binders"),
-    )
-    none = F.array().cast("array<int>")
-    return argusage.violations(u.withColumns({"erasable": none, "occurs": none, "requires": F.array().cast("array<struct<pos:int,needs:int>>")}))
-
-
 USAGE = f"""{CLASSED}, u as (select p.key, count(*)::bigint as arity, max(case when x > 20000 then p.pos else 0 end) as syn, list(p.pos order by p.pos) filter (verdict = 'removable') as rm, list(p.pos order by p.pos) filter (verdict = 'erasable') as er, list(p.pos order by p.pos) filter (p.hidden) as bi, case when max(s) > 60 then 2 else 0 end as k from positions p left join cls c on p.key = c.key and p.pos = c.pos group by p.key)"""
 
 
@@ -541,6 +539,26 @@ def _text(c):
 MOVED = "array_to_string(list_transform(list_filter(coalesce({c}, []), lambda i: i >= k), lambda i: i - k), ',')"
 
 
+@query(["positions"], f"""{USAGE},
+w as (select key, arity, case when k = 2 then arity + 1 else syn end as syn, coalesce(rm, []) as rm, coalesce(er, []) as er, coalesce(bi, []) as bi,
+  list_concat(list_transform(coalesce(rm, []), lambda p: [p, 2 * p - 2]), list_transform(coalesce(bi, []), lambda p: [p, p + 1])) as rq from u),
+v as (select key, unnest([
+  case when len(list_filter(list_concat(rm, list_concat(er, list_concat(bi, flatten(rq)))), lambda i: i < 0 or i >= arity)) > 0 then 'position beyond the arity' end,
+  case when len(list_filter(rq, lambda r: not list_contains(rm, r[1]))) > 0 then 'need of a position that stays' end,
+  case when len(list_filter(rq, lambda r: not list_contains(rm, r[2]))) > 0 then 'need for a position that stays' end,
+  case when len(list_filter(rq, lambda r: r[2] <= r[1])) > 0 then 'need of an earlier position' end,
+  case when len(list_filter(bi, lambda i: not list_contains(rm, i) and not list_contains(er, i))) > 0 then 'binder of a position not reported' end,
+  case when len(list_filter(er, lambda i: not list_contains(rm, i))) > 0 then 'body use of a position that stays' end,
+  case when syn > arity then 'longer spine than arity' end,
+  case when len(list_filter(bi, lambda i: i >= syn)) > 0 then 'binder beyond the spine' end]) as problem from w)
+select key, problem from v where problem is not null""")
+def argusage_violations(b):
+    """Usage that breaks each rule somewhere: needs are made up, erasable positions are said to occur in bodies."""
+    pair = lambda c, f: F.transform(c, lambda p: F.struct(p.alias("pos"), f(p).cast("int").alias("needs")))
+    u = _usage(b).withColumn("requires", F.concat(pair("removable", lambda p: 2 * p - 2), pair("binders", lambda p: p + 1)))
+    return argusage.violations(u.withColumns({"syntactic_arity": F.when(F.col("k") == 2, F.col("arity") + 1).otherwise(F.col("syntactic_arity")), "occurs": F.col("erasable")}))
+
+
 @query(["positions"], f"""{USAGE}
 select key, greatest(arity - k, 0)::bigint as arity, greatest(syn - k, 0)::bigint as syntactic_arity, {MOVED.format(c='rm')} as removable, {MOVED.format(c='er')} as erasable, {MOVED.format(c='bi')} as binders, {MOVED.format(c='rm')} as needs
 from u where k = 0 or len(list_filter(coalesce(rm, []), lambda i: i >= k)) + len(list_filter(coalesce(er, []), lambda i: i >= k)) > 0""")
@@ -848,16 +866,87 @@ def nearest_key(b):
 # ---- validation and reuse
 
 
-@query(["defs", "refs", "imports"], """
-k as (select key from defs where not ignorable), m as (select module from defs where not ignorable)
-select 'edge endpoint absent from definitions' as problem, src || ' -> ' || dst as example from refs where src not in (select key from k) or dst not in (select key from k)
-union select 'module edge endpoint absent from modules', src || ' -> ' || dst from imports where src not in (select module from m) or dst not in (select module from m)
-union select 'duplicate definition name', short from defs where not ignorable group by short having count(*) > 1""")
+BROKEN = {
+    "definitions": "select key, module, line - 2 as idx, case when line = 5 then 'X' else state end as state, case when line = 6 then 'odd' else kind end as kind from defs where not ignorable union all select key, module, line - 2, state, kind from defs where kind = 'primitive'",
+    "edges": "select src, dst, case when in_signature then 'signature' when in_body then 'body' end as prov from refs",
+    "modules": "select module from mods where module not like 'part.Brand1%' union all select module from mods where module like 'nation.%'",
+    "module_edges": "select src, dst from imports union all select module, module from mods where module like 'nation.%'",
+    "transitive_edges": "select src, dst from imports where src < 'supplier.n12' union all select dst, src from imports where src = 'supplier.n2'",
+    "entry": "select 'nowhere' as module",
+    "external": "select module from mods where module like 'part.%'",
+    "failed": "select concat('lost.', module) as module from mods where module like '%.F'",
+    "module_files": "select module, file from files union all select module, concat('other/', file) from files where module like 'nation.%'",
+    "flags": "select module from mods where module like 'part.Brand11%'",
+    "effective": "select 'gone' as module",
+    "unsolved": "select module from mods where module like 'part.Brand12%'",
+    "reexports": "select dst as host, src as source from imports",
+}
+GRAPH = ", ".join(f"g_{name} as ({sql})" for name, sql in BROKEN.items()) + ", gm as (select distinct module from g_modules)"
+
+
+def _no_module(table: str, problem: str, column: str = "module") -> str:
+    return f"select distinct '{problem}' as problem, {column} as example from g_{table} where {column} not in (select module from gm)"
+
+
+def _no_ends(table: str, problem: str, known: str, a: str = "src", z: str = "dst") -> str:
+    return f"select distinct '{problem}' as problem, {a} || ' -> ' || {z} as example from g_{table} where {a} not in ({known}) or {z} not in ({known})"
+
+
+def _twice(table: str, column: str, problem: str) -> str:
+    return f"select '{problem}' as problem, {column}::varchar as example from g_{table} group by {column} having count(*) > 1"
+
+
+FOUND = " union all ".join(
+    [
+        _twice("modules", "module", "module listed twice"),
+        _twice("definitions", "key", "definition listed twice"),
+        _twice("definitions", "idx", "id given twice"),
+        _twice("module_files", "module", "module with two files"),
+        "select 'id below zero', key from g_definitions where idx < 0",
+        "select 'unknown state or kind', key from g_definitions where state = 'X' or kind = 'odd'",
+        "select 'untagged edge', src || ' -> ' || dst from g_edges where prov is null",
+        _no_ends("edges", "edge to or from no definition", "select key from g_definitions"),
+        _no_ends("module_edges", "module edge to or from no module", "select module from gm"),
+        _no_ends("transitive_edges", "transitive edge to or from no module", "select module from gm"),
+        _no_ends("reexports", "re-export to or from no module", "select module from gm", "host", "source"),
+        "select 'module edge to itself', src from g_module_edges where src = dst",
+        "select 'transitive edge that is no edge', src || ' -> ' || dst from g_transitive_edges t where not exists (select 1 from g_module_edges m where m.src = t.src and m.dst = t.dst)",
+        _no_module("definitions", "definition of no module"),
+        _no_module("entry", "entry is no module"),
+        _no_module("external", "external is no module"),
+        _no_module("failed", "failed is no module"),
+        _no_module("module_files", "file of no module"),
+        _no_module("flags", "flags of no module"),
+        _no_module("effective", "flags or unsolved lines of no module"),
+        _no_module("unsolved", "flags or unsolved lines of no module"),
+    ]
+)
+
+
+@query(["defs", "refs", "imports", "mods", "files"], f"{GRAPH}, found as ({FOUND}) select problem, count(*) as n, min(example) as first, max(example) as last from found group by problem")
 def validate_graph(b):
-    from weftgraph.operators.validate import dangling, duplicates
+    """Every check, over tables that break each of them."""
+    from types import SimpleNamespace
+
+    from weftgraph.operators.validate import violations
+
+    tables = {name: fixpoint.settled(b.sql(["defs", "refs", "imports", "mods", "files"], sql)) for name, sql in BROKEN.items()}
+    return violations(SimpleNamespace(**tables)).groupBy("problem").agg(F.count("*").alias("n"), F.min("example").alias("first"), F.max("example").alias("last"))
+
+
+FRAGMENTS = """man as (select module, case when max(line) % 5 = 0 then 'old' else 'now' end as options_fp, min(key) as content_hash, cast(case when max(line) % 7 = 0 then 11 else 12 end as int) as format, cast(case when max(line) % 3 = 0 then 3 else 4 end as int) as key_version from defs where kind <> 'record' group by module),
+src as (select module, case when min(line) % 2 = 0 then max(key) else min(key) end as content_hash from defs where kind <> 'postulate' group by module)"""
+
+
+@query(["defs"], f"""{FRAGMENTS}
+select man.module, 'good' as status from man join src on man.module = src.module and man.content_hash = src.content_hash where options_fp = 'now' and format = 12 and key_version = 4
+union all select module, 'stale' from man where module not in (select module from src)""")
+def reusable_fragments(b):
+    from weftgraph.operators.incremental import stale_fragments, usable_fragments
 
-    d = b.defs.where("not ignorable")
-    return dangling(b.refs, d.select("key"), "edge endpoint absent from definitions").unionByName(dangling(b.imports, d.select(F.col("module").alias("key")).distinct(), "module edge endpoint absent from modules")).unionByName(duplicates(d, "short", "duplicate definition name"))
+    manifest, sources = b.sql(["defs"], f"{FRAGMENTS} select * from man"), b.sql(["defs"], f"{FRAGMENTS} select * from src")
+    good = usable_fragments(manifest, "now", sources).withColumn("status", F.lit("good"))
+    return good.unionByName(stale_fragments(manifest, sources).withColumn("status", F.lit("stale")))
 
 
 @query(["defs"], """
