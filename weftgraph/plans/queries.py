@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import names, text
 from weftgraph.operators import argusage, edges, evidence, filters, fixpoint, indexes, layout, representations, rollups, terms
 from weftgraph.sources import scan
-from weftgraph.sources.bindings import Bindings, duck
+from weftgraph.sources.bindings import CTES, Bindings, duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -930,7 +931,12 @@ def validate_graph(b):
 
     from weftgraph.operators.validate import violations
 
-    tables = {name: fixpoint.settled(b.sql(["defs", "refs", "imports", "mods", "files"], sql)) for name, sql in BROKEN.items()}
+    known = {"defs": b.defs, "refs": b.refs, "imports": fixpoint.settled(b.imports)}
+    over = lambda sql: b.spark.sql(re.sub(r"\bfrom (\w+)", r"from {\1}", sql), **{n: df for n, df in known.items() if f"from {n}" in sql})
+    known["mods"] = fixpoint.settled(over(CTES["mods"]))
+    known["files"] = over(CTES["files"])
+    tables = {name: over(sql) for name, sql in BROKEN.items()}
+    tables |= {name: fixpoint.settled(tables[name]) for name in ("edges", "definitions")}  # read by several checks
     return violations(SimpleNamespace(**tables)).groupBy("problem").agg(F.count("*").alias("n"), F.min("example").alias("first"), F.max("example").alias("last"))
 
 
