@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import op10_jaccard, op12_language, op13_infill, op1_sentencepiece, op2_token_counts, op3_quality, op4_mixing, op5_token_files, op6_substrings, op7_neighbours, op8_secrets, op9_tiff
+from weftgraph.llm import op10_jaccard, op11_prefix_trie, op12_language, op13_infill, op1_sentencepiece, op2_token_counts, op3_quality, op4_mixing, op5_token_files, op6_substrings, op7_neighbours, op8_secrets, op9_tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets.query,
     "op9_tiff": op9_tiff.query,
     "op10_jaccard": op10_jaccard.query,
+    "op11_prefix_trie": op11_prefix_trie.query,
     "op12_language": op12_language.query,
     "op13_infill": op13_infill.query,
 }
@@ -41,4 +42,4 @@ select doc_id, n as n_shingles, coalesce(component_id, doc_id) as component_id,
 """
 
 #: The other operators do what SQL can't (tokenizers, networks, sampling, images, window hashes of bytes, top lists by index): tests hold them against libraries and brute force.
-ORACLE_SQL: dict[str, str] = {"op10_jaccard": JACCARD, "op13_infill": op13_infill.SQL}
+ORACLE_SQL: dict[str, str] = {"op10_jaccard": JACCARD, "op11_prefix_trie": op11_prefix_trie.SQL, "op13_infill": op13_infill.SQL}
