@@ -71,3 +71,14 @@ def test_blocks_meet(spark, monkeypatch):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 97).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
     for r in mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
         assert abs(r.taken - r.target) <= 97
+
+
+def test_long_ids_beside_null_ones(spark):
+    first = 2**53 + 1
+    rows = [(first + i, "w " * (i % 7 + 1), f"s{i % 2}") for i in range(59)] + [(None, "no id", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = mixing.mixed(docs).collect()
+    assert {r.doc_id for r in made} == {r[0] for r in rows} and len(made) == len(rows)
+    taken = mixing.mix(docs).collect()
+    assert len(taken) == sum(r.times for r in made)
+    assert all((r.doc_id, r.text, r.source) in set(rows) for r in taken)

@@ -12,7 +12,8 @@ words come near its target however many blocks it has, and no block grows with t
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,14 +118,14 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The flight of one block; the last block of a source lands."""
-    rows = rows.sort_values(["h", "nth", "doc_id", "size"], kind="stable")
+def _fly(key: tuple, rows: pa.Table) -> pa.Table:
+    """The flight of one block; the last block of a source lands. Ids stay in Arrow: as numbers of pandas, long ones beside a null would be rounded."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("h", "nth", "doc_id", "size")]))
     seed = int(np.bitwise_xor.reduce(rows["h"].to_numpy().astype(np.int64).view(np.uint64), initial=np.uint64(len(rows))))
-    size = rows["size"].to_numpy(np.float64)
-    last = bool((rows["blocks"] == 1).all())
-    p = flight(rows["p"].to_numpy(np.float64), np.stack([size / max(size.max(), 1.0), np.ones(len(size))], axis=1), seed, LEFT if last else 0)
-    return rows.assign(p=landing(p, size) if last else p)
+    size = rows["size"].to_numpy().astype(np.float64)
+    last = bool((rows["blocks"].to_numpy() == 1).all())
+    p = flight(rows["p"].to_numpy().astype(np.float64), np.stack([size / max(size.max(), 1.0), np.ones(len(size))], axis=1), seed, LEFT if last else 0)
+    return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(landing(p, size) if last else p, pa.float64()))
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -153,7 +154,7 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     rows = rows.withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))).drop("rate")
     schema = rows.schema
     done, level = [rows.where("p = 0")], 0
-    now = stored(rows.where("p > 0").groupBy("source", "block").applyInPandas(_fly, schema), "mix-flight-0")
+    now = stored(rows.where("p > 0").groupBy("source", "block").applyInArrow(_fly, schema), "mix-flight-0")
     while True:
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(now.where(~open_))
@@ -163,7 +164,7 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
         level += 1
         # two of each block at most are left: as many blocks meet as fill one again
         fewer = rest.withColumns({"blocks": F.ceil(F.col("blocks") / (BLOCK // 2)), "block": F.floor(F.col("block") / (BLOCK // 2))})
-        now = stored(fewer.groupBy("source", "block").applyInPandas(_fly, schema), f"mix-flight-{level}")
+        now = stored(fewer.groupBy("source", "block").applyInArrow(_fly, schema), f"mix-flight-{level}")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
