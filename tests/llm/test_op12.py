@@ -45,6 +45,25 @@ def test_best_sequence_against_all_sequences():
             at += n
 
 
+def test_shortcuts_change_nothing():
+    r = np.random.default_rng(5)
+    settled = 0
+    for _ in range(300):
+        # one language leads in most words, or in a stretch
+        scores = r.normal(size=(int(r.integers(1, 40)), 4)).astype(np.float32)
+        scores[:, 2] += r.choice([0, 1.5, 3])
+        a = int(r.integers(0, len(scores)))
+        scores[a : a + int(r.integers(0, 9)), 1] += r.choice([0, 4])
+        for penalty in (1.0, 4.0):
+            one = language.single_language(scores, penalty)
+            full = language.viterbi(scores, np.array([len(scores)]), penalty)
+            settled += one is not None
+            assert one is None or (full == one).all()
+    assert 100 < settled < 500
+    for text in ("plain ASCII", "Été où ÿ ß ʯ", "a²b µ ½ x_1", "ªº", "λ a", "dash – “q” €", "x̄"):
+        assert language.words_of(text) == language._word_pattern().findall(text)
+
+
 def test_grams_against_slices():
     words = ["a", "Été", "日本語", "x" * 40]
     cells, owner = language.grams(words)

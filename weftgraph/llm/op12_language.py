@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ PENALTY = 6.0
 #: Letters of a word at most; longer runs, as of scripts without spaces, are several words.
 LONGEST = 40
 #: Bytes of text turned over at once, distinct words whose grams are, and languages whose counts a task holds.
-AT_ONCE, WORDS_AT_ONCE, LANGUAGES_HELD = 1 << 20, 1 << 14, 32
+AT_ONCE, WORDS_AT_ONCE, LANGUAGES_HELD = 2 << 20, 1 << 14, 32
 NO_LANGUAGE = "und"
 #: Ranges of code points of scripts, marks that go on a letter among them. Letters outside of all are one script more.
 SCRIPTS = {
@@ -88,9 +89,16 @@ def scripts_of(letters: np.ndarray) -> np.ndarray:
     return np.where((letters >= first[at]) & (letters <= last[at]), script[at], len(NAMES) - 1)
 
 
+@lru_cache(maxsize=1)
+def _latin_only() -> tuple[re.Pattern, re.Pattern]:
+    """(what texts don't have whose letters are all of the Latin ranges, the words of such texts)."""
+    return re.compile("[^\x00-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-ʯ‐-⁄]"), re.compile(f"[A-Za-zÀ-ÖØ-öø-ʯ]{{1,{LONGEST}}}")
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters and marks of one script, of LONGEST at most, as they are written."""
-    return _word_pattern().findall(text)
+    more, latin = _latin_only()
+    return _word_pattern().findall(text) if more.search(text) else latin.findall(text)
 
 
 def letters_in(words: list[str]) -> np.ndarray:
@@ -145,9 +153,10 @@ class LanguageModel:
     def labelled(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
         """(words of each text; letters, scores and language of each word, the texts' words in a row)."""
         split = [words_of(t) for t in texts]
-        ids: dict[str, int] = {}
-        flat = np.fromiter((ids.setdefault(w, len(ids)) for ws in split for w in ws), np.int64)
-        known = list(ids)
+        row = list(chain.from_iterable(split))
+        known = list(dict.fromkeys(row))
+        ids = dict(zip(known, range(len(known)), strict=True))
+        flat = np.fromiter(map(ids.__getitem__, row), np.int64, len(row))
         letters = letters_in(known)
         # runs of marks alone say nothing
         scores = np.where(letters[:, None] > 0, self.word_scores(known), np.float32(0)) if known else np.zeros((0, len(self.languages)), np.float32)
@@ -196,11 +205,44 @@ class LanguageModel:
 def best_sequence(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     """The best language of each row of scores, given that texts of these sizes follow each other there and a change costs penalty.
 
-    All texts go forward word by word at the same time, the longest first. Of equals the first language holds, and staying.
+    Texts for which no change can pay are settled at once. All others go forward word by word at the same time, the
+    longest first. Of equals the first language holds, and staying.
     """
     label = np.zeros(len(scores), np.int64)
     if not scores.size:
         return label
+    ends, left = np.cumsum(sizes), []
+    for k, (a, z) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+        one = single_language(scores[a:z], penalty)
+        if one is None:
+            left.append(k)
+        else:
+            label[a:z] = one
+    if left:
+        rows = np.concatenate([np.arange(ends[k] - sizes[k], ends[k]) for k in left])
+        label[rows] = viterbi(scores[rows], sizes[left], penalty)
+    return label
+
+
+def single_language(scores: np.ndarray, penalty: float) -> int | None:
+    """The language of all words of a text, if any way with a change is worse: no stretch gains as much in others as its changes cost."""
+    if not len(scores):
+        return 0
+    k = int(scores.sum(axis=0, dtype=np.float64).argmax())
+    if scores.shape[1] == 1:
+        return k
+    gain = scores - scores[:, k : k + 1]
+    gain[:, k] = -np.inf
+    run = np.cumsum(gain.max(axis=1), dtype=np.float64)
+    low = np.minimum.accumulate(np.append(0.0, run[:-1]))
+    # two changes around a stretch, one if it reaches an end, none if it is the whole text
+    settled = (run - low).max() < 2 * penalty and run.max() < penalty and run[-1] - low.min() < penalty and run[-1] < 0
+    return k if settled else None
+
+
+def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
+    """best_sequence, of texts of a word or more, by going through all of them."""
+    label = np.zeros(len(scores), np.int64)
     order = np.argsort(-sizes, kind="stable")
     start = (np.cumsum(sizes) - sizes)[order]
     open_ = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(int(sizes.max())), "right")  # texts longer than t
