@@ -76,6 +76,44 @@ def scan_sources(b):
     return out.unionByName(imports.select(F.lit("import").alias("kind"), F.col("src").alias("name"), F.col("dst").alias("value"))).unionByName(files.select(F.lit("file").alias("kind"), F.col("file").alias("name"), F.lit("").alias("value")))
 
 
+# folders of the modules' files, with links that lead back, aliases, and hidden ones
+FOLDERS = """
+pieces as (select module, string_split(file, '/') as seg from files),
+tree as (select distinct array_to_string(seg[1:k], '/') as folder, seg[k + 1] as name, array_to_string(seg[1:k + 1], '/') as target, k + 1 < len(seg) as is_dir from pieces, unnest(range(1, len(seg))) t(k)),
+dirs as (select distinct folder from tree),
+entries as materialized (select * from tree
+  union all select folder, 'a loop', 'proj/src', true from dirs where folder like 'proj/src/%'
+  union all select folder, 'b-alias', 'lib', true from dirs where folder like 'proj/src/s%'
+  union all select folder, 'c-alias', replace(folder, 'lib/', 'proj/src/'), true from dirs where folder like 'lib/%' and replace(folder, 'lib/', 'proj/src/') in (select folder from dirs)
+  union all select folder, '.hidden', 'secret', true from dirs
+  union all select distinct 'secret', 'S' || seg[3], '', false from pieces)"""
+
+
+def _folders(b):
+    seg, files = F.split("file", "/"), fixpoint.settled(b.files)
+    each = files.select(seg.alias("seg"), F.explode(F.sequence(F.lit(1), F.size(seg) - 1)).alias("k"))
+    path = lambda n: F.array_join(F.slice("seg", 1, n), "/")
+    tree = each.select(path(F.col("k")).alias("folder"), F.element_at("seg", F.col("k") + 1).alias("name"), path(F.col("k") + 1).alias("target"), (F.col("k") + 1 < F.size("seg")).alias("is_dir")).distinct()
+    dirs = tree.select("folder").distinct()
+    other = F.replace("folder", F.lit("lib/"), F.lit("proj/src/"))
+    link = lambda df, name, target: df.select("folder", F.lit(name).alias("name"), target.alias("target"), F.lit(True).alias("is_dir"))
+    twins = dirs.where("folder like 'lib/%'").withColumn("other", other).join(dirs.select(F.col("folder").alias("other")), "other", "left_semi")
+    out = tree.unionByName(link(dirs.where("folder like 'proj/src/%'"), "a loop", F.lit("proj/src"))).unionByName(link(dirs.where("folder like 'proj/src/s%'"), "b-alias", F.lit("lib")))
+    out = out.unionByName(link(twins, "c-alias", F.col("other"))).unionByName(link(dirs, ".hidden", F.lit("secret")))
+    return fixpoint.settled(out.unionByName(files.select(F.lit("secret").alias("folder"), F.concat(F.lit("S"), seg[2]).alias("name"), F.lit("").alias("target"), F.lit(False).alias("is_dir")).distinct()))
+
+
+@query(["files"], f"""{FOLDERS},
+walk as (select 0 as ord, 'proj' as folder, 'proj' as path, []::varchar[] as steps, ['proj'] as been union all select 1, 'lib', 'lib', [], ['lib'] union all select 2, 'gone', 'gone', [], ['gone']
+  union all select w.ord, e.target, w.path || '/' || e.name, list_append(w.steps, e.name), list_append(w.been, e.target) from walk w join entries e on e.folder = w.folder where e.is_dir and e.name not like '.%' and not list_contains(w.been, e.target)),
+best as (select folder, arg_min(path, struct_pack(o := ord, n := len(steps), s := steps)) as path, min(ord) as ord from walk group by folder)
+select best.ord::bigint as ord, best.path || '/' || e.name as file from best join entries e on e.folder = best.folder where not e.is_dir and e.name not like '.%'""", True)
+def scan_discovery(b):
+    """Source files below three roots, the last of which isn't there; links lead back, and from one root into the other."""
+    entries = _folders(b)
+    return scan.discovered(b.spark, [(r, r) for r in ("proj", "lib", "gone")], lambda folders: entries.join(folders.select("folder"), "folder", "left_semi")).select("ord", "file")
+
+
 # ---- filters and names
 
 

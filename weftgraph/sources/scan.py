@@ -4,44 +4,138 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weftgraph.functions.names import SOURCE_SUFFIXES, is_source, sanitised
 from weftgraph.functions.text import without_block_comments, without_line_comment
+from weftgraph.operators.fixpoint import settled, union_all
 
-
-#: Names that listings keep; other files below a root are never opened.
+#: Names that listings of stores keep; other files below a root are never opened.
 SOURCE_GLOB = "*{" + ",".join(SOURCE_SUFFIXES) + "}"
+#: Entries of a folder, and bytes of texts, that a task hands on at once.
+ENTRIES_AT_ONCE, BYTES_AT_ONCE = 10_000, 4 << 20
+FOUND = "ord int, file string, steps array<string>"
+
 
+def discovered(spark: SparkSession, roots: list[tuple[str, str]], entries_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(ord, file, steps) of the source files below roots (path, folder), in rounds over tables of folders.
 
-def _real(root: str) -> str:
-    """A local root without links in its path; others as they are."""
+    A folder is named by its canonical identity and visited once, whatever links lead to it: under the first root that
+    reaches it, and there as the path with the fewest steps spells it, of these the first by its names. Hidden names are
+    skipped. entries_of maps folders (folder, path) to what they hold: (folder, name, target, is_dir), target being the
+    canonical identity of a folder; a folder that is missing or can't be read gives no rows. steps are the names below the root.
+    """
+    seen, found = [], []
+    for k, (path, folder) in enumerate(roots):
+        new = spark.createDataFrame([(folder, path.rstrip("/") or "/", [])], "folder string, path string, steps array<string>")
+        if seen:
+            new = settled(new.join(union_all(seen), "folder", "left_anti"))
+        while not new.isEmpty():
+            seen.append(new.select("folder"))
+            held = entries_of(new.select("folder", "path")).where(~F.col("name").startswith(".")).join(new, "folder")
+            spelled = F.concat(F.when(F.col("path") == "/", "").otherwise(F.col("path")), F.lit("/"), "name")
+            held = settled(held.select("target", "is_dir", spelled.alias("path"), F.concat("steps", F.array("name")).alias("steps")))
+            found.append(held.where(~F.col("is_dir") & is_source(F.col("path"))).select(F.lit(k).alias("ord"), F.col("path").alias("file"), "steps"))
+            below = held.where("is_dir").groupBy(F.col("target").alias("folder")).agg(F.min(F.struct("steps", "path")).alias("best"))
+            new = settled(below.join(union_all(seen), "folder", "left_anti").select("folder", "best.path", "best.steps"))
+    return union_all(found) if found else spark.createDataFrame([], FOUND)
+
+
+def _local(root: str) -> str | None:
+    """The path of a root that is a folder of this machine or a mount, which may have links; None for stores."""
     plain = re.sub("^file:/+", "/", root)
-    return root.rstrip("/") if re.match("[a-z0-9]+:", plain) else os.path.realpath(plain)
+    return None if re.match("[a-z][a-z0-9+.-]*:", plain) else plain
+
+
+def local_entries(folders: DataFrame) -> DataFrame:
+    """entries_of for folders of mounted file systems, listed by the tasks."""
+
+    def listed(batches):
+        for batch in batches:
+            for folder, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    with os.scandir(path) as entries:
+                        yield from packed(folder, entries)
+                except OSError:
+                    continue
+
+    def packed(folder, entries):
+        rows = []
+        for e in entries:
+            try:
+                is_dir = e.is_dir()
+            except OSError:
+                is_dir = False
+            rows.append((folder, e.name, os.path.realpath(e.path) if is_dir else e.path, is_dir))
+            if len(rows) == at_once:
+                yield batch_of(rows)
+                rows = []
+        if rows:
+            yield batch_of(rows)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["folder", "name", "target", "is_dir"])
+
+    at_once = ENTRIES_AT_ONCE
+    return folders.mapInArrow(listed, "folder string, name string, target string, is_dir boolean")
+
+
+def local_texts(files: DataFrame) -> DataFrame:
+    """files with text, read by the tasks; null where a file can't be read, is gone or is not UTF-8. files has a column file."""
+    names = files.columns
+
+    def read(batches):
+        for batch in batches:
+            at, texts, held = 0, [], 0
+            for path in batch.column(names.index("file")).to_pylist():
+                try:
+                    with open(path, "rb") as f:
+                        data = f.read()
+                    text = data.decode()
+                except (OSError, UnicodeDecodeError):
+                    text = None
+                texts.append(text)
+                held += len(text or "")
+                if held >= at_once:
+                    yield joined(batch.slice(at, len(texts)), texts)
+                    at, texts, held = at + len(texts), [], 0
+            if texts:
+                yield joined(batch.slice(at, len(texts)), texts)
+
+    def joined(batch, texts):
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "text"])
+
+    at_once = BYTES_AT_ONCE
+    return files.mapInArrow(read, StructType([*files.schema.fields, StructField("text", StringType())]))
 
 
 def source_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(file, text, ord) of source files below the roots, which may not all exist: hidden names are skipped.
 
-    A file reached twice counts once, under the first root that has it and as that root spells it, also where
-    roots lie in each other or lead to the same folder by links.
+    Folders are visited once each, also where roots lie in each other or lead to the same folder by links (see discovered).
+    Roots in stores, which have no links, are listed by Spark's reader. Files that can't be read keep a row without text.
     """
-    out = spark.createDataFrame([], "file string, text string, ord int, real string")
+    mounted = [(k, path) for k, r in enumerate(roots) if (path := _local(r)) is not None and os.path.isdir(path)]
+    found = discovered(spark, [(path, os.path.realpath(path)) for _, path in mounted], local_entries)
+    place = F.element_at(F.array(*[F.lit(k) for k, _ in mounted] or [F.lit(0)]), F.col("ord") + 1)
+    out = local_texts(found.select("file", place.alias("ord"))).select("file", "text", "ord")
     for k, root in enumerate(roots):
+        if _local(root) is not None:
+            continue
         where = spark._jvm.org.apache.hadoop.fs.Path(root)
         if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
             continue
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SOURCE_GLOB).load(root)
-        plain = F.regexp_replace("path", "^file:/+", "/")
-        base = re.sub("^file:/+", "/", root).rstrip("/")
-        below = F.substring(F.col("file"), F.lit(len(base) + 1), F.length("file"))
-        own = found.select(plain.alias("file"), F.col("content").cast("string").alias("text"), F.lit(k).alias("ord"))
-        out = out.unionByName(own.where(is_source(F.col("file")) & ~below.rlike(r"/\.")).withColumn("real", F.concat(F.lit(_real(root)), below)))
-    first = F.row_number().over(W.partitionBy("real").orderBy("ord"))
-    return out.withColumn("n", first).where("n = 1").drop("n", "real")
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SOURCE_GLOB).load(root)
+        below = F.substring(F.col("path"), F.lit(len(root.rstrip("/")) + 1), F.length("path"))
+        out = out.unionByName(listed.where(is_source(F.col("path")) & ~below.rlike(r"/\.")).select(F.col("path").alias("file"), F.col("content").cast("string").alias("text"), F.lit(k).alias("ord")))
+    first = F.row_number().over(W.partitionBy("file").orderBy("ord"))  # roots of stores may lie in each other
+    return out.withColumn("n", first).where("n = 1").drop("n")
 
 
 def source_lines(files: DataFrame) -> DataFrame:
