@@ -5,15 +5,19 @@ Trees are rows (tree, node, parent, ord, tag, name): an application has its func
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.operators.fixpoint import closure, grow, settled
+from weftgraph.functions.names import prefixes
+from weftgraph.operators.fixpoint import closure, grow, settled, union_all
 from weftgraph.operators.indexes import indexed
+from weftgraph.operators.trees import by_size, folded
 
 # Limits of a capture, of a tree, and of the catalogue of equations.
-CLOSURE_DEPTH, AUXILIARIES, ROOT_NODES, EQUATIONS = 2, 512, 10_000, 2048
+CLOSURE_DEPTH, AUXILIARIES, ROOT_NODES, EQUATIONS, SUPPORTS, SUPPORT_NODES = 2, 512, 10_000, 2048, 64, 128
 NODE = ["tree", "node"]
 
 
@@ -27,6 +31,68 @@ def captured(edges: DataFrame, depth: int = CLOSURE_DEPTH, most: int = AUXILIARI
     return near.select("src", "dst", "d", F.when(i > most, "capped").otherwise("captured").alias("status"))
 
 
+@dataclass
+class Limits:
+    """How far a capture goes, and how much it takes."""
+
+    depth: int = CLOSURE_DEPTH
+    auxiliaries: int = AUXILIARIES
+    nodes: int = ROOT_NODES
+    equations: int = EQUATIONS
+    supports: int = SUPPORTS
+    support_nodes: int = SUPPORT_NODES
+
+
+def capture(definitions: DataFrame, references: DataFrame, roots: DataFrame, equations: DataFrame, excluded: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """(key, role, reason): what a bounded capture takes, and what it refuses and why. One row a key; reason is null for what is taken.
+
+    definitions (key, module, nodes of the signature, body_nodes of a body of one clause of variables, else null);
+    references (src, dst); roots, equations (key); excluded (prefix) of modules. First the roots, then in waves what taken
+    definitions refer to (auxiliaries, to limits.depth), then equations that are not taken yet (equation-signature), then the
+    small abstractions that those mention (support). A wave that has no room for all takes the first by key. What is refused
+    in one step may still be taken in a later one; else its last reason holds. Except for the roots and their references, all
+    that is taken has a fixed bound, which is all that is ever sorted to find the first.
+    """
+    at = limits or Limits()
+    prefixed = F.explode(F.concat(prefixes(F.split("module", r"\."), "."), F.array("module"))).alias("prefix")
+    barred = definitions.select("key", prefixed).join(excluded.select("prefix").distinct(), "prefix", "left_semi").select("key").distinct().withColumn("barred", F.lit(True))
+    known = settled(definitions.select("key", "nodes", "body_nodes").join(barred, "key", "left"))
+    refs = settled(references.select("src", "dst").distinct())
+    taken: list[DataFrame] = []
+    refused: list[DataFrame] = []
+
+    def judged(asked: DataFrame, role: str, limit: str, too_large: str, most: int | None) -> DataFrame:
+        """Of keys not taken yet: those that this step takes; the others' reasons are noted."""
+        new = asked.select("key").distinct()
+        if taken:
+            new = new.join(union_all(taken).select("key"), "key", "left_anti")
+        why = F.when(F.col("nodes").isNull(), "unavailable-definition").when(F.col("barred"), "excluded-module").when(F.col("nodes") > at.nodes, too_large)
+        new = settled(new.join(known, "key", "left").select("key", why.alias("reason")))
+        good = new.where("reason is null").select("key")
+        refused.append(new.where("reason is not null"))
+        if most is not None:
+            first = settled(good.orderBy("key").limit(most))
+            refused.append(good.join(first, "key", "left_anti").select("key", F.lit(limit).alias("reason")))
+            good = first
+        taken.append(settled(good.select("key", F.lit(role).alias("role"))))
+        return taken[-1]
+
+    def mentioned(by: DataFrame) -> DataFrame:
+        return refs.join(by.select(F.col("key").alias("src")), "src", "left_semi").select(F.col("dst").alias("key"))
+
+    now, room = judged(roots, "selected-root", "", "signature-node-limit", None), at.auxiliaries
+    for _ in range(at.depth):
+        now = judged(mentioned(now), "auxiliary", "auxiliary-limit", "signature-node-limit", room)
+        room -= now.count()  # of at most that many
+    refused.append(mentioned(now).join(union_all(taken).select("key"), "key", "left_anti").select("key", F.lit("closure-depth").alias("reason")).distinct())
+    proofs = judged(equations, "equation-signature", "equation-signature-limit", "equation-signature-node-limit", at.equations)
+    small = known.where(F.col("body_nodes") <= at.support_nodes).select("key").join(equations.select("key"), "key", "left_anti")
+    judged(mentioned(proofs).join(small, "key", "left_semi"), "support", "support-limit", "signature-node-limit", max(0, at.supports - (at.auxiliaries - room)))
+    held = union_all(taken)
+    last = union_all([r.withColumn("step", F.lit(k)) for k, r in enumerate(refused)]).join(held.select("key"), "key", "left_anti").groupBy("key").agg(F.max_by("reason", "step").alias("reason"))
+    return held.select("key", "role", F.lit(None).cast("string").alias("reason")).unionByName(last.select("key", F.lit("omitted").alias("role"), "reason"))
+
+
 def references_closed(references: DataFrame, roots: DataFrame) -> DataFrame:
     """(key) of the selected roots (key) and all that references (src, dst) lead to from any of them."""
     start = roots.select("key").distinct()
@@ -75,8 +141,29 @@ def retained_annotations(annotations: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def equation_signatures(nodes: DataFrame, equality: str) -> DataFrame:
-    """(tree) of types that end in the equality: past types and the codomains of functions, then down the heads of applications."""
-    at = settled(nodes.select("tree", "node", "parent", "ord", "tag", "name"))
+    """(tree) of types that end in the equality: past types and the codomains of functions, then down the heads of applications. A tree is gone through in one task, a large one by rounds of joins."""
+    small, large = by_size(nodes.select("tree", "node", "parent", "ord", "tag", "name"))
+
+    def ends(node, parent, ord_, tag, name):
+        below = {(p, o): k for k, (p, o) in enumerate(zip(parent, ord_, strict=True))}
+        out = [False] * len(node)
+        for k, p in enumerate(parent):
+            if p is not None:
+                continue
+            applied = False
+            while k is not None and tag[k] in ("type", "pi", "app") and not (applied and tag[k] != "app"):
+                applied = applied or tag[k] == "app"
+                k = below.get((node[k], 1 if tag[k] == "pi" else 0))
+            if k is not None and tag[k] == "def":
+                out[k] = name[k] == equality
+        return (out,)
+
+    found = folded(small, ["node", "parent", "ord", "tag", "name"], ends, "ends boolean").where("ends").select("tree")
+    return (found if large is None else found.unionByName(_equations_by_rounds(large, equality))).distinct()
+
+
+def _equations_by_rounds(nodes: DataFrame, equality: str) -> DataFrame:
+    at = settled(nodes)
     child = at.select("tree", F.col("node").alias("next"), F.col("parent").alias("node"), F.col("ord").alias("k"), F.col("tag").alias("next_tag"))
     start = at.where("parent is null").select("tree", "node", "tag", F.lit(False).alias("applied"))
     outer = ~F.col("applied") & ((F.col("tag") == "type") & (F.col("k") == 0) | (F.col("tag") == "pi") & (F.col("k") == 1))

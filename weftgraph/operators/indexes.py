@@ -14,23 +14,16 @@ from weftgraph.schema import PROV_CODES, code
 def indexed(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     """df with the place of each row in a total order, from 0.
 
-    Rows are dealt into ranges and numbered within; a range begins after the rows of those before,
-    so no task sorts the whole table.
+    Rows are sorted in ranges; a range's places begin after the rows of those before, so no task sorts
+    the whole table. What is sent to all tasks is a row for each range.
     """
-    dealt = _with_range(df, order)
-    within = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    dealt = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__q", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("__part", F.shiftrightunsigned("__q", 33))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__part", before.alias("__before"))  # one row per range
-    return dealt.withColumn("__i", within).join(F.broadcast(starts), "__part").withColumn(out, F.col("__before") + F.col("__i") - 1).drop("__part", "__i", "__before")
-
-
-def _with_range(df: DataFrame, order: list[str]) -> DataFrame:
-    """Ranges between 256 keys, the one with the smallest hash of each of as many classes of keys: a fair sample that reruns give again."""
-    k = F.struct(*order)
-    picked = df.select(k.alias("k"), F.xxhash64(k).alias("h")).groupBy(F.pmod("h", F.lit(256)).alias("b")).agg(F.min_by("k", "h").alias("k"))
-    cuts = picked.agg(F.sort_array(F.collect_list("k")).alias("cuts"))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("cuts", lambda c: c <= F.struct(*order)))).drop("cuts")
+    starts = sizes.select("__part", before.alias("__before"))
+    within = F.col("__q").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(starts), "__part").withColumn(out, F.col("__before") + within).drop("__part", "__q", "__before")
 
 
 def csr_offsets(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions import names, text
-from weftgraph.operators import argusage, edges, evidence, filters, fixpoint, indexes, layout, representations, rollups, terms
+from weftgraph.operators import argusage, edges, evidence, filters, fixpoint, indexes, layout, representations, rollups, terms, trees
 from weftgraph.sources import scan
 from weftgraph.sources.bindings import CTES, Bindings, duck
 
@@ -709,11 +709,11 @@ def term_references(b):
     return terms.references(b.terms, b.terms.where("name = '1-URGENT'"))
 
 
-SIGS = "sigs as (select tree, node, parent, case when parent is null then 0 when parent = 0 then ord - 1 else ord end as ord, case when parent is not null then tag when name like '1-%' then 'pi' when name like '2-%' then 'type' else 'app' end as tag, name from terms)"
+SIGS = "sigs as materialized (select tree, node, parent, case when parent is null then 0 when parent = 0 then ord - 1 else ord end as ord, case when parent is not null then tag when name like '1-%' then 'pi' when name like '2-%' then 'type' else 'app' end as tag, name from terms)"
 
 
 def _sigs(b):
-    return fixpoint.settled(b.sql(["terms"], f"{SIGS} select * from sigs"))
+    return fixpoint.settled(b.sql(["terms"], f"{SIGS.replace('materialized ', '')} select * from sigs"))
 
 
 @query(["terms"], f"""{SIGS}
@@ -742,14 +742,165 @@ def retained_annotations(b):
 
 
 @query(["terms"], """
-own as (select tree, rank() over (order by case when name like '5-%' then 0 else 1 end) as place from terms where parent is null and name not like '1-%'),
-ix as (select t.tree, t.node, t.parent, row_number() over (order by own.place, t.tree, t.node) - 1 as id from terms t join own on own.tree = t.tree)
+own as materialized (select tree, rank() over (order by case when name like '5-%' then 0 else 1 end) as place from terms where parent is null and name not like '1-%'),
+ix as materialized (select t.tree, t.node, t.parent, row_number() over (order by own.place, t.tree, t.node) - 1 as id from terms t join own on own.tree = t.tree)
 select a.id, a.tree, a.node, b.id as parent_id from ix a left join ix b on a.tree = b.tree and a.parent = b.node""")
 def reindexed_terms(b):
     roots = b.terms.where("parent is null and name not like '1-%'")
     return evidence.reindexed(fixpoint.settled(b.terms), roots.select("tree", F.when(F.col("name").like("5-%"), 0).otherwise(1).alias("place")))
 
 
+# places in the trees of the bindings, whose three levels are known
+PLACES = """
+pl as materialized (select *, case when node = 0 then 0 when node < 100 then node else node // 100 end as line, case when node = 0 then 0 when node < 100 then 1 else 2 end as lv from terms),
+pre as materialized (select *, row_number() over (partition by tree order by line, lv, ord) as pre, row_number() over (partition by tree order by case when node = 0 then 1 else 0 end, line, case when lv = 1 then 9 else ord end) as post,
+  case lv when 0 then count(*) over (partition by tree) when 1 then count(*) over (partition by tree, line) else 1 end as size from pl)"""
+
+
+@query(["terms"], f"{PLACES} select tree, node, pre, post, size, (lv + 1)::bigint as level from pre")
+def preorder_numbers(b):
+    return trees.numbered(b.terms.select("tree", "node", "parent", "ord")).select("tree", "node", "pre", "post", "size", "level")
+
+
+@query(["terms"], f"{PLACES} select tree, node, pre, post, size, (lv + 1)::bigint as level from pre where tree % 10 = 0")
+def euler_tour_numbers(b):
+    """The numbers that large trees get, of a tenth of the trees: all steps of all tours double their pointers together."""
+    return trees.toured(b.terms.where("tree % 10 = 0").select("tree", "node", "parent", "ord")).select("tree", "node", "pre", "post", "size", "level")
+
+
+BUDGET = 11
+
+
+@query(["terms"], f"""{PLACES}
+select c.tree, c.node, case when c.pre > {BUDGET} then 'unsupported' else c.tag end as tag, case when c.pre > {BUDGET} then 'capture-node-limit' else c.name end as name
+from pre c left join pre p on p.tree = c.tree and p.node = c.parent where c.pre <= {BUDGET} or p.pre <= {BUDGET}""")
+def limited_terms(b):
+    """The first eleven nodes of each tree, and a leaf for each subtree that is cut off."""
+    return trees.limited(trees.numbered(b.terms), BUDGET).select("tree", "node", "tag", "name")
+
+
+DAG = """
+l2 as materialized (select *, tag || '|' || name as body from pre where lv = 2),
+k1 as (select tree, parent as node, string_agg(body, ';' order by ord) as below from l2 group by tree, parent),
+l1 as materialized (select p.*, p.tag || '|' || p.name || '(' || coalesce(below, '') || ')' as body from pre p left join k1 on k1.tree = p.tree and k1.node = p.node where lv = 1),
+k0 as (select tree, string_agg(body, ',' order by ord) as below from l1 group by tree),
+l0 as (select p.*, p.tag || '|' || p.name || '[' || coalesce(below, '') || ']' as body from pre p left join k0 on k0.tree = p.tree where lv = 0),
+allb as materialized (select tree, node, parent, ord, post, tag, name, body from l2 union all select tree, node, parent, ord, post, tag, name, body from l1 union all select tree, node, parent, ord, post, tag, name, body from l0),
+firsts as (select body, min(({place}) * 1000000000000 + tree * 1000 + post) as first, any_value(tag) as tag, any_value(name) as name, count(*) as uses, arg_min(tree * 1000 + node, tree * 1000 + node) as one from allb group by body),
+ids as materialized (select *, row_number() over (order by first) - 1 as id from firsts),
+kids as (select p.id, string_agg(i.id::varchar, ',' order by c.ord) as children from ids p join allb c on c.tree = p.one // 1000 and c.parent = p.one % 1000 join ids i on i.body = c.body group by p.id)
+select ids.id, tag, name, coalesce(children, '') as children, uses from ids left join kids on kids.id = ids.id"""
+
+
+def _shared_rows(shared):
+    return shared.select("id", "tag", "name", F.array_join("children", ",").alias("children"), "uses")
+
+
+@query(["terms"], f"{PLACES}, {DAG.format(place='0')}")
+def shared_term_dag(b):
+    """Every distinct subtree once, with the ids of its children, numbered by first appearance in post-order."""
+    return _shared_rows(terms.interned(b.terms)[0])
+
+
+PICKED = "pre as materialized (select p.*, case when r.name like '5-%' then 0 else 1 end as place from all_pre p join terms r on r.tree = p.tree and r.parent is null and r.name not like '1-%')"
+
+
+@query(["terms"], f"{PLACES.replace('pre as mat', 'all_pre as mat')}, {PICKED}, {DAG.replace('post, tag, name, body from', 'post, tag, name, body, place from').format(place='place')}")
+def reindexed_dag(b):
+    """What the trees of selected owners share, numbered anew in the owners' order."""
+    roots = b.terms.where("parent is null and name not like '1-%'")
+    return _shared_rows(terms.interned(b.terms, roots.select("tree", F.when(F.col("name").like("5-%"), 0).otherwise(1).alias("place")))[0])
+
+
+WAYS = """
+kid as (select *, row_number() over (partition by tree, parent order by ord, node) - 1 as k from terms),
+way as (select c.tree, c.tag, c.name, case when c.parent is null then '' when c.parent = 0 then c.k::varchar else p.k || '/' || c.k end as path from kid c left join kid p on p.tree = c.tree and p.node = c.parent)"""
+
+
+@query(["terms"], f"{WAYS} select tree, path, tag, name from way")
+def decoded_terms(b):
+    """Trees made of the shared nodes again."""
+    return terms.decoded(*terms.interned(b.terms)).select("tree", F.array_join("path", "/").alias("path"), "tag", "name")
+
+
+@query(["terms"], f"{WAYS} select tree, path, tag, name from way where tree % 4 = 0")
+def nested_terms(b):
+    """Trees as nested values, and read again."""
+    values = fixpoint.settled(terms.nested(b.terms.where("tree % 4 = 0")))
+    return terms.unnested(values).select("tree", F.array_join("path", "/").alias("path"), "tag", "name")
+
+
+# order trees as syntax: an application of the order to its lines, which are definitions, projections, or odd in some way
+SYNTAX = """
+syn as (select tree, node, parent, ord, case when node = 0 then 'def' when node < 100 then case when node = 5 then 'iapply' when node = 6 then 'proj' else 'apply' end when node % 100 = 0 and (tree + parent) % 3 = 0 then 'lam' when node % 100 = 0 then 'con' else 'none' end as kind,
+  name as text, node < 100 and not (node = 3 and tree % 7 = 0) or node >= 100 and name not like '%3' as plain, name like '%2' as binds from terms)"""
+
+
+@query(["terms"], f"""{SYNTAX},
+e as materialized (select tree, node as i, kind, plain, text, kind = 'iapply' or kind = 'apply' and not plain as bad, row_number() over (partition by tree order by ord, node) as nth, count(*) over (partition by tree) as k from syn where parent = 0),
+b as materialized (select tree, coalesce(max(case when bad then nth end), 0) as last, arg_max(kind, nth) filter (bad) as why, max(k) as k from e group by tree),
+heads as (select s.tree, concat('0.', coalesce(b.last, 0)) as node, case when coalesce(b.last, 0) < coalesce(b.k, 0) then concat('0.', coalesce(b.last, 0) + 1) end as parent, 0 as ord, case when why is null then 'def' else 'unsupported' end as tag, case why when 'iapply' then 'cubical-application' when 'apply' then 'application-modality' else text end as name from syn s left join b on b.tree = s.tree where s.node = 0),
+steps as (select e.tree, concat('0.', nth) as node, case when nth < e.k then concat('0.', nth + 1) end as parent, 0 as ord, case kind when 'apply' then 'app' else 'proj' end as tag, case kind when 'apply' then '' else text end as name from e join b on b.tree = e.tree where nth > last),
+args as (select s.tree, concat(s.node, '.0') as node, concat('0.', e.nth) as parent, 1 as ord, case when s.kind = 'lam' and not s.plain then 'unsupported' else s.kind end as tag, case when s.kind = 'lam' and not s.plain then 'lambda-modality' else s.text end as name, s.kind = 'lam' and s.plain and s.binds as binds
+  from syn s join e on e.tree = s.tree and e.i = s.parent join b on b.tree = e.tree where s.node >= 100 and s.node % 100 = 0 and e.kind = 'apply' and nth > last)
+select tree, node, parent, ord::bigint as ord, tag, name, false as binds from heads union all select tree, node, parent, ord, tag, name, false from steps union all select * from args""")
+def encoded_terms(b):
+    """Syntax as trees: eliminations nest to the left, and what has no encoding is a leaf that says why."""
+    raw = b.sql(["terms"], f"{SYNTAX} select * from syn").where("kind <> 'none' and not (node >= 100 and parent in (5, 6))")
+    raw = raw.withColumn("info", F.array(F.when(F.col("binds"), "hidden").otherwise("visible")))
+    return terms.encoded(raw).drop("info")
+
+
+# every part copies the next one in its brand, a chain of any length; some suppliers copy each other in a circle
+COPIES = """
+cp as (select concat(p_brand, '/', p_partkey) as copy, lead(concat(p_brand, '/', p_partkey)) over (partition by p_brand order by p_partkey) as target from {part}
+  union all select concat('s', s_suppkey), concat('s', case when s_suppkey % 10 = 0 then s_suppkey - 9 else s_suppkey + 1 end) from {supplier})"""
+
+
+@query([], f"""{COPIES},
+walk as (select copy, target, 1 as n from cp where target is not null union all select w.copy, c.target, n + 1 from walk w join cp c on c.copy = w.target where n < 64 and c.target is not null)
+select copy, arg_max(target, n) as original from walk group by copy""", True)
+def copy_chains(b):
+    """What definitions that copy each other stand for, after 64 replacements at most."""
+    return terms.copies_removed(b.sql([], f"{COPIES} select copy, target from cp where target is not null"))
+
+
+CAPTURED = """
+cd as materialized (select key, module, case kind when 'constructor' then arity when 'datatype' then line % 60 else 5 end as nodes, case when kind = 'postulate' then line * 10 end as body_nodes from defs where not (kind = 'record' and line % 4 = 1)),
+cr as materialized (select key from cd where module = 'order.1-URGENT.F' or (module like 'part.Brand1%' or nodes > 45) and key like '%5'),
+cq as materialized (select key from cd where module like 'customer.%' and key like '%3')"""
+LIMITS = evidence.Limits(depth=1, auxiliaries=40, nodes=45, equations=12, supports=42)
+
+
+def _step(k: int, asked: str, most: int | None, limit: str, large: str) -> str:
+    """A step of the capture: judged keys j, taken ones t, refused ones f."""
+    before = " union all ".join(f"select key from t{i}" for i in range(k)) or "select null as key where false"
+    room = f" and place <= {most}" if most is not None else ""
+    return f"""
+j{k} as materialized (select a.key, case when d.key is null then 'unavailable-definition' when d.module = 'part.Brand11' or d.module like 'part.Brand11.%' then 'excluded-module' when d.nodes > 45 then '{large}' end as reason from (select distinct key from ({asked}) where key not in ({before})) a left join cd d on d.key = a.key),
+o{k} as materialized (select key, row_number() over (order by key) as place from j{k} where reason is null),
+t{k} as materialized (select key from o{k} where true{room}),
+f{k} as materialized (select key, reason, {2 * k} as step from j{k} where reason is not null union all select key, '{limit}', {2 * k + 1} from o{k} where key not in (select key from t{k}))"""
+
+
+def _mentioned(k: int) -> str:
+    return f"select dst as key from refs where src in (select key from t{k})"
+
+
+@query(["defs", "refs"], f"""{CAPTURED}, {_step(0, 'select key from cr', None, '', 'signature-node-limit')}, {_step(1, _mentioned(0), 40, 'auxiliary-limit', 'signature-node-limit')},
+{_step(2, 'select key from cq', 12, 'equation-signature-limit', 'equation-signature-node-limit')},
+{_step(3, f"select key from ({_mentioned(2)}) where key in (select key from cd where body_nodes <= 128) and key not in (select key from cq)", 2, 'support-limit', 'signature-node-limit')},
+deep as (select distinct key, 'closure-depth' as reason, 3.5 as step from ({_mentioned(1)}) where key not in (select key from t0 union all select key from t1)),
+ref as (select * from f0 union all select * from f1 union all select * from deep union all select * from f2 union all select * from f3),
+tk as (select key, 'selected-root' as role from t0 union all select key, 'auxiliary' from t1 union all select key, 'equation-signature' from t2 union all select key, 'support' from t3)
+select key, role, null::varchar as reason from tk union all select key, 'omitted', arg_max(reason, step) from ref where key not in (select key from tk) group by key""")
+def bounded_capture(b):
+    """What a capture with small limits takes, and each refusal with its reason."""
+    d = fixpoint.settled(b.sql(["defs"], f"{CAPTURED.replace('materialized ', '')} select * from cd"))
+    roots = d.where("module = 'order.1-URGENT.F' or (module like 'part.Brand1%' or nodes > 45) and key like '%5'").select("key")
+    return evidence.capture(d, b.refs, roots, d.where("module like 'customer.%' and key like '%3'").select("key"), b.spark.createDataFrame([("part.Brand11",)], "prefix string"), LIMITS)
+
+
 REACHED = "sel as (select key from defs where module like 'supplier.n1%'), walk as (select key from sel union select r.dst from walk join refs r on r.src = walk.key), av as (select key from defs where not ignorable), om as (select w.key, case when d.kind = 'record' then 'auxiliary-limit' else 'unavailable-reference' end as reason from walk w left join defs d on d.key = w.key where w.key not in (select key from av))"
 
 
