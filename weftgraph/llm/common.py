@@ -98,7 +98,19 @@ def schema_of(df: DataFrame, columns: list[str], more: str = "") -> str:
     return ", ".join([*(f"`{c}` {kind_of(df, c)}" for c in columns), *([more] if more else [])])
 
 
+#: What releases what a worker keeps between tasks, by the module that keeps it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, release: Callable[[], None]) -> None:
+    """Note that this worker keeps something of a module's (a vocabulary, encoded words) until a task of another one comes."""
+    _kept[module] = release
+
+
 def _tidy(batches: Iterator, run: Callable) -> Iterator:
+    own = getattr(run, "func", run).__module__
+    for module in [m for m in _kept if m != own]:
+        _kept.pop(module)()
     try:
         yield from run(batches)
     finally:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import chunks, kind_of, mapped, schema_of, table
+from weftgraph.llm.common import chunks, keeps, kind_of, mapped, schema_of, table
 from weftgraph.llm.piece_lattice import MARK, PieceModel, PrefixStates, WordCache, marked_words
 
 MODEL = "piece_bpe_32k.model"
@@ -28,6 +28,7 @@ def default_model() -> str:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordCache:
+    keeps(__name__, encoder.cache_clear)
     model = PieceModel.load(path)
     units: dict[int, bytes] = {}
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm.common import chunks, kind_of, mapped, table
+from weftgraph.llm.common import chunks, keeps, kind_of, mapped, table
 from weftgraph.llm.op1_sentencepiece import default_model
 from weftgraph.llm.piece_lattice import MARK, PieceModel, PrefixStates, WordCache, marked_words
 
@@ -31,6 +31,7 @@ def _prefix_counts(states: PrefixStates) -> tuple[int, str, bytes]:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> WordCache:
+    keeps(__name__, counter.cache_clear)
     model = PieceModel.load(path)
     return WordCache(model, _prefix_counts, lambda v: len(v[2]) + 90)
 
