@@ -54,3 +54,18 @@ def test_empty_table(spark, docs_with_odd_rows, tmp_path):
     path = f"file://{tmp_path}/none"
     files.write_tokens(docs_with_odd_rows.limit(0), path)
     assert files.read_index(spark, path).collect() == []
+
+
+def test_ids_by_place(spark, docs_with_odd_rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PLACES", 1000)
+    path = f"file://{tmp_path}/tokens"
+    files.write_tokens(docs_with_odd_rows.repartition(3), path)
+    rows = spark.read.parquet(path).orderBy("part", "first").collect()
+    every = np.concatenate([files.Codes(r.codes).slice(0, r.ends[-1]) for r in rows]).tolist()
+    r = random.Random(3)
+    asked = [0, len(every) - 1, len(every), -1, *(r.randrange(len(every)) for _ in range(300))]
+    got = files.token_at(spark, path, spark.createDataFrame([(p,) for p in asked + asked[:5]], "position long")).collect()
+    assert sorted((x.position, x.id) for x in got) == sorted((p, every[p]) for p in set(asked) if 0 <= p < len(every))
+    spans = [(0, len(every)), (5, 5), (7, 3), (len(every) - 2, len(every) + 9), (-3, 4), *((a := r.randrange(len(every)), a + r.randrange(4000)) for _ in range(20))]
+    got = files.tokens_between(spark, path, spark.createDataFrame(spans, "start long, end long")).collect()
+    assert {(x.start, x.end): x.ids for x in got} == {(max(a, 0), z): every[max(a, 0) : max(z, 0)] if z > a else [] for a, z in spans}

@@ -1,4 +1,4 @@
-"""Command line: python -m weftgraph [options] SOURCE_ROOT...; also doctor FILE, --version, --emit-schema, --show-defaults.
+"""Command line: python -m weftgraph [options] PATH...; a PATH is a folder of sources, or the entry file in one; also doctor FILE, --version, --emit-schema, --show-defaults.
 
 Without elaborated facts the input is source text: modules and imports of the roots, as a graph.
 """
@@ -11,7 +11,7 @@ import sys
 from pathlib import Path
 
 from weftgraph import __version__
-from weftgraph.config import Options, apply_config, compatible, doctor, find_config, parse_arguments, show_defaults
+from weftgraph.config import Options, apply_config, compatible, doctor, find_config, parse_arguments, show_defaults, without_effect
 
 
 def main(argv: list[str]) -> int:
@@ -49,6 +49,7 @@ def main(argv: list[str]) -> int:
         seed = apply_config(yaml.safe_load(path.read_text()), seed)
     options, roots = parse_arguments(argv, seed)
     errors, notices = compatible(options)
+    errors += without_effect(options)
     for n in [*notices, *errors]:
         print(f"weftgraph: {n}", file=sys.stderr)
     if errors:
@@ -57,26 +58,39 @@ def main(argv: list[str]) -> int:
     return 0
 
 
-def scan(options: Options, roots: list[str]) -> None:
+def scan(options: Options, paths: list[str]) -> None:
+    """Scan the paths and write the document; with incremental, files that haven't changed aren't scanned, and a document that hasn't isn't written."""
     from pyspark.sql import SparkSession
 
-    from weftgraph.plans.scanned import scanned_graph
+    from weftgraph.plans.scanned import entry_and_roots, scanned_graph
     from weftgraph.sinks import documents
 
     spark = SparkSession.builder.appName("weftgraph").getOrCreate()
-    graph = scanned_graph(spark, roots, options.exclude, options.no_externals)
+    entry, roots = entry_and_roots(paths)
+    cache = None
+    if options.incremental:
+        cache = os.path.abspath(options.cache_dir or f"{options.out_dir or '.'}/.weftgraph")
+    graph = scanned_graph(spark, roots, options.exclude, options.no_externals, entry, f"file://{cache}/scan" if cache else None)
     if options.format == "dot":
         text: str | dict = documents.module_dot(graph)
     else:
         text = documents.expanded(graph) if options.json_mode == "expanded" else documents.packed_document(graph, options.packed_analytical)
     if options.out_dir is None:
         print(text if isinstance(text, str) else json.dumps(text))
-    elif options.format == "json" and options.lazy_tree():
+        return
+    slot = "deps.dot" if options.format == "dot" else "graph.json" if options.lazy_tree() else "deps.json"
+    kept = documents.KeptEpochs(cache, options.gzip) if cache else None
+    if kept and kept.same(slot, text, f"{options.out_dir}/{slot}"):
+        print(f"weftgraph: {slot} is as it was", file=sys.stderr)
+        return
+    if slot == "graph.json":
         documents.write_lazy(graph, options.out_dir, options.gzip)
-    elif options.format == "json":
+    elif slot == "deps.json":
         documents.write_json(text, f"{options.out_dir}/deps.json")
     else:
         documents.replace_file(f"{options.out_dir}/deps.dot", text.encode())
+    if kept:
+        kept.note(slot, text)
 
 
 if __name__ == "__main__":

@@ -152,7 +152,7 @@ NEEDS = [
     Need("signature-implicits", (("with-signatures", True),)),
     Need("with-term-hashes", (JSON, CHECKED), (EXPANDED, ("packed-analytical", True))),
     Need("min-term-depth", (("with-term-hashes", True),)),
-    Need("incremental", (("keep-going", False), CHECKED)),
+    Need("incremental", (("keep-going", False),)),
     Need("cache-dir", (("incremental", True),)),
     Need("keep-going", (CHECKED,)),
     Need("lenient-imports", (CHECKED,)),
@@ -273,6 +273,16 @@ def compatible(o: Options) -> tuple[list[str], list[str]]:
     return errors, notices
 
 
+#: What needs facts of a type checker, which the command line, reading source text alone, doesn't have.
+ELABORATED = ("with-terms", "with-type-terms", "with-signatures", "normalise-signatures", "signature-implicits", "with-term-hashes", "term-scope", "keep-going", "lenient-imports", "resolve-deps")
+
+
+def without_effect(o: Options) -> list[str]:
+    """Errors about options that a scan of source text would ignore."""
+    asked = [k for k in ELABORATED if getattr(o, k.replace("-", "_"))]
+    return [f"--{k} needs elaborated facts; a scan of source text has none" for k in asked]
+
+
 def find_config(cwd: Path, flag: str | None = None, env: str | None = None) -> tuple[Path | None, str]:
     """The config file and where it was named: a flag before the environment, the current folder, the nearest one above with a library file."""
     for name, origin in ((flag, "flag"), (env, "environment")):

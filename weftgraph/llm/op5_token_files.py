@@ -31,6 +31,8 @@ FILE = "word_bpe_49k.json"
 END_ID = 2
 MAGIC = b"DAC1"
 BLOCK = 64
+#: Places of ids in a block that segments and asked places meet in.
+PLACES = 1 << 20
 
 
 def segment(kind: str) -> str:
@@ -128,11 +130,11 @@ def _segments(batches, path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, file: str | None = None, end_id: int = END_ID) -> None:
     """Write the ids of docs (doc_id, text) in ascending doc_id order; null ids come first, null texts count as empty.
 
-    Ids are numbers or strings; other columns aren't written. Rows of one doc_id are in the order of their texts' hashes, then texts, so reruns agree.
+    Ids are numbers or strings; other columns aren't written. Columns are not compressed, so that an id can be read without unpacking its neighbours. Rows of one doc_id are in the order of their texts' hashes, then texts, so reruns agree.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     dealt = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    mapped(dealt, partial(_segments, path=file or default_file(), end_id=end_id), segment(kind_of(docs, "doc_id"))).write.option("compression", "zstd").parquet(path)
+    mapped(dealt, partial(_segments, path=file or default_file(), end_id=end_id), segment(kind_of(docs, "doc_id"))).write.option("compression", "uncompressed").parquet(path)
 
 
 def _read_batches(batches):
@@ -163,6 +165,56 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return mapped(placed, _read_batches, f"doc_id {placed.schema['doc_ids'].dataType.elementType.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
+def _located(spark: SparkSession, path: str, asked: DataFrame, start: str, end: str) -> DataFrame:
+    """asked, once for each segment that holds ids from start to end (exclusive), with part, first and the place (at) of the segment's first id.
+
+    Both sides meet on blocks of places, of which a segment or a row of asked has as many as it is long; codes are not read for it.
+    """
+    placed = placed_segments(spark, path).select("part", "first", (F.col("before") + F.col("first")).alias("at"), F.element_at("ends", -1).alias("n")).where("n > 0")
+    blocks = lambda a, z: F.explode(F.sequence(F.floor(a / PLACES), F.floor((z - 1) / PLACES))).alias("block")
+    held = placed.select("*", blocks(F.col("at"), F.col("at") + F.col("n")))
+    wanted = asked.where(F.col(end) > F.col(start)).select("*", blocks(F.col(start), F.col(end)))
+    return wanted.join(held, "block").where((F.col(start) < F.col("at") + F.col("n")) & (F.col("at") < F.col(end))).drop("block", "n").distinct()
+
+
+def _picked(batches):
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            codes = Codes(row["codes"])
+            out += [(p, codes[p - row["at"]]) for p in row["positions"]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["position", "id"])
+
+
+def token_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """(position, id) of the ids at places (position) of the files, counted over all of them from 0; each place once, and none beyond the last id.
+
+    Segments that hold no asked place are not read, and of those read just the asked ids are looked up.
+    """
+    asked = positions.select(F.col("position").cast("long").alias("position"), (F.col("position") + 1).cast("long").alias("end")).where("position >= 0").distinct()
+    by = _located(spark, path, asked, "position", "end").groupBy("part", "first", "at").agg(F.collect_list("position").alias("positions"))
+    return mapped(spark.read.parquet(path).select("part", "first", "codes").join(by, ["part", "first"]).select("at", "positions", "codes"), _picked, "position long, id long")
+
+
+def _sliced(batches):
+    for batch in batches:
+        rows = batch.to_pylist()
+        got = []
+        for row in rows:
+            codes = Codes(row["codes"])
+            got.append(codes.slice(max(0, row["start"] - row["at"]), min(codes.size, row["end"] - row["at"])).astype(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("start", "end", "at")), pa.array(got, pa.list_(pa.int64()))], names=["start", "end", "at", "ids"])
+
+
+def tokens_between(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
+    """(start, end, ids) of ranges (start, end) of places, end exclusive; places beyond the last id are left out, and an empty or repeated range counts once."""
+    asked = ranges.select(F.greatest(F.col("start").cast("long"), F.lit(0)).alias("start"), F.col("end").cast("long").alias("end")).distinct()
+    there = _located(spark, path, asked, "start", "end")
+    parts = mapped(spark.read.parquet(path).select("part", "first", "codes").join(there, ["part", "first"]).select("start", "end", "at", "codes"), _sliced, "start long, end long, at long, ids array<long>")
+    whole = parts.groupBy("start", "end").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda s: s["ids"])).alias("ids"))
+    return asked.join(whole, ["start", "end"], "left").select("start", "end", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/weftgraph/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path)

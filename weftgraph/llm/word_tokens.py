@@ -9,15 +9,18 @@ encodes it directly. Every other word goes to the library's whole encoder as it
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
+from weftgraph.llm.common import keeps
 
 CACHE_WORDS = 500_000
 CACHE_PARTS = 400_000
 PLAIN = re.compile(r"[\x21-\x26\x28-\x3b\x3d-\x7eÀ-ÖØ-öø-ÿ]+")
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: White space besides spaces and line feeds, which words are not cut at.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 def byte_letters() -> list[str]:
@@ -34,34 +37,22 @@ class WordTokens:
         self.model = self.library.model
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self)
 
-    def _part(self, part: str) -> bytes:
-        if LETTERS.fullmatch(part):
-            if not part.isascii():
-                part = "".join([self.letters[b] for b in part.encode()])
-            ids = [t.id for t in self.model.tokenize(part)]
-        else:
-            ids = self.library.encode(part, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         if not PLAIN.fullmatch(word):
-            return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out, known = [], self.parts
-        for part in PARTS.findall(word.lower()):
-            ids = known.get(part)
-            if ids is None:
-                ids = self._part(part)
-                if len(known) >= CACHE_PARTS:
-                    known.clear()
-                known[part] = ids
-            out.append(ids)
-        return b"".join(out)
+            return self._ids(word)
+        parts = PARTS.findall(word.lower())
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        return b"".join(map(self.parts.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.split() if t.isascii() and t.isprintable() else re.split("[ \n]", t) for t in texts]
+        words = [re.split("[ \n]", t) if OTHER_SPACE.search(t) else t.split() for t in texts]
         needed = set().union(*words)
         known = self.words
         new = needed.difference(known)
@@ -73,6 +64,23 @@ class WordTokens:
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
+class _Parts(dict):
+    """Ids of parts of words, found when first asked for."""
+
+    def __init__(self, tokens: WordTokens):
+        self.tokens = tokens
+
+    def __missing__(self, part: str) -> bytes:
+        if LETTERS.fullmatch(part):
+            plain = part if part.isascii() else "".join([self.tokens.letters[b] for b in part.encode()])
+            ids = array("I", [t.id for t in self.tokens.model.tokenize(plain)]).tobytes()
+        else:
+            ids = self.tokens._ids(part)
+        self[part] = ids
+        return ids
+
+
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
+    keeps(__name__, word_tokens.cache_clear)
     return WordTokens(path)

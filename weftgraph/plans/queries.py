@@ -1172,3 +1172,16 @@ def failed_sources(b):
         return pages.select(F.concat(F.lit("page"), "page_id").alias("module"), reason.alias("reason"))
 
     return scan.keep_going(b.table("pages"), parse)[1]
+
+
+@query(["defs"], """
+e as (select module as slot, key, ('0x' || substr(md5(concat(key, state)), 1, 15))::bigint as epoch from defs),
+l as (select slot, list_prepend(1469598103934665603::hugeint, list(epoch::hugeint order by key)) as l from e group by slot)
+select slot, (list_reduce(l, lambda a, x: (a * 1099511628211::hugeint + x) % 18446744073709551616::hugeint))::varchar as epoch from l""")
+def output_epochs(b):
+    """One epoch of each module, of those of its definitions in order."""
+    from weftgraph.sinks.manifest import combined_epochs
+
+    digest = F.conv(F.substring(F.md5(F.concat("key", "state")), 1, 15), 16, 10)
+    rows = b.defs.select(F.col("module").alias("slot"), "key", digest.cast("decimal(20,0)").alias("epoch"))
+    return combined_epochs(rows, ["key"]).select("slot", F.col("epoch").cast("string").alias("epoch"))

@@ -28,9 +28,13 @@ def epoch(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
 
 
+# The fold's start and factor.
+START, FACTOR = 1469598103934665603, 1099511628211
+
+
 def combined(epochs: list[int]) -> int:
     """One number for a list, depending on its order: a multiply and an add for each, modulo 2**64."""
-    acc = 1469598103934665603  # fixed values of the fold
+    acc = START
     for e in epochs:
-        acc = (acc * 1099511628211 + e) % (1 << 64)
+        acc = (acc * FACTOR + e) % (1 << 64)
     return acc
