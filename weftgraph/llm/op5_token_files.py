@@ -156,7 +156,7 @@ def placed_segments(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum(F.element_at("ends", -1)).alias("n"))
     before = totals.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return files.join(before, "part")
+    return files.join(F.broadcast(before), "part")  # a row for each task that wrote
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

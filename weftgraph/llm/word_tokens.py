@@ -3,7 +3,8 @@
 White space always separates this file's tokens, so a text's ids are those of its words in turn. A
 word of ASCII and Latin-1 letters is lower-cased and cut where the file's own pattern cuts (runs
 of letters, single digits, the rest); a run of letters is one unit to the library's model, which
-encodes it directly. Every other word goes to the library's whole encoder as it is.
+encodes it directly. A text of just such words is cut in one go. Every other word goes to the
+library's whole encoder as it is.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from weftgraph.llm.common import keeps
 CACHE_WORDS = 500_000
 CACHE_PARTS = 400_000
 PLAIN = re.compile(r"[\x21-\x26\x28-\x3b\x3d-\x7eÀ-ÖØ-öø-ÿ]+")
-PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \n]+")
+#: What texts don't have whose words are all plain.
+NOT_PLAIN = re.compile(r"[^\n\x20-\x26\x28-\x3b\x3d-\x7eÀ-ÖØ-öø-ÿ]")
 LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 #: White space besides spaces and line feeds, which words are not cut at.
 OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -42,26 +45,26 @@ class WordTokens:
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word):
-            return self._ids(word)
-        parts = PARTS.findall(word.lower())
+    def _plain(self, text: str) -> bytes:
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        return b"".join(map(self.parts.__getitem__, parts))
+        return b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
+
+    def _word(self, word: str) -> bytes:
+        return self._plain(word) if PLAIN.fullmatch(word) else self._ids(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [re.split("[ \n]", t) if OTHER_SPACE.search(t) else t.split() for t in texts]
-        needed = set().union(*words)
-        known = self.words
-        new = needed.difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
+        return [self._by_words(t) if NOT_PLAIN.search(t) else self._plain(t) for t in texts]
+
+    def _by_words(self, text: str) -> bytes:
+        words, known = re.split("[ \n]", text) if OTHER_SPACE.search(text) else text.split(), self.words
+        if len(known) + len(words) > CACHE_WORDS:
             known.clear()
-            new = needed
-        for w in new:
-            known[w] = self._word(w)
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in words:
+            if w not in known:
+                known[w] = self._word(w)
+        return b"".join(map(known.__getitem__, words))
 
 
 class _Parts(dict):
