@@ -36,6 +36,19 @@ def grown(after: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
     return after.join(before.select(*keys).distinct(), keys, "left_anti")
 
 
+def list_ends(lists: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what growing lists (key, pos, value) have gained, in their own places; the new marks (key, length)), places from 0.
+
+    A mark says how far a list was read; only its later places are, so repeated values and their order stay, and a list
+    that hasn't grown gives nothing. A list shorter than its mark was begun anew, and is read as a whole.
+    """
+    lengths = lists.groupBy("key").agg((F.max("pos") + 1).cast("long").alias("length"))
+    from_ = lengths.join(marks.groupBy("key").agg(F.max("length").alias("mark")), "key", "left").select("key", "length", F.when(F.col("length") < F.col("mark"), 0).otherwise(F.coalesce("mark", F.lit(0))).cast("long").alias("mark"))
+    new = lists.join(from_.where("length > mark").select("key", "mark"), "key").where(F.col("pos") >= F.col("mark")).select("key", "pos", "value")
+    kept = marks.join(lengths.select("key"), "key", "left_anti").select("key", F.col("length").cast("long").alias("length"))
+    return new, from_.select("key", "length").unionByName(kept)
+
+
 def stale_fragments(manifest: DataFrame, live: DataFrame) -> DataFrame:
     """Modules with a fragment but no source any more."""
     return manifest.join(live.select("module"), "module", "left_anti").select("module")

@@ -71,6 +71,37 @@ def search_postings(names: DataFrame, most: int | None = None) -> DataFrame:
     return grams.groupBy("bigram").agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
 
+def posting_blocks(modules: DataFrame, definitions: DataFrame, block: int = 1 << 12, most: int | None = None) -> DataFrame:
+    """(bigram, block, n, first, deltas) over modules and definitions (id, name), lower-cased; empty above most names, where no index is built.
+
+    Modules keep their ids and definitions' follow them. Ids of a bigram are cut by ranges of block ids, so a bigram that
+    every name has is many rows; a row has the first id and the steps from each to the next.
+    """
+    after = F.coalesce(F.max("id") + 1, F.lit(0)).cast("long").alias("after")
+    shift = modules.agg(after)  # one row
+    names = modules.select(F.col("id").cast("long").alias("id"), "name").unionByName(definitions.crossJoin(F.broadcast(shift)).select((F.col("id") + F.col("after")).alias("id"), "name"))
+    if most is not None and names.limit(most + 1).count() > most:
+        names = names.limit(0)
+    grams = names.select("id", F.floor(F.col("id") / block).alias("block"), F.explode(bigrams(F.lower("name"))).alias("bigram"))
+    rows = grams.groupBy("bigram", "block").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    steps = F.zip_with(F.slice("ids", 2, F.size("ids")), F.slice("ids", 1, F.size("ids") - 1), lambda b, a: (b - a).cast("int"))
+    return rows.select("bigram", "block", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first"), steps.alias("deltas"))
+
+
+def found_names(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(text, id) of the names that have all bigrams of each asked text (of two characters or more): candidates, to be compared with the text itself.
+
+    A text's bigrams meet within blocks; a block that lacks one of them is not opened.
+    """
+    wanted = asked.select("text").distinct().select("text", bigrams(F.lower("text")).alias("grams"))
+    rows = wanted.select("text", F.size("grams").alias("k"), F.explode("grams").alias("bigram")).join(blocks, "bigram")
+    whole = rows.groupBy("text", "block").agg(F.count("*").alias("here"), F.max("k").alias("k")).where("here = k").select("text", "block")
+    start = F.struct(F.col("first").alias("last"), F.array("first").alias("ids"))
+    running = F.aggregate("deltas", start, lambda a, d: F.struct((a["last"] + d).alias("last"), F.array_append(a["ids"], a["last"] + d).alias("ids")), lambda a: a["ids"])
+    ids = rows.join(whole, ["text", "block"], "left_semi").select("text", "k", F.explode(running).alias("id"))
+    return ids.groupBy("text", "id").agg(F.count("*").alias("here"), F.max("k").alias("k")).where("here = k").select("text", "id")
+
+
 def nearest_keys(asked: DataFrame, known: DataFrame) -> DataFrame:
     """For each asked (name) the known key at the smallest edit distance within its budget, of equals the first.
 

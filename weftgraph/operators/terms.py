@@ -54,7 +54,7 @@ def interned(nodes: DataFrame, owners: DataFrame | None = None) -> tuple[DataFra
     """
     at = _whole(nodes).select("tree", "node", "parent", "ord", "tag", "name", "info", "binds")
     at = numbered(at if owners is None else at.join(owners.select("tree").distinct(), "tree", "left_semi"))
-    made = contents(at, F.to_json(F.struct("tag", "name", "info", "binds")))
+    made = contents(at, F.to_json(F.struct("tag", "name", "info", "binds")), by_node=True)
     if owners is None:
         made = made.withColumn("place", F.lit(0))
     else:

@@ -154,10 +154,11 @@ def limited(numbered: DataFrame, budget: int) -> DataFrame:
     return out.withColumn("info", F.when(cut, F.array().cast("array<string>")).otherwise(F.col("info"))) if "info" in numbered.columns else out
 
 
-def contents(nodes: DataFrame, own: Column, most: int | None = None) -> DataFrame:
-    """nodes with hash (of own and of the children's hashes, by ord and then hash), depth (1 for leaves) and kids, these hashes."""
+def contents(nodes: DataFrame, own: Column, most: int | None = None, by_node: bool = False) -> DataFrame:
+    """nodes with hash (of own and of the children's hashes, by ord and then hash, or then node), depth (1 for leaves) and kids, these hashes."""
     at = nodes.withColumn("own", own)
     small, large = by_size(at, most)
+    by_name = by_node
 
     def fold(node, parent, ord_, text):
         from hashlib import md5
@@ -174,13 +175,13 @@ def contents(nodes: DataFrame, own: Column, most: int | None = None) -> DataFram
         done = 0
         while ready:
             k = ready.pop()
-            kids[k] = [h for _, h in sorted(below[k])]
+            kids[k] = [h for _, _, h in sorted(below[k])]
             hashes[k] = md5(f"{text[k]}({','.join(kids[k])})".encode()).hexdigest()
             depth[k] += 1
             done += 1
             if parent[k] is not None:
                 p = at[parent[k]]
-                below[p].append((ord_[k], hashes[k]))
+                below[p].append((ord_[k], node[k] if by_name else hashes[k], hashes[k]))
                 depth[p] = max(depth[p], depth[k])
                 waiting[p] -= 1
                 if not waiting[p]:
@@ -190,14 +191,16 @@ def contents(nodes: DataFrame, own: Column, most: int | None = None) -> DataFram
         return hashes, depth, kids
 
     out = folded(small, ["node", "parent", "ord", "own"], fold, "hash string, depth int, kids array<string>")
-    return (out if large is None else out.unionByName(_contents_by_level(large))).drop("own")
+    return (out if large is None else out.unionByName(_contents_by_level(large, by_node))).drop("own")
 
 
-def _contents_by_level(nodes: DataFrame) -> DataFrame:
+def _contents_by_level(nodes: DataFrame, by_node: bool) -> DataFrame:
     """contents of large trees, from the leaves up: a round for each level that the deepest has."""
     up = nodes.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("left"))
     rest = settled(nodes.join(up, ["tree", "node"], "left").withColumn("left", F.coalesce("left", F.lit(0).cast("long"))))
-    none = F.array().cast(f"array<struct<ord:{rest.schema['ord'].dataType.simpleString()},hash:string>>")
+    tie = "node" if by_node else "hash"
+    kinds = {c: rest.schema[c].dataType.simpleString() for c in ("ord", "node")} | {"hash": "string"}
+    none = F.array().cast(f"array<struct<ord:{kinds['ord']},tie:{kinds[tie]},hash:string>>")
     rest = rest.withColumns({"got": none, "below": F.lit(0)})
     done = []
     while True:
@@ -207,8 +210,8 @@ def _contents_by_level(nodes: DataFrame) -> DataFrame:
         if made.isEmpty():
             break
         done.append(made.select(*nodes.columns, "hash", "depth", "kids"))
-        sent = made.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("n"), F.collect_list(F.struct("ord", "hash")).alias("more"), F.max("depth").alias("d"))
-        open_ = rest.where("left > 0").join(sent, ["tree", "node"], "left")
+        sent = made.where("parent is not null").groupBy("tree", F.col("parent").alias("up")).agg(F.count("*").alias("n"), F.collect_list(F.struct("ord", F.col(tie).alias("tie"), "hash")).alias("more"), F.max("depth").alias("d"))
+        open_ = rest.where("left > 0").join(sent.withColumnRenamed("up", "node"), ["tree", "node"], "left")
         rest = settled(open_.select(*nodes.columns, (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.when(F.col("more").isNull(), F.col("got")).otherwise(F.concat("got", "more")).alias("got"), F.greatest("below", F.coalesce("d", F.lit(0))).alias("below")))
     if not rest.isEmpty():
         raise ValueError("a parent pointer leads back to its own node")

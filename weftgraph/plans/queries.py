@@ -651,6 +651,19 @@ def side_channel_growth(b):
     return grown(b.applied.select("src", "dst").distinct(), b.applied.where("applied > 10"), ["src", "dst"])
 
 
+# an order's lines, in order, as a list of brands; it had two or fewer of them before
+GROWING = "ls as (select l_orderkey as key, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) - 1 as pos, p_brand as value from {lineitem} join {part} on l_partkey = p_partkey), mk as (select o_orderkey as key, case when o_orderkey % 3 = 0 then 2 when o_orderkey % 3 = 1 then 0 when o_orderkey % 5 = 0 then 100 else 1 end as length from {orders} where o_orderkey % 7 <> 0)"
+
+
+@query([], f"""{GROWING}, le as (select key, max(pos) + 1 as length from ls group by key)
+select ls.key, pos, value from ls join le on le.key = ls.key left join mk on mk.key = ls.key where pos >= case when le.length < mk.length then 0 else coalesce(mk.length, 0) end""")
+def list_growth(b):
+    """What lists have gained since they were read, repeated values too; lists that were begun anew are read whole."""
+    from weftgraph.operators.incremental import list_ends
+
+    return list_ends(b.sql([], f"{GROWING} select * from ls"), b.sql([], f"{GROWING} select * from mk"))[0]
+
+
 @query(["refs"], """
 m as (select distinct src as key, 'unsolved#meta.' || dst as what from refs where in_signature), o as (select distinct src as key, dst as what from refs where in_body and (src, dst) not in (select (src, dst) from refs where dst like 'part.%5'))
 select key, count(*)::bigint as silent from (select * from m union all select * from o) group by key""")
@@ -762,10 +775,10 @@ def preorder_numbers(b):
     return trees.numbered(b.terms.select("tree", "node", "parent", "ord")).select("tree", "node", "pre", "post", "size", "level")
 
 
-@query(["terms"], f"{PLACES} select tree, node, pre, post, size, (lv + 1)::bigint as level from pre where tree % 10 = 0")
+@query(["terms"], f"{PLACES} select tree, node, pre, post, size, (lv + 1)::bigint as level from pre")
 def euler_tour_numbers(b):
-    """The numbers that large trees get, of a tenth of the trees: all steps of all tours double their pointers together."""
-    return trees.toured(b.terms.where("tree % 10 = 0").select("tree", "node", "parent", "ord")).select("tree", "node", "pre", "post", "size", "level")
+    """The numbers as large trees get them: all steps of all tours double their pointers together."""
+    return trees.toured(b.terms.select("tree", "node", "parent", "ord")).select("tree", "node", "pre", "post", "size", "level")
 
 
 BUDGET = 11
@@ -823,10 +836,10 @@ def decoded_terms(b):
     return terms.decoded(*terms.interned(b.terms)).select("tree", F.array_join("path", "/").alias("path"), "tag", "name")
 
 
-@query(["terms"], f"{WAYS} select tree, path, tag, name from way where tree % 4 = 0")
+@query(["terms"], f"{WAYS} select tree, path, tag, name from way")
 def nested_terms(b):
     """Trees as nested values, and read again."""
-    values = fixpoint.settled(terms.nested(b.terms.where("tree % 4 = 0")))
+    values = fixpoint.settled(terms.nested(b.terms))
     return terms.unnested(values).select("tree", F.array_join("path", "/").alias("path"), "tag", "name")
 
 
@@ -1043,6 +1056,38 @@ def search_bigrams(b):
     return indexes.search_postings(ids).select("bigram", F.array_join("ids", ",").alias("ids"))
 
 
+NAMES_OF_ALL = """
+am as (select module as name, row_number() over (order by module) - 1 as id from mods),
+ad as (select key as name, row_number() over (order by key) - 1 + (select count(*) from am) as id from defs),
+al as materialized (select * from am union all select * from ad),
+ag as materialized (select distinct id, id // 4096 as block, substr(lower(name), k::int, 2) as bigram from al, unnest(range(1, length(name))) t(k)),
+st as (select *, id - lag(id) over (partition by bigram, block order by id) as step from ag),
+pb as materialized (select bigram, block, count(*) as n, min(id) as first, coalesce(string_agg(step::varchar, ',' order by id) filter (step is not null), '') as deltas from st group by bigram, block)"""
+
+
+def _blocks(b):
+    name = lambda df, c: indexes.indexed(df.select(F.col(c).alias("name")), ["name"], "id")
+    return indexes.posting_blocks(name(b.mods, "module"), name(b.defs, "key"))
+
+
+@query(["mods", "defs"], f"{NAMES_OF_ALL} select * from pb")
+def search_blocks(b):
+    """Postings of modules, then definitions: many rows for a bigram that is in many names."""
+    return _blocks(b).withColumn("deltas", F.array_join("deltas", ","))
+
+
+@query(["mods", "defs"], f"""{NAMES_OF_ALL},
+ask as (select distinct substr(lower(c_name), 1, 6) || right(c_name, 2) as text from customer union select 'r1.n' union select 'segment' union select 'brand11.' union select 'zz'),
+aw as (select distinct text, substr(text, k::int, 2) as bigram from ask, unnest(range(1, length(text))) t(k)),
+ak as (select text, count(*) as k from aw group by text)
+select aw.text, ag.id from aw join ag on ag.bigram = aw.bigram join ak on ak.text = aw.text group by aw.text, ag.id, ak.k having count(*) = ak.k""")
+def search_lookup(b):
+    """Names with all bigrams of each text that is looked for."""
+    c = b.table("customer").select(F.concat(F.substring(F.lower("c_name"), 1, 6), F.right("c_name", F.lit(2))).alias("text"))
+    asked = c.unionByName(b.spark.createDataFrame([("r1.n",), ("segment",), ("brand11.",), ("zz",)], "text string"))
+    return indexes.found_names(_blocks(b), asked)
+
+
 @query(["defs"], """
 k as (select distinct c_mktsegment as key from customer), a as (select distinct substr(c_mktsegment, 1, 4) || 'x' || substr(c_mktsegment, 5) as name from customer union select distinct o_orderpriority from orders),
 n as (select name, key, levenshtein(name, key) as d from a, k where levenshtein(name, key) <= greatest(1, least(4, length(name) // 3)))
@@ -1185,3 +1230,15 @@ def output_epochs(b):
     digest = F.conv(F.substring(F.md5(F.concat("key", "state")), 1, 15), 16, 10)
     rows = b.defs.select(F.col("module").alias("slot"), "key", digest.cast("decimal(20,0)").alias("epoch"))
     return combined_epochs(rows, ["key"]).select("slot", F.col("epoch").cast("string").alias("epoch"))
+
+
+@query(["terms"], f"""{WAYS}
+select tree as name, case when path = '' then '' else '/children/' || replace(path, '/', '/children/') end || '/name' as path, '"' || name || '"' as golden, '"' || name || '!"' as now from way where name in ('A', 'CANADA')""")
+def golden_differences(b):
+    """Documents of trees against those that were made before two names changed."""
+    from weftgraph.sinks.golden import differences
+
+    some = fixpoint.settled(b.terms)
+    later = some.withColumn("name", F.when(F.col("name").isin("A", "CANADA"), F.concat("name", F.lit("!"))).otherwise(F.col("name")))
+    documents = lambda df: terms.nested(df).withColumnRenamed("tree", "name")
+    return differences(documents(later), documents(some))
