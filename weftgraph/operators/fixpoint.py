@@ -82,16 +82,80 @@ def longest_ranks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         rest_e = settled(rest_e.join(peeled.select(F.col("node").alias("src")), "src", "left_anti"))
 
 
+def _core(edges: DataFrame) -> DataFrame:
+    """Edges without those that end where nothing goes on or begin where nothing leads to, again and again: what is left has all circles, and is empty if there is none."""
+    core, n = edges, edges.count()
+    while n:
+        core = settled(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        before, n = n, core.count()
+        if n == before:
+            break
+    return core
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of nodes on circles of edges (src, dst): the least node that it leads to and that leads to it. Other nodes are components of their own and give no row.
+
+    What lies on no circle is peeled off. Then the least node goes forward as far as edges lead, as a colour, and back within
+    its colour; that is the component of each node that kept its own name. The rest is done again without these.
+    """
+    core, found = _core(settled(edges.where("src != dst").select("src", "dst").distinct())), []
+    while not core.isEmpty():
+        colour = settled(core.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")))
+        moved = colour
+        while not moved.isEmpty():
+            sent = core.join(moved.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("least"))
+            met = settled(colour.join(sent, "node", "left").select("node", F.least("c", "least").alias("c"), (F.col("least") < F.col("c")).alias("moved")))
+            colour, moved = met.select("node", "c"), met.where("moved").select("node", "c")
+        at = lambda end: colour.select(F.col("node").alias(end), F.col("c").alias(f"c_{end}"))
+        back = settled(core.join(at("src"), "src").join(at("dst"), "dst").where("c_src = c_dst").select(F.col("dst").alias("node"), F.col("src").alias("before")))
+        start = colour.where("node = c").select("node", F.col("c").alias("component"))
+        own = settled(grow(start, lambda new, back=back: new.join(back, "node").select(F.col("before").alias("node"), "component"), ["node"]))
+        found.append(own)
+        gone = own.select("node")
+        left = core.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        core = _core(settled(left))
+    if not found:
+        return edges.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    every = union_all(found)
+    # a node that only kept its name because its circle was peeled apart is no component of several
+    several = every.groupBy("component").count().where("count > 1").select("component")
+    return every.join(several, "component", "left_semi").select("node", "component")
+
+
 def transitive_edges(edges: DataFrame, most_nodes: int | None = None) -> DataFrame:
     """Edges (src, dst) that another successor of src also leads to, even if only by way of src.
 
-    With most_nodes, none are computed for graphs of more nodes (an empty result then means that).
+    With most_nodes, none are computed for graphs of more nodes (an empty result then means that). Within a component, and
+    to others from a node with a successor in its own, counts of successors decide. For the rest each node's search goes
+    out from all its successors at once, over components, which have no circles; where it comes to one of them, it did so
+    from another. So no pairs of successors are made, and a hub's search is spread by the nodes it has come to.
     """
     e = settled(edges.select("src", "dst").distinct())
     if most_nodes is not None and e.select(F.explode(F.array("src", "dst"))).distinct().limit(most_nodes + 1).count() > most_nodes:
         return e.limit(0)
-    # only a node with another successor beside it has to be followed
-    several = e.groupBy("src").count().where("count > 1").select("src")
-    other = settled(e.join(several, "src", "left_semi").select("src", F.col("dst").alias("via")))
-    reach = closure(e, other.select(F.col("via").alias("src")))
-    return e.join(other, "src").where("via != dst").join(reach.select(F.col("src").alias("via"), "dst"), ["via", "dst"], "left_semi").select("src", "dst").distinct()
+    parts = settled(strong_components(e))
+    if parts.isEmpty():
+        own = e.select("src", "dst", F.col("src").alias("a"), F.col("dst").alias("b"))
+    else:
+        at = lambda end, name: parts.select(F.col("node").alias(end), F.col("component").alias(name))
+        own = settled(e.join(at("src", "a"), "src", "left").join(at("dst", "b"), "dst", "left").select("src", "dst", F.coalesce("a", "src").alias("a"), F.coalesce("b", "dst").alias("b")))
+    inside = own.where("a = b").groupBy("src").agg(F.count("*").alias("n_own"))
+    toward = settled(own.where("a != b").groupBy("src", "b").agg(F.count("*").alias("n_same")))
+    several = toward.groupBy("src").count().where("count > 1").select("src")
+    hops = settled(own.where("a != b").select(F.col("a").alias("b"), F.col("b").alias("next")).distinct())
+    goals = toward.select("src", "b")
+    new, found, hits = settled(goals.join(several, "src", "left_semi")), [], []
+    while not new.isEmpty():
+        found.append(new)
+        gone = settled(new.join(hops, "b").select("src", F.col("next").alias("b")).distinct())
+        hits.append(gone.join(goals, ["src", "b"], "left_semi"))
+        new = settled(gone.join(union_all(found), ["src", "b"], "left_anti"))
+    judged = own.join(inside, "src", "left").join(toward, ["src", "b"], "left")
+    if hits:
+        judged = judged.join(union_all(hits).distinct().withColumn("hit", F.lit(True)), ["src", "b"], "left")
+    else:
+        judged = judged.withColumn("hit", F.lit(False))
+    n_own = F.coalesce("n_own", F.lit(0))
+    implied = F.when(F.col("a") == F.col("b"), n_own > 1).otherwise((n_own > 0) | (F.col("n_same") > 1) | F.coalesce("hit", F.lit(False)))
+    return judged.where(implied).select("src", "dst")

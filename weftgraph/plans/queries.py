@@ -379,6 +379,29 @@ def ranks_with_cycles(b):
     return fixpoint.longest_ranks(e.unionByName(back), b.mods.select(F.col("module").alias("node"))).select(F.col("node").alias("module"), "rank")
 
 
+CIRCLES = """
+e as materialized (select src, dst from medges union select dst, src from medges where src like 'supplier.n1%' and dst like 'nation.%' union select 'region', 'region'),
+clo as (select distinct src, dst from e union select clo.src, e.dst from clo join e on e.src = clo.dst)"""
+
+
+def _circled(b):
+    e = fixpoint.settled(b.medges)
+    back = e.where(F.col("src").like("supplier.n1%") & F.col("dst").like("nation.%")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return fixpoint.settled(e.unionByName(back).unionByName(b.spark.createDataFrame([("region", "region")], "src string, dst string")))
+
+
+@query(["medges"], f"""{CIRCLES}
+select a.src as node, min(a.dst) as component from clo a join clo z on z.src = a.dst and z.dst = a.src where a.src <> a.dst or exists (select 1 from clo o join clo p on p.src = o.dst and p.dst = o.src where o.src = a.src and o.dst <> a.src) group by a.src""", True)
+def strong_components(b):
+    """Modules on circles, some edges leading back, with the least module of their circle."""
+    return fixpoint.strong_components(_circled(b))
+
+
+@query(["medges"], f"{CIRCLES} " + TRANS.format(e="e"), True)
+def transitive_edges_with_circles(b):
+    return fixpoint.transitive_edges(_circled(b))
+
+
 @query(["mods", "medges"], f"""{RANKS},
 p as (select node, rank, row_number() over (partition by rank order by node) - 1 as i, count(*) over (partition by rank) as k, dense_rank() over (order by rank) - 1 as lv from rk)
 select node as module, (-(k * 200 + (k - 1) * 30) / 2.0 + i * 230)::double as x, (lv * 132)::double as y, 200::double as w, 52::double as h from p""", True)
