@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.names import under
 from weftgraph.operators import edges as E
 from weftgraph.operators import filters, fixpoint, indexes, layout, rollups
+from weftgraph.plans.phases import Phases
 from weftgraph.schema import TRANSITIVE_NODES
 
 
@@ -76,10 +78,22 @@ def with_details(nodes: DataFrame, facts: Facts) -> DataFrame:
     return nodes
 
 
-def assemble(facts: Facts, root: str, no_externals: bool = False) -> Graph:
+def assemble(facts: Facts, root: str, no_externals: bool = False, phases: Phases | None = None) -> Graph:
     """Excluded targets go first, then contraction, provider edges, access and partial application; externals are
-    classified and summed up before they are dropped; one filter then serves every module-level table."""
+    classified and summed up before they are dropped; one filter then serves every module-level table.
+
+    What is computed here, and not when the graph is written, is told by phase if phases are given."""
     spark = facts.definitions.sparkSession
+    phases = phases or Phases(spark)
+    with phases.phase("assemble"):
+        with phases.phase("definitions"):
+            numbered, e, external, summary = _definitions(facts, root, no_externals, phases)
+        with phases.phase("modules"):
+            return _graph(facts, root, no_externals, numbered, e, external, summary, phases)
+
+
+def _definitions(facts: Facts, root: str, no_externals: bool, phases: Phases) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(definitions with their ids, edges, external modules, what is said of these)."""
     defs = filters.excluded(facts.definitions, facts.excludes)
     raw = filters.references_to_kept(facts.edges, facts.definitions, facts.excludes)
     ignored = facts.definitions.where("ignorable").select("key")
@@ -89,8 +103,6 @@ def assemble(facts: Facts, root: str, no_externals: bool = False) -> Graph:
     private = rollups.in_spans(points, facts.private_ranges, closed=True).select("key", F.lit("private").alias("a"))
     partial = E.partially_applied(facts.applications, kept)
     kept = kept.join(private.distinct(), "key", "left").withColumn("access", F.when(F.col("a").isNotNull(), "private").when(F.col("file").isNotNull(), "public").otherwise("unknown")).drop("a").join(partial, "key", "left")
-    from weftgraph.functions.names import under
-
     signals = facts.module_files.select("module", under(F.col("file"), F.lit(root)).alias("in_root")).unionByName(kept.where("file is not null").select("module", under(F.col("file"), F.lit(root)).alias("in_root"))).unionByName(facts.imports.select(F.explode(F.array("src", "dst")).alias("module"), F.lit(False).alias("in_root")))
     external = fixpoint.settled(filters.external_modules(signals))
     summary = rollups.externals_summary(kept, external)
@@ -98,14 +110,18 @@ def assemble(facts: Facts, root: str, no_externals: bool = False) -> Graph:
         kept, e = filters.without_externals(kept, e, external)
     known = kept.select("key")
     e = e.join(known.select(F.col("key").alias("src")), "src", "left_semi").join(known.select(F.col("key").alias("dst")), "dst", "left_semi")
-    numbered = fixpoint.settled(with_details(indexes.indexed(kept, ["key"]), facts))
-    e = fixpoint.settled(e.select("src", "dst", "prov"))
+    numbered = fixpoint.settled(phases.counted("definitions", with_details(indexes.indexed(kept, ["key"]), facts)))
+    return numbered, fixpoint.settled(phases.counted("edges", e.select("src", "dst", "prov"))), external, summary
+
+
+def _graph(facts: Facts, root: str, no_externals: bool, numbered: DataFrame, e: DataFrame, external: DataFrame, summary: DataFrame, phases: Phases) -> Graph:
+    spark = numbered.sparkSession
     wanted = lambda df: filters.keep(df, facts.excludes, external, no_externals)
     ends = wanted(E.module_nodes(numbered, facts.imports, facts.entry, facts.failed, external, facts.module_files))
-    modules = fixpoint.settled(indexes.indexed(ends, ["module"]))
+    modules = fixpoint.settled(phases.counted("modules", indexes.indexed(ends, ["module"])))
     names = modules.select("module")
     inside = lambda df: df.join(names.select(F.col("module").alias("src")), "src", "left_semi").join(names.select(F.col("module").alias("dst")), "dst", "left_semi")
-    m_edges = fixpoint.settled(inside(E.module_edges(e, numbered, facts.imports)))
+    m_edges = fixpoint.settled(phases.counted("module_edges", inside(E.module_edges(e, numbered, facts.imports))))
     nodes = names.select(F.col("module").alias("node"))
     hosts = lambda c: names.select(F.col("module").alias(c))
     shared = facts.reexports if facts.reexports is not None else spark.createDataFrame([], "host string, source string, name string, alias string")
@@ -115,14 +131,20 @@ def assemble(facts: Facts, root: str, no_externals: bool = False) -> Graph:
     unsolved = facts.unsolved if facts.unsolved is not None else spark.createDataFrame([], "module string, meta_lines array<long>, constraint_lines array<long>")
     entry = facts.entry.join(names, "module", "left_semi")
     failed = facts.failed.join(names, "module", "left_semi")
+    with phases.phase("implied edges"):
+        implied = fixpoint.transitive_edges(m_edges)
+    with phases.phase("depths"):
+        depths = fixpoint.bfs_depth(m_edges, nodes, entry.select(F.col("module").alias("node")))
+    with phases.phase("ranks"):
+        pods = layout.pod_layout(fixpoint.longest_ranks(m_edges, nodes))
     return Graph(
         definitions=numbered,
         edges=e,
         modules=modules,
         module_edges=m_edges,
-        transitive_edges=fixpoint.transitive_edges(m_edges),
-        depths=fixpoint.bfs_depth(m_edges, nodes, entry.select(F.col("module").alias("node"))),
-        layout=layout.pod_layout(fixpoint.longest_ranks(m_edges, nodes)),
+        transitive_edges=implied,
+        depths=depths,
+        layout=pods,
         positions=layout.grid_layout(numbered.select("key", "module", F.col("idx").alias("ord"))),
         states=rollups.state_counts(numbered, names, failed),
         module_files=facts.module_files.join(names, "module", "left_semi"),
