@@ -66,10 +66,6 @@ def detail_file(module: Column) -> Column:
     return F.when(module.rlike(r"^[A-Za-z0-9._\-]+$") & ~module.startswith("."), F.concat(module, F.lit(".json"))).otherwise(F.concat(F.md5(module), F.lit(".json")))
 
 
-def one_line(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
 def hex_colour(value: Column) -> Column:
     """(r, g, b) of #rrggbb, else null."""
     good = value.rlike("^#[0-9A-Fa-f]{6}$")

@@ -1,4 +1,4 @@
-"""Positions of modules and definitions, by window arithmetic."""
+"""Positions of modules and definitions, by window arithmetic or by forces."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators.fixpoint import settled
 from weftgraph.operators.indexes import indexed
 
 # Sizes of pods and grids.
@@ -35,3 +36,35 @@ def grid_layout(nodes: DataFrame) -> DataFrame:
     x = F.col("tx") + F.col("i") % side * CELL - half
     y = F.col("ty") + F.floor(F.col("i") / side) * CELL - half
     return own.select("key", x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def force_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 12, side: int = 16, length: float = 40.0) -> DataFrame:
+    """(key, x, y) of nodes (key, x, y) moved by forces for some rounds: edges (src, dst) draw their ends together, all nodes push each other apart.
+
+    What pushes a node are the cells of a grid of side times side over all nodes, each as one body with as many nodes as
+    it has where these are on average; so a round is a join with the edges and a sum over a table of fixed size, which
+    every task gets. Steps become shorter from round to round. A node without edges is only pushed. Coinciding nodes are
+    told apart by a hash of their keys. Nodes without a place and edges of unknown nodes are left out.
+    """
+    e = settled(edges.where("src != dst").select("src", "dst").distinct())
+    both = settled(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    jitter = lambda k: (F.pmod(F.xxhash64("key", F.lit(k)), F.lit(1009)) / 1009 - 0.5) * length / 8
+    at = settled(nodes.where("x is not null and y is not null").select("key", (F.col("x") + jitter(1)).alias("x"), (F.col("y") + jitter(2)).alias("y")))
+    for k in range(rounds):
+        # one row: the extent, and below at most side * side bodies
+        extent = at.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)) / side).alias("w"))
+        cell = lambda c, low: F.least(F.floor((F.col(c) - F.col(low)) / F.col("w")), F.lit(side - 1)).cast("int")
+        celled = settled(at.crossJoin(F.broadcast(extent)).select("key", "x", "y", "w", cell("x", "x0").alias("cx"), cell("y", "y0").alias("cy")))
+        bodies = celled.groupBy("cx", "cy").agg(F.count("*").cast("double").alias("n"), F.avg("x").alias("bx"), F.avg("y").alias("by"))
+        field = bodies.agg(F.array_sort(F.collect_list(F.struct("cx", "cy", "n", "bx", "by"))).alias("bodies"))
+        push = lambda c, b: F.aggregate("bodies", F.lit(0.0), lambda a, o: a + (F.col(c) - o[b]) * o["n"] * length * length / ((F.col("x") - o["bx"]) * (F.col("x") - o["bx"]) + (F.col("y") - o["by"]) * (F.col("y") - o["by"]) + length * length))
+        pushed = celled.crossJoin(F.broadcast(field)).select("key", "x", "y", "w", push("x", "bx").alias("px"), push("y", "by").alias("py"))
+        ends = at.select(F.col("key").alias("dst"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+        starts = at.select(F.col("key").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+        lines = both.join(starts, "src").join(ends, "dst").withColumn("d", F.hypot(F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")))
+        drawn = lines.groupBy(F.col("src").alias("key")).agg(F.sum((F.col("tx") - F.col("sx")) * F.col("d") / length).alias("dx"), F.sum((F.col("ty") - F.col("sy")) * F.col("d") / length).alias("dy"))
+        force = pushed.join(drawn, "key", "left").select("key", "x", "y", (F.col("px") + F.coalesce("dx", F.lit(0.0))).alias("fx"), (F.col("py") + F.coalesce("dy", F.lit(0.0))).alias("fy"))
+        step = length * 2 * (1 - k / rounds)
+        size = F.greatest(F.hypot("fx", "fy"), F.lit(1e-9))
+        at = settled(force.select("key", (F.col("x") + F.col("fx") / size * F.least(size, F.lit(step))).alias("x"), (F.col("y") + F.col("fy") / size * F.least(size, F.lit(step))).alias("y")))
+    return at

@@ -58,8 +58,7 @@ def interned(nodes: DataFrame, owners: DataFrame | None = None) -> tuple[DataFra
     if owners is None:
         made = made.withColumn("place", F.lit(0))
     else:
-        made = made.join(owners.groupBy("tree").agg(F.min("place").alias("place")), "tree")
-    made = settled(made)
+        made = settled(made.join(owners.groupBy("tree").agg(F.min("place").alias("place")), "tree"))
     first = F.min(F.struct("place", "tree", "post")).alias("first")
     once = made.groupBy("hash").agg(first, *[F.any_value(c).alias(c) for c in ("tag", "name", "info", "binds", "kids")], F.count("*").alias("uses"))
     ids = settled(indexed(once, ["first"], "id"))

@@ -155,7 +155,10 @@ def limited(numbered: DataFrame, budget: int) -> DataFrame:
 
 
 def contents(nodes: DataFrame, own: Column, most: int | None = None, by_node: bool = False) -> DataFrame:
-    """nodes with hash (of own and of the children's hashes, by ord and then hash, or then node), depth (1 for leaves) and kids, these hashes."""
+    """nodes with hash (of own and of the children's hashes, by ord and then hash, or then node), depth (1 for leaves) and kids, these hashes.
+
+    Computed at once, so that a parent pointer that leads back to its own node is an error here.
+    """
     at = nodes.withColumn("own", own)
     small, large = by_size(at, most)
     by_name = by_node
@@ -170,15 +173,13 @@ def contents(nodes: DataFrame, own: Column, most: int | None = None, by_node: bo
             if p is not None:
                 waiting[at[p]] += 1
         ready = [k for k, n in enumerate(waiting) if not n]
-        hashes, depth = [None] * len(node), [0] * len(node)
+        hashes, depth = [None] * len(node), [0] * len(node)  # what a circle leads to keeps none
         kids = [None] * len(node)
-        done = 0
         while ready:
             k = ready.pop()
             kids[k] = [h for _, _, h in sorted(below[k])]
             hashes[k] = md5(f"{text[k]}({','.join(kids[k])})".encode()).hexdigest()
             depth[k] += 1
-            done += 1
             if parent[k] is not None:
                 p = at[parent[k]]
                 below[p].append((ord_[k], node[k] if by_name else hashes[k], hashes[k]))
@@ -186,11 +187,11 @@ def contents(nodes: DataFrame, own: Column, most: int | None = None, by_node: bo
                 waiting[p] -= 1
                 if not waiting[p]:
                     ready.append(p)
-        if done < len(at):
-            raise ValueError("a parent pointer leads back to its own node")
         return hashes, depth, kids
 
-    out = folded(small, ["node", "parent", "ord", "own"], fold, "hash string, depth int, kids array<string>")
+    out = settled(folded(small, ["node", "parent", "ord", "own"], fold, "hash string, depth int, kids array<string>"))
+    if not out.where("hash is null").isEmpty():
+        raise ValueError("a parent pointer leads back to its own node")
     return (out if large is None else out.unionByName(_contents_by_level(large, by_node))).drop("own")
 
 

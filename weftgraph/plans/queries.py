@@ -418,6 +418,17 @@ def module_grid_layout(b):
     return layout.grid_layout(b.defs.select("key", "module", F.col("line").alias("ord")))
 
 
+def force_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules moved by forces from their places in rows; sums of floating numbers have no equal in SQL, so tests hold it against all pairs."""
+    b = Bindings(spark, sf_dir)
+    e = fixpoint.settled(b.medges)
+    start = layout.pod_layout(fixpoint.longest_ranks(e, b.mods.select(F.col("module").alias("node")))).select(F.col("node").alias("key"), "x", "y")
+    return layout.force_layout(start, e, rounds=6).withColumnRenamed("key", "module")
+
+
+QUERIES["force_layout"] = force_layout
+
+
 @query(["edges"], """
 two as (select distinct src, dst, 1 as d from edges union all select distinct a.src, b.dst, 2 from edges a join edges b on a.dst = b.src),
 near as (select src, dst, min(d) as d from two group by src, dst),

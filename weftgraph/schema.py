@@ -13,7 +13,6 @@ ACCESS_CODES = {"unknown": 0, "public": 1, "private": 2}
 PROV_CODES = {"signature": 0, "body": 1, "module-local": 2, "unknown": 4}
 PROV_RANK = {"signature": 4, "module-local": 2, "body": 1, "unknown": 0}
 UNSAFE_BITS = {"non-terminating": 1, "trustme": 2}
-HIDING_CODES = {"explicit": 0, "implicit": 1, "instance": 2}
 SCHEMA_VERSION, NODE_KEY_VERSION, FRAGMENT_FORMAT = 2, 4, 12
 #: Above these the analysis is left out of an output and said to be.
 TRANSITIVE_NODES, SEARCH_NAMES = 3000, 50_000
@@ -46,11 +45,3 @@ def code(column: Column, codes: dict[str, int], default: int | None = None) -> C
     for name, value in codes.items():
         out = (F.when(column == name, F.lit(value)) if out is None else out.when(column == name, F.lit(value)))
     return out.otherwise(F.lit(default)) if default is not None else out
-
-
-def name_of(column: Column, codes: dict[str, int]) -> Column:
-    """The wire name of a code: the inverse of code()."""
-    out = None
-    for name, value in codes.items():
-        out = (F.when(column == value, F.lit(name)) if out is None else out.when(column == value, F.lit(name)))
-    return out
