@@ -26,6 +26,10 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
+#: Bytes of text encoded at once: what that takes for a while lies between what the cache keeps.
+AT_ONCE = 1 << 19
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordCache:
     keeps(__name__, encoder.cache_clear)
@@ -76,7 +80,7 @@ def _encode_batches(batches, path: str, text: str, ids: str):
     for batch in batches:
         col = batch.column(text)
         texts = [t or "" for t in col.to_pylist()]
-        for a, b in chunks([len(t) for t in texts]):
+        for a, b in chunks([len(t) for t in texts], AT_ONCE):
             got = encode_texts(texts[a:b], cache)
             flat = np.frombuffer(b"".join(got), dtype="<i4")
             ends = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype("int32")
@@ -117,7 +121,7 @@ def _round_trip(batches, path: str):
     pieces = _byte_table(cache.model)
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        for a, b in chunks([len(t) for t in texts]):
+        for a, b in chunks([len(t) for t in texts], AT_ONCE):
             got = encode_texts(texts[a:b], cache)
             flat = np.frombuffer(b"".join(got), dtype="<i4")
             sizes = [len(g) // 4 for g in got]

@@ -17,8 +17,8 @@ MARK = "▁"
 #: Ids from here on stand for single characters that are not in the vocabulary.
 FOREIGN = 1 << 21
 #: Bytes of words and values that a worker keeps, and of each beside its letters.
-CACHE_BYTES, ENTRY_BYTES = 40 << 20, 160
-CACHE_PAIRS = 800_000
+CACHE_BYTES, ENTRY_BYTES = 16 << 20, 160
+CACHE_PAIRS = 300_000
 
 
 class PieceModel:
