@@ -135,6 +135,17 @@ def test_threshold_keeps_recall():
     assert model.threshold < 0.5 and hit[[f[3] == 1 for f in hard]].mean() >= 0.95
 
 
+def test_few_or_one_sided_findings():
+    text = b"x = q8Zr1LpW7vNt3KcY and ordinaryordinary words"
+    a = text.index(b"q8")
+    for label, found in ((1, True), (0, False)):
+        model = secrets.train([(text, a, a + 16, label)] * 40)
+        assert len(secrets.find([text], model)[0]) == (2 if found else 0)
+    none = secrets.train([])
+    assert none.scores([(text, a, a + 16)])[0] == pytest.approx(0.5) and secrets.find([text], none) == [[]]
+    assert secrets.find([text], secrets.train([(text, a, a + 16, 1)] * 5))[0]
+
+
 def test_secret_queries(spark, docs_with_odd_rows):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(secret_texts()[:300])] + [(9000, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in secrets.secrets(df).collect()}

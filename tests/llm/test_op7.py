@@ -44,6 +44,20 @@ def test_odd_rows(spark):
     assert near.nearest(df.where("vec_id = 0"), df.where("vec_id = 0")).collect() == []
 
 
+def test_any_number_of_lengths(spark):
+    r = np.random.default_rng(7)
+    rows = [(20 * i + j, r.standard_normal(i + 1).astype(np.float32).tolist()) for i in range(11) for j in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for g in near.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(g.query_id, []).append((g["rank"], g.vec_id))
+    vectors = {i: np.array(v, np.float64) for i, v in rows}
+    for i in range(11):
+        q = vectors[20 * i]
+        want = sorted((20 * i + j for j in (1, 2)), key=lambda k: -float((q * vectors[k]).sum()))
+        assert sorted(got[20 * i]) == [(1, want[0]), (2, want[1])]
+
+
 def test_codes():
     r = np.random.default_rng(2)
     x = r.standard_normal((2000, 16))

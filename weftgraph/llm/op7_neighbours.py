@@ -30,7 +30,7 @@ TRAIN_ROWS, BOOKS, WORDS, BEAM = 8192, 8, 256, 4
 #: Rows of an index block, queries of a query block, candidates of a block that are scored exactly.
 BLOCK, QUERIES, SHORT = 16384, 1024, 256
 ROUNDS = 6
-#: Lengths of vectors in one table; each has its own index.
+#: From so many lengths of vectors on, each one's finds are stored before the next length is searched.
 LENGTHS = 8
 
 
@@ -207,16 +207,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, short: int
 
     A query's own vec_id is no candidate. Each vec_id counts once a query, with its best score if rows
     repeat it, and each query id once, with its best score to a vec_id over its rows. Null, zero and
-    non-finite vectors take no part. A query meets the vectors of its own length; there is an index for
-    each of the few lengths. Ids are whole numbers. Fewer candidates than k give all of them.
+    non-finite vectors take no part. A query meets the vectors of its own length; each length has an index,
+    and they are searched one after the other. Ids are whole numbers. Fewer candidates than k give all of them.
     """
     vectors, queries = usable(vectors), usable(queries)
-    lengths = [r.d for r in vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS + 1).collect()]
+    lengths = [r.d for r in vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").collect()]
     if not lengths:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if len(lengths) > LENGTHS:
-        raise ValueError(f"vectors of more than {LENGTHS} lengths")
-    found = [_met(*(df.where(F.size("embedding") == d) for df in (vectors, queries)), k, short) for d in lengths]
+    found = [_met(*(df.where(F.size("embedding") == d) for df in (vectors, queries)), k, short) for d in lengths[:LENGTHS]]
+    found += [stored(_met(*(df.where(F.size("embedding") == d) for df in (vectors, queries)), k, short), "neighbours-found") for d in lengths[LENGTHS:]]
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

@@ -214,8 +214,17 @@ def missable(n: int, recall: float = RECALL, confidence: float = CONFIDENCE) ->
 
 
 def train(findings: list[tuple], seed: int = SEED) -> SecretModel:
-    """findings as labelled_findings gives them, the last two fields optional. A tenth is kept back for calibration, a quarter for the threshold."""
+    """findings as labelled_findings gives them, the last two fields optional. A tenth is kept back for calibration, a quarter for the threshold.
+
+    With fewer than 20 findings, or only one kind of them, there is nothing to learn: every candidate gets the share of
+    secrets among them (half for none), and counts as one if that is above a half. Repeated findings weigh as often as they come.
+    """
     net = ByteNet(4, 1, DIM, FILTERS, 2 * FILTERS, HIDDEN, seed, channels=1)
+    n_secrets = sum(f[3] for f in findings)
+    if len(findings) < 20 or n_secrets in (0, len(findings)):
+        net.p["out"][:] = 0
+        share = (n_secrets + 1) / (len(findings) + 2)
+        return SecretModel(net, 1.0, float(np.log(share / (1 - share))), float(np.nextafter(0.5, 1)))
     order = np.random.default_rng(seed).permutation(len(findings))
     cuts = len(order) // 10, len(order) // 10 + len(order) // 4
     fitted, kept, learnt = ([findings[i] for i in part] for part in np.split(order, cuts))
@@ -242,7 +251,7 @@ def train(findings: list[tuple], seed: int = SEED) -> SecretModel:
     score, long = sigmoid(slope * logits + shift), np.array([f[2] - f[1] > OWN for f in kept])
     # short and long candidates each have to be found
     good = [np.sort(score[(own == 1) & (long == k)]) for k in (False, True)]
-    threshold = float(min(g[missable(len(g))] for g in good if len(g)))
+    threshold = float(min([g[missable(len(g))] for g in good if len(g)], default=0.5))
     precision = float(own[score >= threshold].mean())
     if precision < PRECISION:
         warnings.warn(f"at recall {RECALL}, threshold {threshold:.3f}, the precision on kept-back findings is {precision:.3f}", stacklevel=2)
