@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.functions import text
+from weftgraph.functions import names, text
 from weftgraph.sources import scan
 
 
@@ -75,6 +75,14 @@ def test_many_entries_of_a_folder(spark, tmp_path, monkeypatch):
     assert len(got) == 30 and all(t == f"module {os.path.basename(f)[:-5]} where\n" for _, f, t in got)
 
 
+def test_containment(spark):
+    cases = {"/t/project/Local.agda": True, "/t/project-old/External.agda": False, "/t/project/../project-old/External.agda": False, "/t/project/nested/../Local.agda": True, "/t/project/./a//b": True, "/../t/project": True, "/t/project/../..": False, "t/project/x": False, "": False}
+    df = spark.createDataFrame([(p,) for p in cases], "path string")
+    assert {r.path: r.x for r in df.select("path", names.inside(F.col("path"), F.lit("/t/x/../project/")).alias("x")).collect()} == cases
+    plain = lambda p: spark.range(1).select(names.normalised(F.lit(p)).alias("x")).first().x
+    assert [plain(p) for p in ("a/../../b", "../../a/..", "/..", "./", "a//./b/")] == ["../b", "../..", "/", "", "a/b"]
+
+
 def stripped(t: str) -> str:
     """Character by character."""
     out, depth, i = [], 0, 0

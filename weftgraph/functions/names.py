@@ -51,6 +51,24 @@ def under(path: Column, root: Column) -> Column:
     return F.slice(p, 1, F.size(r)) == r
 
 
+def normalised(path: Column) -> Column:
+    """The path without empty segments and single dots, and with each pair of dots taken back; above the top of an absolute path is its top, and a relative one keeps the pairs that lead out of it."""
+    rooted = path.startswith("/")
+
+    def step(acc: Column, s: Column) -> Column:
+        back = (F.size(acc) > 0) & (F.element_at(acc, -1) != "..")
+        up = F.when(back, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(rooted, acc).otherwise(F.array_append(acc, s))
+        return F.when(s.isin("", "."), acc).when(s == "..", up).otherwise(F.array_append(acc, s))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def inside(path: Column, root: Column) -> Column:
+    """Whether path lies in root, both normalised: project/../project-old is not in project, project/x/../y is."""
+    return under(normalised(path), normalised(root))
+
+
 def in_module(module: Column, prefix: Column) -> Column:
     """Whether module is prefix or below it: Data has Data.List, not Database."""
     return (module == prefix) | module.startswith(F.concat(prefix, F.lit(".")))

@@ -225,6 +225,18 @@ def path_containment(b):
     return b.files.select("file", names.under(F.col("file"), F.lit(ROOT)).alias("inside"))
 
 
+@query(["files"], """
+v as (select file, unnest([replace(file, '/src/', '/src/../src/./'), replace(file, 'lib/', 'proj/../lib/'), 'proj/src/../../' || file, '../' || file, '/../proj//x/' || file]) as path from files),
+s as (select path, list_reduce(list_prepend([]::varchar[], list_transform(string_split(path, '/'), lambda x: [x])), lambda a, x: case when x[1] in ('', '.') then a when x[1] <> '..' then list_append(a, x[1]) when len(a) > 0 and a[-1] <> '..' then a[1:len(a) - 1] when path like '/%' then a else list_append(a, '..') end) as seg from (select distinct path from v))
+select path, (case when path like '/%' then '/' else '' end) || array_to_string(seg, '/') as plain, path not like '/%' and seg[1] = 'proj' as inside from s""")
+def path_containment_normalised(b):
+    """Whether paths with dots in them lie in the project."""
+    f = F.col("file")
+    ways = F.array(F.replace(f, F.lit("/src/"), F.lit("/src/../src/./")), F.replace(f, F.lit("lib/"), F.lit("proj/../lib/")), F.concat(F.lit("proj/src/../../"), f), F.concat(F.lit("../"), f), F.concat(F.lit("/../proj//x/"), f))
+    paths = b.files.select(F.explode(ways).alias("path")).distinct()
+    return paths.select("path", names.normalised(F.col("path")).alias("plain"), names.inside(F.col("path"), F.lit(f"./{ROOT}/")).alias("inside"))
+
+
 # ---- edges
 
 
