@@ -27,7 +27,7 @@ def default_model() -> str:
 
 
 #: Bytes of text encoded at once: what that takes for a while lies between what the cache keeps.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 20
 
 
 @lru_cache(maxsize=2)
