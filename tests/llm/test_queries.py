@@ -11,7 +11,8 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        c.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     df = QUERIES[name](spark, DIR)
     columns = sorted(df.columns)
     out = c.execute(ORACLE_SQL[name])
