@@ -28,7 +28,7 @@ EVERY = 20
 #: Rows the codebooks are fitted on at most, codebooks, codewords of each, and width of the beam.
 TRAIN_ROWS, BOOKS, WORDS, BEAM = 8192, 8, 256, 4
 #: Rows of an index block, queries of a query block, candidates of a block that are scored exactly.
-BLOCK, QUERIES, SHORT = 16384, 1024, 256
+BLOCK, QUERIES, SHORT = 16384, 1024, 2048
 ROUNDS = 6
 #: From so many lengths of vectors on, each one's finds are stored before the next length is searched.
 LENGTHS = 8
