@@ -88,3 +88,46 @@ def test_repeated_rows(spark):
         want = sorted(score, key=lambda i: (-score[i], i))[:20]
         assert [(k, i) for k, i, _ in sorted(found)] == list(enumerate(want, 1))
         assert np.allclose([s for _, _, s in sorted(found)], [score[i] for i in want])
+
+
+def test_blocks_have_bounded_bytes():
+    import pyarrow as pa
+
+    x = np.random.default_rng(4).standard_normal((1500, 4096)).astype(np.float32)
+    batches = [pa.RecordBatch.from_pydict({"vec_id": pa.array(range(a, a + 500)), "embedding": pa.array(list(x[a : a + 500]))}) for a in range(0, 1500, 500)]
+    model = near.Codebooks(np.zeros((1, 1, 4096)))
+    blocks = list(near._index_blocks(batches, model, near.BLOCK, True))
+    assert max(len(b.column("vectors")[0].as_py()) for b in blocks) <= 8 << 20
+    assert sum(len(b.column("ids")[0].as_py()) for b in blocks) == 1500 * 8
+
+
+def test_many_cells(spark, monkeypatch):
+    """Each group of queries meets each shard of the index once; ids with rows in several blocks count once."""
+    monkeypatch.setattr(near, "HELD", 2000)
+    monkeypatch.setattr(near, "SHARD", 1)
+    monkeypatch.setattr(near, "BLOCK", 50)
+    monkeypatch.setattr(near, "QUERIES", 2)
+    r = np.random.default_rng(6)
+    x = r.standard_normal((400, 12)).round(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, (v * 2).tolist()) for i, v in enumerate(x[:90])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 20 = 0 and vec_id >= 100")
+    got = {}
+    for g in near.nearest(df, queries).collect():
+        got.setdefault(g.query_id, []).append((g["rank"], g.vec_id, g.score))
+    assert len(got) == 15
+    for q, found in got.items():
+        score = {}
+        for i, v in rows:
+            if i != q:
+                score[i] = max(score.get(i, -np.inf), float((x[q] * np.array(v)).sum()))
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [(k, i) for k, i, _ in sorted(found)] == list(enumerate(want, 1))
+
+
+def test_grid():
+    for index_blocks, query_blocks, query_bytes in ((0, 0, 0), (1, 1, 10**5), (5, 3, 10**6), (1300, 1100, 6 * 10**8), (6500, 5000, 3 * 10**9)):
+        shards, groups = near.grid(index_blocks, query_blocks, query_bytes, 24)
+        assert query_bytes <= groups * near.HELD and index_blocks <= shards * near.SHARD
+        # copies grow with groups that fill memory and shards that a task passes through, not with blocks
+        assert groups <= max(24, query_bytes // near.HELD + 1) and shards <= max(24, index_blocks // near.SHARD + 1)
