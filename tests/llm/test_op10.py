@@ -124,3 +124,20 @@ def test_shared_counts():
     sides = [[np.unique(r.integers(0, 500, int(r.integers(1, 200)))).astype(np.uint64) for _ in range(n)] for n in (9, 14)]
     got = jaccard.shared_counts([np.array([len(x) for x in s]) for s in sides], [np.concatenate(s) for s in sides])
     assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sides[1]] for x in sides[0]]
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """What fits one task is finished there; larger tables, and earlier components with new links, give the same."""
+    from weftgraph.llm import components as parts
+
+    r = random.Random(8)
+    pairs = [(i, i + 1) for i in range(300)] + [(r.randrange(400, 900), r.randrange(400, 900)) for _ in range(260)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    rounds = []
+    monkeypatch.setattr(parts, "stored", lambda *a, f=parts.stored, **k: (rounds.append(1), f(*a, **k))[1])
+    got = sorted(tuple(x) for x in parts.components(links).collect())
+    assert len(rounds) == 2
+    monkeypatch.setattr(parts, "AT_ONCE", 0)
+    assert sorted(tuple(x) for x in parts.components(links).collect()) == got
+    first = parts.components(links.limit(200))
+    assert sorted(tuple(x) for x in parts.components(first.toDF("a", "b").unionByName(links)).collect()) == got

@@ -296,6 +296,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, data: DataFrame, words: int) -
     """
     near = _on_both(pairs, nodes, {"sketch": ("x", "y"), "n_shingles": ("m", "n")})
     near = stored(mapped(near, partial(_near_batches, num=NUM, den=DEN), "a long, b long"), "jaccard-near")
+    if near.isEmpty():
+        return near
     asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stands = stored(nodes.join(asked, "node", "left_semi").select("node", "doc_id"), "jaccard-stands")
     sets = stored(_sets_of(stands, data, words), "jaccard-sets")
@@ -478,8 +480,8 @@ def _still_open(found: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
     return open_
 
 
-def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(documents with doc_id, n_shingles, node; links a, b between different nodes of similar sets; nodes left open or None).
+def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(documents with doc_id, n_shingles, node; links a, b between different nodes of similar sets; their components; nodes left open or None).
 
     Every link that the components need is there, and every link but those between two nodes left open. Sets that large groups leave open get finer signatures
     of their own; those that even these leave in large groups (most of such a set is common to many) are
@@ -508,8 +510,9 @@ def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, Da
     pairs = stored(pairs.distinct(), "jaccard-pairs")
     discard(found, finer)
     good = _verified(pairs, nodes, data, words)
+    joined = components(good)
     for turn in range(TURNS + 1) if again else ():
-        placed = open_.join(components(good), "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        placed = open_.join(joined, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
         several = placed.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("sig")
         rest = stored(placed.join(several, "sig"), "jaccard-several")
         if rest.isEmpty():
@@ -522,9 +525,11 @@ def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, Da
             met = _met_in_groups(rest.join(nodes.select("node", "n_shingles", "sketch"), "node").select("sig", "node", "component", "n_shingles", "sketch"))
         more = stored(met.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
         fresh = _verified(more, nodes, data, words)
+        if not fresh.isEmpty():
+            joined = components(joined.toDF("a", "b").unionByName(fresh))
         good, pairs = stored(good.unionByName(fresh), "jaccard-links"), pairs.unionByName(more)
         discard(rest, fresh)
-    return named.select("doc_id", "n_shingles", "node"), good, open_.select("node").distinct() if again else None
+    return named.select("doc_id", "n_shingles", "node"), good, joined, open_.select("node").distinct() if again else None
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -533,15 +538,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Null, empty and wordless texts have empty sets and link with nothing. Equal sets link. Rows of one
     doc_id are told apart by their sets; null ids come last as representatives.
     """
-    named, good, open_ = links(docs, words)
-    joined = components(good)
+    named, good, joined, open_ = links(docs, words)
     own = named.where("n_shingles > 0")
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"))
     within = None
     if open_ is not None:
         # links between two open nodes are counted by components, all others one by one
         open_ = stored(open_, "jaccard-open-nodes")
-        joined = stored(joined, "jaccard-joined")
         within = links_within(open_, joined, nodes.withColumnRenamed("least", "doc_id"), docs.select("doc_id", utf8("text").alias("data")), words)
         left, right = open_.select(F.col("node").alias("a"), F.lit(True).alias("open_a")), open_.select(F.col("node").alias("b"), F.lit(True).alias("open_b"))
         good = good.join(left, "a", "left").join(right, "b", "left").where("open_a is null or open_b is null").select("a", "b")
@@ -569,8 +572,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     Columns stay, whatever their names. Of rows alike in id and words one stays; null ids come after others.
     """
-    named, good, _ = links(docs, words)
-    joined = components(good)
+    named, _, joined, _ = links(docs, words)
     node, id_, n, nth = free_names(docs, "node", "id", "n", "nth")
     own = named.where("n_shingles > 0").join(joined, "node", "left")
     first = own.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("one"))
