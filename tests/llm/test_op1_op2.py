@@ -124,3 +124,17 @@ def test_queries(spark, library, docs_with_odd_rows):
     back = op1.decode(coded.select("doc_id", "ids")).collect()
     assert sorted((r.doc_id, r.decoded) for r in back) == sorted((d, t.replace("▁", " ")) for d, t in rows)
     assert op1.encode(docs_with_odd_rows.limit(0)).collect() == [] and op2.token_counts(docs_with_odd_rows.limit(0)).collect() == []
+
+
+def test_words_stay_up_to_the_cache_of_each_use():
+    """Counting and the round trip keep more words than a pipeline's encoding, and give the same ids."""
+    path = op1.default_model()
+    wide, narrow = op1.encoder(path, 120 << 20), op1.encoder(path)
+    for cache, stays in ((wide, True), (narrow, False), (op2.counter(path), True)):
+        cache.fill({"▁there"})
+        cache.held = 60 << 20
+        cache.fill({"▁other"})
+        assert ("▁there" in cache.words) == stays
+    assert op1.encode_texts(["there other thing"], wide) == op1.encode_texts(["there other thing"], narrow)
+    op1.encoder.cache_clear()
+    op2.counter.cache_clear()

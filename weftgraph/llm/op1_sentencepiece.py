@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import chunks, keeps, kind_of, mapped, schema_of, table
-from weftgraph.llm.piece_lattice import MARK, PieceModel, PrefixStates, WordCache, marked_words
+from weftgraph.llm.piece_lattice import ALONE_BYTES, CACHE_BYTES, MARK, PieceModel, PrefixStates, WordCache, marked_words
 
 MODEL = "piece_bpe_32k.model"
 
@@ -31,7 +31,7 @@ AT_ONCE = 1 << 20
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordCache:
+def encoder(path: str, most: int = CACHE_BYTES) -> WordCache:
     keeps(__name__, encoder.cache_clear)
     model = PieceModel.load(path)
     units: dict[int, bytes] = {}
@@ -45,7 +45,7 @@ def encoder(path: str) -> WordCache:
             out.append(ids)
         return b"".join(out)
 
-    return WordCache(model, packed, len)
+    return WordCache(model, packed, len, most)
 
 
 def encode_texts(texts: list[str], cache: WordCache) -> list[bytes]:
@@ -117,7 +117,7 @@ def _round_trip(batches, path: str):
     import hashlib
     import zlib
 
-    cache = encoder(path)
+    cache = encoder(path, ALONE_BYTES)
     pieces = _byte_table(cache.model)
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]

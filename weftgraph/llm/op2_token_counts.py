@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm.common import chunks, keeps, kind_of, mapped, table
 from weftgraph.llm.op1_sentencepiece import default_model
-from weftgraph.llm.piece_lattice import MARK, PieceModel, PrefixStates, WordCache, marked_words
+from weftgraph.llm.piece_lattice import ALONE_BYTES, MARK, PieceModel, PrefixStates, WordCache, marked_words
 
 LIMIT = 4096
 
@@ -24,7 +24,7 @@ LIMIT = 4096
 def _prefix_counts(states: PrefixStates) -> tuple[int, str, bytes]:
     """The word's count, and the type and counts of each prefix from one character on; a prefix may have more tokens than the word."""
     made = states.count
-    if max(made) < 256:
+    if len(made) <= 64 or max(made) < 256:  # a character has four units at most
         return made[-1], "u1", bytes(made[1:].tolist())
     return made[-1], "<u4", np.array(made[1:], dtype="<u4").tobytes()
 
@@ -33,7 +33,7 @@ def _prefix_counts(states: PrefixStates) -> tuple[int, str, bytes]:
 def counter(path: str) -> WordCache:
     keeps(__name__, counter.cache_clear)
     model = PieceModel.load(path)
-    return WordCache(model, _prefix_counts, lambda v: len(v[2]) + 90)
+    return WordCache(model, _prefix_counts, lambda v: len(v[2]) + 90, ALONE_BYTES)
 
 
 def _words(text: str, model: PieceModel) -> list[str]:

@@ -18,6 +18,8 @@ MARK = "▁"
 FOREIGN = 1 << 21
 #: Bytes of words and values that a worker keeps, and of each beside its letters.
 CACHE_BYTES, ENTRY_BYTES = 40 << 20, 160
+#: As CACHE_BYTES, where no other operator's stages share the executor.
+ALONE_BYTES = 120 << 20
 CACHE_PAIRS = 300_000
 
 
@@ -205,15 +207,15 @@ def marked_words(text: str) -> list[str]:
 class WordCache:
     """A value for each distinct word, made from its prefix states; words are gone through in sorted order."""
 
-    def __init__(self, model: PieceModel, value: Callable[[PrefixStates], object], size: Callable[[object], int]):
-        """value: gets the states of the word's prefixes; size: about how many bytes a value has."""
+    def __init__(self, model: PieceModel, value: Callable[[PrefixStates], object], size: Callable[[object], int], most: int = CACHE_BYTES):
+        """value: gets the states of the word's prefixes; size: about how many bytes a value has; most: bytes kept from call to call."""
         self.model, self.value, self.size, self.states = model, value, size, PrefixStates(model)
         self.words: dict[str, object] = {}
-        self.held = 0
+        self.held, self.most = 0, most
 
     def fill(self, words: set[str]) -> dict[str, object]:
         """A dict that has every one of the (marked) words; those of earlier calls stay until they are too many bytes."""
-        if self.held > CACHE_BYTES:
+        if self.held > self.most:
             self.words.clear()
             self.held = 0
         kept, value, states, size, held = self.words, self.value, self.states, self.size, self.held
