@@ -138,3 +138,20 @@ def test_words_stay_up_to_the_cache_of_each_use():
     assert op1.encode_texts(["there other thing"], wide) == op1.encode_texts(["there other thing"], narrow)
     op1.encoder.cache_clear()
     op2.counter.cache_clear()
+
+
+def test_query_reads_texts_in_short_batches(spark, library, tmp_path):
+    """With 4,096 texts decoded at once executors' heaps grew to a gigabyte; rows are the same in short batches."""
+    rows_at_once = "spark.sql.parquet.columnarReaderBatchSize"
+    texts = [None, "", *(f"text {i} there" for i in range(1025))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        spark.conf.unset(rows_at_once)
+        got = op1.query(spark, str(tmp_path)).select("doc_id", "ids").collect()
+        assert spark.conf.get(rows_at_once) == "512"
+        assert sorted((r.doc_id, r.ids) for r in got) == [(i, library.encode(t or "")) for i, t in enumerate(texts)]
+        spark.conf.set(rows_at_once, "100")
+        op1.query(spark, str(tmp_path))
+        assert spark.conf.get(rows_at_once) == "100"
+    finally:
+        spark.conf.unset(rows_at_once)

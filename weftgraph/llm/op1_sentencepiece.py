@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import chunks, keeps, kind_of, mapped, schema_of, table
+from weftgraph.llm.common import chunks, keeps, kind_of, mapped, schema_of, short_reads, table
 from weftgraph.llm.piece_lattice import ALONE_BYTES, CACHE_BYTES, MARK, PieceModel, PrefixStates, WordCache, marked_words
 
 MODEL = "piece_bpe_32k.model"
@@ -150,4 +150,5 @@ def round_trip(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_reads(spark)
     return round_trip(table(spark, sf_dir, "documents"))
