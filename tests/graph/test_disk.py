@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import fixpoint
+from weftgraph.operators import edges, fixpoint
 
 
 def shuffled(spark):
@@ -31,3 +31,21 @@ def test_a_settled_table_is_not_copied_by_the_fixpoint_that_begins_with_it(spark
     monkeypatch.setattr(fixpoint, "settled", lambda df: rows.append((out := real(df)).count()) or out)
     assert sorted(map(tuple, fixpoint.closure(e).collect())) == [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
     assert rows == [3, 3, 3, 0]
+
+
+def test_providers_are_shuffled_as_lists(spark):
+    """Methods have a few implementations, or many; null keys equal nothing, and each row is there once."""
+    e = spark.range(40_000).select(F.concat(F.lit("source."), F.expr("id div 4")).alias("src"), F.concat(F.lit("method."), F.col("id") * 7919 % 3001).alias("dst"), F.lit("body").alias("prov"))
+    impl = spark.range(24_008).select(F.concat(F.lit("method."), F.col("id") % 3001).alias("method_key"), F.concat(F.lit("binder."), F.xxhash64("id") % 5000).alias("binder_key"))
+    n = {}
+    for name, make in (("lists", lambda: edges.with_providers(e, impl)), ("pairs", lambda: e.join(impl.withColumnRenamed("method_key", "dst"), "dst").select("src", "binder_key").distinct())):
+        made, before = make(), shuffled(spark)
+        made.write.format("noop").mode("overwrite").save()
+        n[name] = shuffled(spark) - before
+    assert n["lists"] < 0.7 * n["pairs"]
+    odd = spark.createDataFrame([("a", "m", "body"), ("a", "m", "signature"), (None, "m", "body"), (None, "x", "body"), ("a", "y", "body"), ("b", None, "body")], "src string, dst string, prov string")
+    by = spark.createDataFrame([("m", "x"), ("m", "x"), ("m", "y"), ("m", None), (None, "z")], "method_key string, binder_key string")
+    new = [("a", "x", "unknown"), ("a", None, "unknown"), (None, "x", "unknown"), (None, "y", "unknown"), (None, None, "unknown")]
+    assert sorted(map(str, map(tuple, edges.with_providers(odd, by).collect()))) == sorted(map(str, [*map(tuple, odd.collect()), *new]))
+    wide = spark.range(200).select(F.lit("m").alias("method_key"), F.col("id").cast("string").alias("binder_key"))
+    assert edges.with_providers(odd, wide).where("src = 'a' and prov = 'unknown'").count() == 200
