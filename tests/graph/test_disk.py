@@ -49,3 +49,14 @@ def test_providers_are_shuffled_as_lists(spark):
     assert sorted(map(str, map(tuple, edges.with_providers(odd, by).collect()))) == sorted(map(str, [*map(tuple, odd.collect()), *new]))
     wide = spark.range(200).select(F.lit("m").alias("method_key"), F.col("id").cast("string").alias("binder_key"))
     assert edges.with_providers(odd, wide).where("src = 'a' and prov = 'unknown'").count() == 200
+
+
+def test_implied_edges_keep_few_copies_of_the_edges(spark, monkeypatch):
+    """Sources that nothing leads to, as most are, are stored once; a hub that all of them lead to goes on."""
+    e = spark.range(3000).select(F.concat(F.lit("s"), F.expr("id div 3")).alias("src"), F.concat(F.lit("t"), F.expr("id % 3")).alias("dst"))
+    e = e.unionByName(spark.createDataFrame([("t0", "u"), ("t1", "t0")], "src string, dst string"))
+    rows, real = [], fixpoint.settled
+    monkeypatch.setattr(fixpoint, "settled", lambda df: rows.append((out := real(df)).count()) or out)
+    got = {(r.src, r.dst) for r in fixpoint.transitive_edges(e).collect()}
+    assert got == {(f"s{k}", "t0") for k in range(1000)}
+    assert sum(rows) < 3 * e.count(), rows
