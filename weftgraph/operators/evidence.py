@@ -24,9 +24,18 @@ NODE = ["tree", "node"]
 def captured(edges: DataFrame, depth: int = CLOSURE_DEPTH, most: int = AUXILIARIES, roots: DataFrame | None = None) -> DataFrame:
     """(src, dst, d, status) of what a root (src) leads to in depth steps: the nearest most are captured, of equals by name; others are capped."""
     e = settled(edges.select("src", "dst").distinct())
-    start = e if roots is None else e.join(roots.select("src").distinct(), "src", "left_semi")
-    hop = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    near = grow(start.withColumn("d", F.lit(1)), lambda new: new.join(hop, "dst").select("src", F.col("next").alias("dst"), (F.col("d") + 1).alias("d")), ["src", "dst"], depth - 1)
+    start = e if roots is None else settled(e.join(roots.select("src").distinct(), "src", "left_semi"))
+    # only steps from what some edge leads to are ever taken
+    hop = settled(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("dst"), F.col("dst").alias("next")))
+    new = start.withColumn("d", F.lit(1))
+    found = [new]
+    for k in range(2, depth + 1):
+        new = new.join(hop, "dst").select("src", F.col("next").alias("dst"), F.lit(k).alias("d"))
+        if k < depth:
+            new = settled(new.dropDuplicates(["src", "dst"]).join(union_all(found).select("src", "dst"), ["src", "dst"], "left_anti"))
+        found.append(new)
+    # the last step's rows meet the others where a root's are numbered, and are never stored
+    near = union_all(found).repartition("src").groupBy("src", "dst").agg(F.min("d").alias("d"))
     i = F.row_number().over(W.partitionBy("src").orderBy("d", "dst"))
     return near.select("src", "dst", "d", F.when(i > most, "capped").otherwise("captured").alias("status"))
 
