@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import edges, evidence, fixpoint
+from weftgraph.operators import edges, evidence, fixpoint, terms, trees
 
 
 def shuffled(spark):
@@ -87,3 +87,18 @@ def test_a_capture_stores_no_row_of_its_last_step(spark, monkeypatch):
         assert {(r.src, r.dst) for r in got.where("status = 'captured'").collect()} == {(a, b) for a, x in by.items() for _, b in sorted(x)[:2]}
         if depth == 2:
             assert sum(rows) < 1.5 * len(pairs), rows
+
+
+def test_shared_terms_are_dealt_to_tasks_once(spark):
+    """Numbers and digests come from one pass over the sorted trees, with or without owners, and the terms come back whole."""
+    nodes = spark.range(400).selectExpr("id div 4 as tree", "id % 4 as node", "if(id % 4 = 0, null, 0) as parent", "id % 4 as ord", "'app' as tag", "if(id % 4 = 3, 'x', concat('n', id div 8 % 5)) as name")
+    made = trees.numbered_contents(nodes, F.concat("tag", "name"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    apart = trees.contents(trees.numbered(nodes), F.concat("tag", "name"), by_node=True)
+    key = lambda r: (r.tree, r.node, r.pre, r.post, r.size, r.level, r.parent_pre, r.hash, r.depth, tuple(r.kids))
+    assert sorted(map(key, made.collect())) == sorted(map(key, apart.collect())) == sorted(map(key, trees.numbered_contents(nodes, F.concat("tag", "name"), most=2).collect()))
+    owners = spark.range(50).select(F.col("id").alias("tree"), (-F.col("id")).alias("place"))
+    back = terms.decoded(*terms.interned(nodes, owners))
+    want = nodes.where("tree < 50").selectExpr("tree", "if(node = 0, '', cast(node - 1 as string)) as path", "tag", "name")
+    got = back.select("tree", F.array_join("path", "/").alias("path"), "tag", "name")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.fixpoint import settled, union_all
 from weftgraph.operators.indexes import indexed
-from weftgraph.operators.trees import contents, folded, numbered
+from weftgraph.operators.trees import contents, folded, numbered, numbered_contents
 
 LEVEL_KEYS = ["tree", "node"]
 # Heads that eliminations are applied to, and the reasons of what can't be encoded.
@@ -53,19 +53,19 @@ def interned(nodes: DataFrame, owners: DataFrame | None = None) -> tuple[DataFra
     only their trees are taken: numbering selected ones anew is the same as interning nothing else.
     """
     at = _whole(nodes).select("tree", "node", "parent", "ord", "tag", "name", "info", "binds")
-    at = numbered(at if owners is None else at.join(owners.select("tree").distinct(), "tree", "left_semi"))
-    made = contents(at, F.to_json(F.struct("tag", "name", "info", "binds")), by_node=True)
     if owners is None:
-        made = made.withColumn("place", F.lit(0))
+        at = at.withColumn("place", F.lit(0))
     else:
-        made = settled(made.join(owners.groupBy("tree").agg(F.min("place").alias("place")), "tree"))
+        at = at.join(owners.groupBy("tree").agg(F.min("place").alias("place")), "tree")
+    made = numbered_contents(at, F.to_json(F.struct("tag", "name", "info", "binds")))
+    made = settled(made.select("tree", "node", F.col("parent").isNull().alias("top"), "place", "post", "tag", "name", "info", "binds", F.unhex("hash").alias("hash"), F.transform("kids", F.unhex).alias("kids")))
     first = F.min(F.struct("place", "tree", "post")).alias("first")
     once = made.groupBy("hash").agg(first, *[F.any_value(c).alias(c) for c in ("tag", "name", "info", "binds", "kids")], F.count("*").alias("uses"))
     ids = settled(indexed(once, ["first"], "id"))
     known = ids.select(F.col("hash").alias("kid"), F.col("id").alias("kid_id"))
     below = ids.select("id", F.posexplode("kids").alias("k", "kid")).join(known, "kid").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "kid_id"))), lambda s: s["kid_id"]).alias("children"))
     shared = ids.join(below, "id", "left").select("id", "tag", "name", "info", "binds", F.coalesce("children", F.array().cast("array<bigint>")).alias("children"), "uses")
-    roots = made.where("parent is null").join(ids.select("hash", "id"), "hash").select("tree", "node", "id")
+    roots = made.where("top").join(ids.select("hash", "id"), "hash").select("tree", "node", "id")
     return shared, roots
 
 
