@@ -102,3 +102,15 @@ def test_shared_terms_are_dealt_to_tasks_once(spark):
     want = nodes.where("tree < 50").selectExpr("tree", "if(node = 0, '', cast(node - 1 as string)) as path", "tag", "name")
     got = back.select("tree", F.array_join("path", "/").alias("path"), "tag", "name")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_trees_are_counted_before_they_meet_their_owners(spark, monkeypatch):
+    """A join of nothing but trees' numbers, which pack densely, is what a task of large tables had no memory for."""
+    nodes = spark.range(400).selectExpr("id div 4 as tree", "id % 4 as node", "if(id % 4 = 0, null, 0) as parent", "id % 4 as ord", "'app' as tag", "'x' as name")
+    plans, real = [], trees.settled
+    monkeypatch.setattr(trees, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    shared, roots = terms.interned(nodes, spark.range(50).select(F.col("id").alias("tree"), F.lit(0).alias("place")))
+    assert plans and "Join" not in plans[0]
+    assert roots.count() == 50 and sorted(r.uses for r in shared.collect()) == [50, 150]
+    monkeypatch.setattr(trees, "TREE_NODES", 2)
+    assert sorted(r.uses for r in terms.interned(nodes, spark.range(3).select(F.col("id").alias("tree"), F.lit(0).alias("place")))[0].collect()) == [3, 9]

@@ -57,7 +57,7 @@ def interned(nodes: DataFrame, owners: DataFrame | None = None) -> tuple[DataFra
         at = at.withColumn("place", F.lit(0))
     else:
         at = at.join(owners.groupBy("tree").agg(F.min("place").alias("place")), "tree")
-    made = numbered_contents(at, F.to_json(F.struct("tag", "name", "info", "binds")))
+    made = numbered_contents(at, F.to_json(F.struct("tag", "name", "info", "binds")), every=nodes)
     made = settled(made.select("tree", "node", F.col("parent").isNull().alias("top"), "place", "post", "tag", "name", "info", "binds", F.unhex("hash").alias("hash"), F.transform("kids", F.unhex).alias("kids")))
     first = F.min(F.struct("place", "tree", "post")).alias("first")
     once = made.groupBy("hash").agg(first, *[F.any_value(c).alias(c) for c in ("tag", "name", "info", "binds", "kids")], F.count("*").alias("uses"))
